@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps lambdas from re-evaluating an outer expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"(?U)\A{WS}+|{WS}+\z", "")
 
@@ -71,14 +76,17 @@ def truncate_block(
     c: Column | str, max_lines: int = 80, max_chars: int = 5200, marker: str = "\n...(truncated)"
 ) -> Column:
     """Keep the first lines, then the first characters cut back to a line end; mark what was cut."""
-    rows = lines(c)
     keep = max(1, max_lines)
-    head = join_lines(F.slice(rows, 1, keep))
-    too_long = F.length(head) > max_chars
-    cut = rstrip(F.substring(head, 1, max_chars))
-    at_line = F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)\A(.+)\n[^\n]*\z", 1), F.lit("")), cut)
-    clipped = F.when(too_long, at_line).otherwise(head)
-    return F.when(too_long | (F.size(rows) > keep), F.concat(rstrip(clipped), F.lit(marker))).otherwise(clipped)
+
+    def clip(rows: Column) -> Column:
+        head = join_lines(F.slice(rows, 1, keep))
+        cut = rstrip(F.substring(head, 1, max_chars))
+        at_line = F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)\A(.+)\n[^\n]*\z", 1), F.lit("")), cut)
+        too_long = F.length(head) > max_chars
+        clipped = F.when(too_long, at_line).otherwise(head)
+        return F.when(too_long | (F.size(rows) > keep), F.concat(rstrip(clipped), F.lit(marker))).otherwise(clipped)
+
+    return let(lines(c), clip)
 
 
 def ordered_distinct(arr: Column | str) -> Column:
@@ -223,12 +231,13 @@ def repair_terms(
         & ~F.substring_index(k["n"], ".", -1).isin(*TERM_IGNORED_TAILS),
     )
     # First term per normalised form: sort by (form, position) and keep the head of each run.
-    ordered = F.array_sort(usable)
-    shifted = F.concat(F.array(F.lit(None).cast("struct<n:string,i:int,t:string>")), ordered)
-    heads = F.filter(
-        F.zip_with(ordered, shifted, lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["n"] != b["n"])), a)),
-        lambda a: a.isNotNull(),
-    )
+    none = F.array(F.lit(None).cast("struct<n:string,i:int,t:string>"))
+
+    def run_heads(ordered: Column) -> Column:
+        first = lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["n"] != b["n"])), a)
+        return F.filter(F.zip_with(ordered, F.concat(none, ordered), first), lambda a: a.isNotNull())
+
+    heads = let(F.array_sort(usable), run_heads)
 
     def score(k: Column) -> Column:
         t = k["t"]
