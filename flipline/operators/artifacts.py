@@ -22,6 +22,7 @@ SKIP_DEPENDENCIES = [
     "org.slf4j:slf4j-simple",
     "javax.servlet:javax.servlet-api",
     "javax.activation:activation",
+    "org.springframework:spring-test",
 ]
 SKIP_SIGNAL = [
     "junit:junit",

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipline.functions.text import clean_text, error_tokens, lines, strip, symbol_norm
 from flipline.operators.scans import last_of, top_per_key
@@ -299,7 +300,7 @@ def line_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unified(before: pd.Series, after: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y, m, n):
         if x is None or y is None:
