@@ -10,7 +10,6 @@ from flipline.functions.labels import (
     APPEARS,
     NO_DATA,
     align_three_state,
-    outcome_bucket,
     outcome_success,
     pred_state,
 )
@@ -308,16 +307,3 @@ def latest_run_state(df: DataFrame, pos: str, index: str = "progress_index", tot
 def dedupe_first(df: DataFrame, keys, pos: str) -> DataFrame:
     """First row of every key by position."""
     return first_of(df, keys, pos)
-
-
-__all__ = [
-    "propagate_default",
-    "propagate_full",
-    "conflict_zone",
-    "infer_boundaries",
-    "boundary_summary",
-    "latest_run",
-    "latest_run_state",
-    "dedupe_first",
-    "outcome_bucket",
-]
