@@ -25,7 +25,7 @@ NO_GAP = 10**9
 
 def release_history(df: DataFrame, artifact: str = "artifact", version: str = "version", date: str = "release_date", pos: str | None = None) -> DataFrame:
     """First release of every (artifact, version) with all parsed version parts."""
-    rows = df.select(F.col(artifact).alias("artifact"), clean_text(version).alias("version"), F.col(date).alias("release_date"), *([F.col(pos)] if pos else []))
+    rows = df.select(F.col(artifact).alias("artifact"), clean_text(version).alias("version"), F.col(date).cast("timestamp").alias("release_date"), *([F.col(pos)] if pos else []))
     order = F.struct("release_date", *([pos] if pos else []))
     rows = rows.where((F.col("version") != "") & F.col("release_date").isNotNull())
     first = rows.groupBy("artifact", "version").agg(F.min(order).alias("__o"))
