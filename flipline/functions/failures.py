@@ -88,11 +88,15 @@ def classify_failure(c: Column | str) -> Column:
     )
 
 
-def failure_subtype(c: Column | str, has_removed_classes: Column | bool, has_breaking: Column | bool) -> Column:
-    """Finer class of a failure: structural causes first, the API diff as the last resort."""
-    removed = F.coalesce(has_removed_classes if isinstance(has_removed_classes, Column) else F.lit(has_removed_classes), F.lit(False))
-    breaking = F.coalesce(has_breaking if isinstance(has_breaking, Column) else F.lit(has_breaking), F.lit(False))
-    low = F.lower(F.coalesce(col(c), F.lit("")))
+def _flag(value: Column | bool) -> Column:
+    return F.coalesce(value if isinstance(value, Column) else F.lit(value), F.lit(False))
+
+
+def _lowered(c: Column | str) -> Column:
+    return F.lower(F.coalesce(col(c), F.lit("")))
+
+
+def _subtype(low: Column, removed: Column, breaking: Column) -> Column:
     no_symbol = low.contains("cannot find symbol")
     return (
         F.when(has_any(low, DEPENDENCY_WORDS), "dependency_resolution_failure")
@@ -112,23 +116,33 @@ def failure_subtype(c: Column | str, has_removed_classes: Column | bool, has_bre
     )
 
 
+def failure_subtype(c: Column | str, has_removed_classes: Column | bool, has_breaking: Column | bool) -> Column:
+    """Finer class of a failure: structural causes first, the API diff as the last resort.
+
+    The text is bound once, so a long rule list does not repeat the expression it is applied to.
+    """
+    return let(_lowered(c), lambda low: _subtype(low, _flag(has_removed_classes), _flag(has_breaking)))
+
+
 def failure_from_text(c: Column | str, has_removed_classes: Column | bool, has_breaking: Column | bool) -> Column:
     """STRUCT<status, kind, subtype> of a failed run, from its log text."""
-    low = F.lower(F.coalesce(col(c), F.lit("")))
-    missing = has_any(low, [MISSING_ARTIFACT_FILE, *DEPENDENCY_WORDS])
-    runtime = has_any(low, RUNTIME_WORDS)
-    status = F.when(
-        missing | runtime | ~has_any(low, COMPILE_WORDS), "execution_failure"
-    ).otherwise("compile_failure")
-    subtype = failure_subtype(c, has_removed_classes, has_breaking)
-    return F.struct(
-        status.alias("status"),
-        F.when(missing, "dependency_resolution_failure").otherwise(status).alias("kind"),
-        F.when(missing, "dependency_resolution_failure")
-        .when(~runtime & (subtype == "unknown_failure") & low.contains("linkageerror"), "binary_incompatibility")
-        .otherwise(subtype)
-        .alias("subtype"),
-    )
+
+    def judge(low: Column) -> Column:
+        missing = has_any(low, [MISSING_ARTIFACT_FILE, *DEPENDENCY_WORDS])
+        runtime = has_any(low, RUNTIME_WORDS)
+        status = F.when(missing | runtime | ~has_any(low, COMPILE_WORDS), "execution_failure").otherwise("compile_failure")
+        subtype = _subtype(low, _flag(has_removed_classes), _flag(has_breaking))
+        linked = ~runtime & (subtype == "unknown_failure") & low.contains("linkageerror")
+        return F.struct(
+            status.alias("status"),
+            F.when(missing, "dependency_resolution_failure").otherwise(status).alias("kind"),
+            F.when(missing, "dependency_resolution_failure")
+            .when(linked, "binary_incompatibility")
+            .otherwise(subtype)
+            .alias("subtype"),
+        )
+
+    return let(_lowered(c), judge)
 
 
 def classify_log(c: Column | str) -> Column:
