@@ -51,14 +51,15 @@ MAX_SUPPLEMENTS = 4
 
 def evidence_path(c: Column | str) -> Column:
     """Canonical path of a piece of evidence."""
-    raw = clean_text(c)
-    return F.when(
-        raw.startswith("api-diffs/") | raw.startswith("diffs/"), F.concat(F.lit("version-diff/"), raw)
-    ).otherwise(raw)
+    return let(
+        clean_text(c),
+        lambda raw: F.when(
+            raw.startswith("api-diffs/") | raw.startswith("diffs/"), F.concat(F.lit("version-diff/"), raw)
+        ).otherwise(raw),
+    )
 
 
-def evidence_kind(c: Column | str) -> Column:
-    p = evidence_path(c)
+def _kind(p: Column) -> Column:
     return (
         F.when(p.startswith("version-diff/api-diffs/"), "api_diff")
         .when(p.startswith("version-diff/diffs/"), "bytecode_diff")
@@ -72,8 +73,20 @@ def evidence_kind(c: Column | str) -> Column:
     )
 
 
+def _is_api(p: Column) -> Column:
+    return p.startswith("version-diff/api-diffs/")
+
+
+def _is_class(p: Column) -> Column:
+    return _is_api(p) | p.startswith("version-diff/diffs/")
+
+
+def evidence_kind(c: Column | str) -> Column:
+    return let(evidence_path(c), _kind)
+
+
 def is_class_diff(c: Column | str) -> Column:
-    return evidence_kind(c).isin("api_diff", "bytecode_diff")
+    return let(evidence_path(c), _is_class)
 
 
 def basename(c: Column | str) -> Column:
@@ -82,25 +95,30 @@ def basename(c: Column | str) -> Column:
 
 def paired_path(c: Column | str) -> Column:
     """Bytecode diff that belongs to an API diff; empty for other paths."""
-    p = evidence_path(c)
-    return F.when(
-        p.startswith("version-diff/api-diffs/"), F.regexp_replace(p, "^version-diff/api-diffs/", "version-diff/diffs/")
-    ).otherwise("")
+    return let(
+        evidence_path(c),
+        lambda p: F.when(
+            _is_api(p), F.regexp_replace(p, "^version-diff/api-diffs/", "version-diff/diffs/")
+        ).otherwise(""),
+    )
 
 
 def sibling_paths(c: Column | str) -> Column:
     """Diffs of the top-level class an inner class belongs to."""
-    p = evidence_path(c)
-    name = basename(p)
-    folder = F.regexp_replace(p, r"/[^/]*$", "/")
-    top = F.concat(F.substring_index(name, "$", 1), F.lit(".diff"))
-    other = (
-        F.when(p.startswith("version-diff/diffs/"), F.regexp_replace(folder, "^version-diff/diffs/", "version-diff/api-diffs/"))
-        .when(p.startswith("version-diff/api-diffs/"), F.regexp_replace(folder, "^version-diff/api-diffs/", "version-diff/diffs/"))
-    )
-    found = F.array_compact(F.array(F.concat(folder, top), F.concat(other, top)))
-    usable = name.contains("$") & p.startswith("version-diff/")
-    return F.when(usable, F.array_distinct(F.filter(found, lambda x: x != p))).otherwise(F.array().cast("array<string>"))
+
+    def siblings(p: Column) -> Column:
+        name = basename(p)
+        folder = F.regexp_replace(p, r"/[^/]*$", "/")
+        top = F.concat(F.substring_index(name, "$", 1), F.lit(".diff"))
+        other = F.when(
+            _is_api(p), F.regexp_replace(folder, "^version-diff/api-diffs/", "version-diff/diffs/")
+        ).when(_is_class(p), F.regexp_replace(folder, "^version-diff/diffs/", "version-diff/api-diffs/"))
+        found = F.array_compact(F.array(F.concat(folder, top), F.concat(other, top)))
+        usable = name.contains("$") & p.startswith("version-diff/")
+        none = F.array().cast("array<string>")
+        return F.when(usable, F.array_distinct(F.filter(found, lambda x: x != p))).otherwise(none)
+
+    return let(evidence_path(c), siblings)
 
 
 # --- answers in markdown ----------------------------------------------------------------------------------
@@ -203,23 +221,23 @@ def parse_hunks(section: Column | str) -> Column:
 
 def weak_reasons(path: Column, details: Column, excerpt: Column, trace_invalid: Column) -> Column:
     """Why a piece of evidence should count less."""
-    p = evidence_path(path)
-    name = F.lower(basename(p))
     text = F.concat_ws("\n", F.coalesce(details, F.lit("")), F.coalesce(excerpt, F.lit("")))
-    low = F.lower(text)
-    logger = F.concat(name, F.lit("\n"), low).rlike(LOGGER_NAME) & ~has_fix_word(text)
-    return F.array_compact(
-        F.array(
-            F.when(~is_class_diff(p), F.lit("fallback_evidence")),
-            F.when(name.rlike(SYNTHETIC_NAME), F.lit("synthetic_inner_class")),
-            F.when(low.rlike(SWITCH_MAP) | low.rlike("(?isU)" + ENUM_REORDER), F.lit("switch_map_or_enum_reorder")),
-            F.when(logger, F.lit("logger_only_change")),
-            F.when(
-                (p == "trace-diff-summary.txt") & F.coalesce(trace_invalid, F.lit(False)),
-                F.lit("invalid_trace_summary"),
-            ),
+    facts = F.struct(evidence_path(path).alias("p"), text.alias("t"), F.coalesce(trace_invalid, F.lit(False)).alias("bad"))
+
+    def reasons(x: Column) -> Column:
+        p, name, low = x["p"], F.lower(basename(x["p"])), F.lower(x["t"])
+        logger = F.concat(name, F.lit("\n"), low).rlike(LOGGER_NAME) & ~has_fix_word(x["t"])
+        return F.array_compact(
+            F.array(
+                F.when(~_is_class(p), F.lit("fallback_evidence")),
+                F.when(name.rlike(SYNTHETIC_NAME), F.lit("synthetic_inner_class")),
+                F.when(low.rlike(SWITCH_MAP) | low.rlike("(?isU)" + ENUM_REORDER), F.lit("switch_map_or_enum_reorder")),
+                F.when(logger, F.lit("logger_only_change")),
+                F.when((p == "trace-diff-summary.txt") & x["bad"], F.lit("invalid_trace_summary")),
+            )
         )
-    )
+
+    return let(facts, reasons)
 
 
 def signal_weight(reasons: Column) -> Column:
@@ -261,49 +279,53 @@ def is_shallow_api(path: Column, excerpt: Column) -> Column:
         )
 
     rows = F.filter(F.transform(lines(excerpt), strip), is_signal)
-    return evidence_path(path).startswith("version-diff/api-diffs/") & let(rows, shallow)
+    return let(evidence_path(path), _is_api) & let(rows, shallow)
 
 
 def wants_paired_context(path: Column, excerpt: Column) -> Column:
     """API diffs that are read together with their bytecode diff."""
-    p = evidence_path(path)
-    name = F.lower(basename(p))
-    inner = has_fix_word(excerpt) & ~name.rlike(SYNTHETIC_NAME)
-    return (
-        p.startswith("version-diff/api-diffs/")
-        & ~name.rlike(LOGGER_NAME)
-        & F.when(name.contains("$"), inner).otherwise(True)
-    )
+
+    def wants(p: Column) -> Column:
+        name = F.lower(basename(p))
+        inner = has_fix_word(excerpt) & ~name.rlike(SYNTHETIC_NAME)
+        return _is_api(p) & ~name.rlike(LOGGER_NAME) & F.when(name.contains("$"), inner).otherwise(True)
+
+    return let(evidence_path(path), wants)
 
 
 def wants_raw_context(path: Column, excerpt: Column, paired: Column) -> Column:
     """Class diffs that are read together with the lines around them."""
-    name = F.lower(basename(evidence_path(path)))
-    return (
-        is_class_diff(path)
-        & ~name.rlike(LOGGER_NAME)
-        & (~name.contains("$") | (F.coalesce(paired, F.lit("")) != "") | has_fix_word(excerpt))
-    )
+
+    def wants(p: Column) -> Column:
+        name = F.lower(basename(p))
+        open_name = ~name.contains("$") | (F.coalesce(paired, F.lit("")) != "") | has_fix_word(excerpt)
+        return _is_class(p) & ~name.rlike(LOGGER_NAME) & open_name
+
+    return let(evidence_path(path), wants)
 
 
 def has_concrete_context(path: Column, excerpt: Column, weight: Column, paired: Column) -> Column:
     """Evidence strong enough to carry a verdict."""
-    p = evidence_path(path)
-    text = F.coalesce(excerpt, F.lit(""))
-    kind = evidence_kind(p)
-    return (
-        is_class_diff(p)
-        & (weight >= 0.75)
-        & ~F.lower(basename(p)).rlike(SYNTHETIC_NAME)
-        & (
-            text.contains(RAW_CONTEXT_MARK)
-            | ((kind == "api_diff") & (F.coalesce(paired, F.lit("")) != ""))
-            | ((kind == "bytecode_diff") & (text.contains("invoke") | text.contains("Code:")))
-            | has_fix_word(text)
-            | ~is_shallow_api(p, text)
-        )
+    facts = F.struct(
+        evidence_path(path).alias("p"),
+        F.coalesce(excerpt, F.lit("")).alias("t"),
+        (F.coalesce(paired, F.lit("")) != "").alias("paired"),
+        weight.alias("w"),
     )
 
+    def concrete(x: Column) -> Column:
+        p, t = x["p"], x["t"]
+        supported = (
+            t.contains(RAW_CONTEXT_MARK)
+            | (_is_api(p) & x["paired"])
+            | (~_is_api(p) & (t.contains("invoke") | t.contains("Code:")))
+            | has_fix_word(t)
+            | ~is_shallow_api(p, t)
+        )
+        return _is_class(p) & (x["w"] >= 0.75) & ~F.lower(basename(p)).rlike(SYNTHETIC_NAME) & supported
+
+    return let(facts, concrete)
+
 
 def summary_excerpt(json_text: Column) -> Column:
     """Counts and class preview of a version-diff summary document."""

@@ -62,7 +62,9 @@ def rounded_score(c: Column | str) -> Column:
 
 def clamp_score(c: Column | str, default: Column | int = 50) -> Column:
     fallback = default if isinstance(default, Column) else F.lit(default)
-    whole = F.least(F.greatest(F.rint(numeric(c)), F.lit(0.0)), F.lit(100.0))
+    number = numeric(c)
+    # least and greatest skip nulls, so a missing number is kept apart from them.
+    whole = F.when(number.isNotNull(), F.least(F.greatest(F.rint(number), F.lit(0.0)), F.lit(100.0)))
     return F.coalesce(whole.cast("int"), F.least(F.greatest(fallback, F.lit(0)), F.lit(100)).cast("int"))
 
 
