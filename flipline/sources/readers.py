@@ -91,7 +91,7 @@ def _keyed(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
     A file holds one object, or with ``by_line`` one object per line, which is the layout for large catalogs since
     lines of one file are read by many tasks.
     """
-    raw = spark.read.option("wholetext", not by_line).text(path)
+    raw = spark.read.text(path, wholetext=not by_line)
     return raw.select(F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("key", "value"))
 
 
@@ -155,7 +155,7 @@ SCORED_FILES = "MAP<STRING, MAP<STRING, STRUCT<score:DOUBLE, msg_score:DOUBLE>>>
 
 def read_case_results(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per result document, keyed by its case folder; ``is_valid`` is false for broken JSON."""
-    raw = spark.read.option("wholetext", True).text(pattern).select("value", F.col("_metadata.file_path").alias("result_path"))
+    raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("result_path"))
     doc = raw.select(
         F.regexp_extract("result_path", r"([^/]+)/[^/]+$", 1).alias("case_id"),
         "result_path",
@@ -170,7 +170,7 @@ def read_case_results(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Whole logs keyed by file stem; bytes that are no text are replaced."""
-    raw = spark.read.option("wholetext", True).text(pattern).select("value", F.col("_metadata.file_name").alias("file_name"))
+    raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
     return raw.select(
         F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "").alias("case_id"), "file_name", F.make_valid_utf8("value").alias("text")
     )
