@@ -10,7 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
-NEWLINE = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]"
+# The characters that count as whitespace at the ends of a text.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+NEWLINE = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+RARE_NEWLINE = r"[\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def col(c: Column | str) -> Column:
@@ -23,11 +29,11 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U){WS}+\z", "")
+    return F.rtrim(col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -59,8 +65,11 @@ def shorten(c: Column | str, limit: int = 240) -> Column:
 def lines(c: Column | str) -> Column:
     """Split into lines; a trailing line end opens no extra line and empty text has no lines."""
     text = F.coalesce(col(c), F.lit(""))
-    body = F.regexp_replace(text, rf"(?:{NEWLINE})\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, NEWLINE, -1))
+    # Nearly all texts use plain line feeds, for which splitting needs no pattern.
+    parts = F.when(text.rlike(RARE_NEWLINE), F.split(text, NEWLINE, -1)).otherwise(F.split(text, "\n", -1))
+    return let(
+        parts, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    )
 
 
 def join_lines(arr: Column) -> Column:
@@ -111,6 +120,7 @@ SEMANTIC_TERM = (
     r"headerparser|defaulthttpheaders|httpobjectdecoder|httputil|httpheadervalidationutil|ascii|string|"
     r"contentdisposition|security)\b"
 )
+TERM_SPLIT = r"(?U)[\s\x1c-\x1f,]+"
 TERM_EDGE = "`'\"[](){}:;,.!?"
 STOP_WORDS = (
     "a an and are bad baseline case cases cve details effective error errors exception fail failed failure "
@@ -136,30 +146,35 @@ def error_tokens(c: Column | str, limit: int = 40) -> Column:
 
 
 def is_generic_term(term: Column, keep_logger_terms: bool = False) -> Column:
-    low = F.lower(strip(term))
-    generic = (
-        (F.length(F.translate(low, "./$", "")) < 4)
-        | low.isin(*STOP_WORDS)
-        | low.startswith("cve")
-        | low.rlike(VERSION_LIKE)
-        | ~low.rlike(r"\p{L}")
-    )
-    return generic if keep_logger_terms else generic | low.rlike(LOGGER_TERM)
+    """Too short, a stop word, an issue id, a version, without letters, or logger noise. Cheap tests come first."""
+
+    def generic(low: Column) -> Column:
+        out = (
+            (F.length(F.translate(low, "./$", "")) < 4)
+            | low.isin(*STOP_WORDS)
+            | low.startswith("cve")
+            | (low.rlike(r"(?U)\d|__") & low.rlike(VERSION_LIKE))
+            | ~low.rlike(r"\p{L}")
+        )
+        return out if keep_logger_terms else out | (low.contains("logger") & low.rlike(LOGGER_TERM))
+
+    return let(F.lower(strip(term)), generic)
 
 
 def _sanitise(fragments: Column, limit: int, keep_logger_terms: bool) -> Column:
-    trimmed = F.transform(fragments, lambda x: F.btrim(strip(x), F.lit(TERM_EDGE)))
-    kept = F.filter(trimmed, lambda x: (x != "") & ~is_generic_term(x, keep_logger_terms))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    # Repeated words are dropped before they are judged.
+    trimmed = F.transform(F.array_distinct(fragments), lambda x: F.btrim(x, F.lit(TERM_EDGE)))
+    kept = F.filter(F.array_distinct(trimmed), lambda x: (x != "") & ~is_generic_term(x, keep_logger_terms))
+    return F.slice(kept, 1, limit)
 
 
 def search_terms(c: Column | str, limit: int = 24, keep_logger_terms: bool = False) -> Column:
     """Words of a text that carry meaning for a search, in order of first use."""
-    return _sanitise(F.split(F.coalesce(col(c), F.lit("")), r"(?U)[\s,]+", -1), limit, keep_logger_terms)
+    return _sanitise(F.split(F.coalesce(col(c), F.lit("")), TERM_SPLIT, -1), limit, keep_logger_terms)
 
 
 def search_terms_of_list(items: Column, limit: int, keep_logger_terms: bool = False) -> Column:
-    parts = F.flatten(F.transform(items, lambda x: F.split(x, r"(?U)[\s,]+", -1)))
+    parts = F.flatten(F.transform(items, lambda x: F.split(x, TERM_SPLIT, -1)))
     return _sanitise(parts, limit, keep_logger_terms)
 
 

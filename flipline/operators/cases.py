@@ -75,8 +75,8 @@ def select_for_judgment(df: DataFrame, statuses: list[str], keep_no_diff: bool =
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """``n`` rows in an order fixed by the seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """``n`` rows in an order fixed by the seed and the key alone, whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key), F.lit(str(seed)))), F.col(key)).limit(n)
 
 
 def case_status(df: DataFrame) -> DataFrame:

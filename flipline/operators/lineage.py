@@ -6,7 +6,8 @@ artifact are bounded by its number of published versions, however often a versio
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,130 +98,112 @@ LINEAGE_SCHEMA = (
 class _History:
     """Assigns the releases of one artifact, in time order, to branches.
 
-    Version order is an integer rank computed by Spark, so every comparison here is one of integers. Earlier
-    releases are searched with array masks; ``placed`` is how many are in place.
+    ``rows`` are tuples (artifact, version, release_date, core, branch_kind, line_key, day, major, key_rank) in time
+    order. Version order is the integer rank Spark computed, so every comparison here is one of integers.
     """
 
-    def __init__(self, g: pd.DataFrame, fork_days: float):
-        self.g = g
-        self.day = g["day"].to_numpy(float)
-        self.rank = g["key_rank"].to_numpy(np.int64)
-        self.major = g["major"].to_numpy(np.int64)
-        self.line = g["line_key"].to_numpy(object)
-        self.core = g["core"].to_numpy(object)
-        self.kind = g["branch_kind"].to_numpy(object).copy()
+    def __init__(self, rows: list[tuple], fork_days: float):
+        self.rows = rows
         self.fork_days = fork_days
-        self.hotfixed = np.zeros(len(g), bool)
-        self.row_of = np.zeros(len(g), np.int64)
+        self.kind = [r[4] for r in rows]
+        self.row_of: list[int] = []
         self.branches: list[dict] = []
+        self.by_core: dict[str, list[int]] = {}
         self.core_branch: dict[str, int] = {}
-
-    def latest(self, mask: np.ndarray) -> int | None:
-        """Latest of the masked earlier releases, the higher version on ties."""
-        at = np.flatnonzero(mask)
-        return int(at[np.lexsort((self.rank[at], self.day[at]))[-1]]) if len(at) else None
-
-    def nearest_major(self, i: int, mask: np.ndarray) -> int | None:
-        """As :meth:`latest`, among those with the smallest step in the major number."""
-        at = np.flatnonzero(mask)
-        if not len(at):
-            return None
-        gap = np.where((self.major[at] < 0) | (self.major[i] < 0), NO_GAP, self.major[i] - self.major[at])
-        gap = np.where(gap < 0, NO_GAP, gap)
-        return int(at[np.lexsort((self.rank[at], self.day[at], -gap))[-1]])
+        self.by_line: dict[str, list[int]] = {}
+
+    def when(self, i: int) -> tuple[float, int]:
+        return self.rows[i][6], self.rows[i][8]
+
+    def latest(self, i: int, max_age: float, hotfixes: bool) -> int | None:
+        """Latest lower release of the same core that is young enough, the higher version on ties."""
+        day, rank = self.when(i)
+        found = [
+            j
+            for j in self.by_core.get(self.rows[i][3], ())
+            if self.rows[j][8] < rank and day - self.rows[j][6] <= max_age and (hotfixes or self.kind[j] != "hotfix")
+        ]
+        return max(found, key=self.when, default=None)
+
+    def nearest_major(self, i: int, other_stable_line: bool) -> int | None:
+        """Lower release with the smallest step in the major number, the latest of these."""
+        _, _, _, _, _, line, _, major, rank = self.rows[i]
+        best, best_key = None, None
+        for j in range(i):
+            r = self.rows[j]
+            if r[8] >= rank or (other_stable_line and (self.kind[j] != "stable" or r[5] == line)):
+                continue
+            gap = major - r[7] if major >= 0 and 0 <= r[7] <= major else NO_GAP
+            key = (-gap, r[6], r[8])
+            if best_key is None or key > best_key:
+                best, best_key = j, key
+        return best
 
     def open(self, i: int, kind: str, family: str, anchor: int | None, label: str) -> int:
         row = len(self.branches)
-        parent = self.branches[self.row_of[anchor]] if anchor is not None else None
+        parent = None if anchor is None else self.row_of[anchor]
+        key = "main" if kind == "main" else f"{kind}@{label or 'unknown'}#{row}"
+        depth = 0 if parent is None else self.branches[parent]["depth"] + 1
         self.branches.append(
-            {
-                "key": "main" if kind == "main" else f"{kind}@{label or 'unknown'}#{row}",
-                "family": family,
-                "type": kind,
-                "line": self.line[i],
-                "parent": None if parent is None else int(self.row_of[anchor]),
-                "anchor": anchor,
-                "depth": 0 if parent is None else parent["depth"] + 1,
-                "tail": None,
-                "size": 0,
-            }
+            {"key": key, "family": family, "type": kind, "line": self.rows[i][5], "parent": parent, "anchor": anchor,
+             "depth": depth, "tail": None, "size": 0}
         )
+        if kind in ("main", "line"):
+            self.by_line.setdefault(self.rows[i][5], []).append(row)
         return row
 
     def appendable(self, row: int, i: int) -> bool:
-        return self.rank[self.branches[row]["tail"]] <= self.rank[i]
+        return self.rows[self.branches[row]["tail"]][8] <= self.rows[i][8]
 
     def choose(self, i: int) -> int:
         if not self.branches:
             return self.open(i, "main", "main", None, "")
-        line, core = self.line[i], self.core[i]
-        lower = np.zeros(len(self.rank), bool)
-        lower[:i] = self.rank[:i] < self.rank[i]
-        same_core = lower & (self.core == core) if core else np.zeros(len(lower), bool)
-        fix = self.latest(same_core & ~self.hotfixed & (self.day[i] - self.day <= HOTFIX_DAYS))
+        core, line = self.rows[i][3], self.rows[i][5]
+        fix = self.latest(i, HOTFIX_DAYS, False) if core else None
         if fix is not None:
             self.kind[i] = "hotfix"
-            self.hotfixed[i] = True
             return self.open(i, "hotfix", f"hotfix-{line}", fix, core or line)
-        own = [
-            r
-            for r, b in enumerate(self.branches)
-            if b["line"] == line and b["type"] in ("main", "line") and self.appendable(r, i)
-        ]
+        own = [r for r in self.by_line.get(line, ()) if self.appendable(r, i)]
         if own:
-            return max(own, key=lambda r: (self.day[self.branches[r]["tail"]], self.rank[self.branches[r]["tail"]]))
+            return max(own, key=lambda r: self.when(self.branches[r]["tail"]))
         if self.kind[i] == "stable":
-            prior = self.nearest_major(i, lower & (self.kind == "stable") & (self.line != line))
+            prior = self.nearest_major(i, True)
             if prior is not None:
                 return self.open(i, "line", f"line-{line}", prior, line)
-        if self.kind[i] in ("runtime-fork", "suffix-fork"):
-            base = self.latest(same_core & (self.day[i] - self.day <= self.fork_days))
+        if core and self.kind[i] in ("runtime-fork", "suffix-fork"):
+            base = self.latest(i, self.fork_days, True)
             if base is not None:
                 row = self.core_branch.get(core)
                 if row is None or not self.appendable(row, i):
-                    row = self.open(i, "same-core", f"core-{core}", base, core)
-                    self.core_branch[core] = row
+                    row = self.core_branch[core] = self.open(i, "same-core", f"core-{core}", base, core)
                 return row
-        return self.open(i, "line", f"line-{line}", self.nearest_major(i, lower), line)
+        return self.open(i, "line", f"line-{line}", self.nearest_major(i, False), line)
 
-    def run(self) -> pd.DataFrame:
-        cols = np.zeros(len(self.g), np.int64)
-        for i in range(len(self.g)):
+    def run(self) -> list[tuple]:
+        out = []
+        for i, (artifact, version, date, core, *_) in enumerate(self.rows):
             row = self.choose(i)
-            branch = self.branches[row]
-            self.row_of[i], cols[i] = row, branch["size"]
-            branch["tail"], branch["size"] = i, branch["size"] + 1
-        g, rows = self.g, self.row_of
-        of = lambda name: [self.branches[r][name] for r in rows]
-        parents, anchors = of("parent"), of("anchor")
-        at = lambda name, idx: [None if a is None else g[name].iloc[a] for a in idx]
-        return pd.DataFrame(
-            {
-                "artifact": g["artifact"],
-                "version": g["version"],
-                "release_date": g["release_date"],
-                "core": g["core"],
-                "matrix_row": rows,
-                "matrix_col": cols,
-                "branch_key": of("key"),
-                "branch_kind": self.kind,
-                "branch_family": of("family"),
-                "branch_type": of("type"),
-                "branch_depth": of("depth"),
-                "line_key": of("line"),
-                "parent_branch_key": [None if p is None else self.branches[p]["key"] for p in parents],
-                "parent_branch_row": pd.array(parents, dtype="Int32"),
-                "fork_anchor_version": at("version", anchors),
-                "fork_anchor_release_date": pd.to_datetime(pd.Series(at("release_date", anchors))),
-            }
-        )
+            b = self.branches[row]
+            self.row_of.append(row)
+            if core:
+                self.by_core.setdefault(core, []).append(i)
+            col, b["tail"], b["size"] = b["size"], i, b["size"] + 1
+            parent, anchor = b["parent"], b["anchor"]
+            fork = (None, None) if anchor is None else self.rows[anchor][1:3]
+            up = None if parent is None else self.branches[parent]["key"]
+            out.append(
+                (artifact, version, date, core, row, col, b["key"], self.kind[i], b["family"], b["type"], b["depth"],
+                 b["line"], up, parent, *fork)
+            )
+        return out
 
 
 def lineage(history: DataFrame, fork_days: float = FORK_WINDOW_DAYS) -> DataFrame:
     """Branch, position and fork anchor of every release.
 
-    Each step depends on the branches made by the steps before it, so an artifact's versions are folded in time
-    order inside one group; the parsing, the version ranks and all later steps are column expressions.
+    Each step depends on the branches made by the steps before it, so the versions of an artifact are folded in time
+    order. Spark parses, ranks, partitions and sorts; tasks then stream their sorted rows through the fold and hold
+    one artifact's distinct versions at a time.
     """
     ranked = history.select(
         "artifact",
@@ -233,11 +216,31 @@ def lineage(history: DataFrame, fork_days: float = FORK_WINDOW_DAYS) -> DataFram
         F.coalesce(F.get("semver", F.lit(0)), F.lit(-1)).alias("major"),
         F.row_number().over(Window.partitionBy("artifact").orderBy("order_key")).cast("bigint").alias("key_rank"),
     )
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        return _History(g.sort_values(["day", "key_rank"]).reset_index(drop=True), fork_days).run()
-
-    return ranked.groupBy("artifact").applyInPandas(fold, LINEAGE_SCHEMA)
+    # The window has already brought each artifact into one partition; sorting keeps it there.
+    names = [f.split()[0] for f in LINEAGE_SCHEMA.split(", ")]
+    schema = LINEAGE_SCHEMA
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            d = pd.DataFrame(rows, columns=names)
+            d["parent_branch_row"] = d["parent_branch_row"].astype("Int32")
+            d["fork_anchor_release_date"] = pd.to_datetime(d["fork_anchor_release_date"])
+            return d
+
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    out.extend(_History(held, fork_days).run())
+                    held = []
+                held.append(row)
+            if out:
+                yield table(out)
+        if held:
+            yield table(_History(held, fork_days).run())
+
+    return ranked.sortWithinPartitions("artifact", "day", "key_rank").mapInPandas(fold, schema)
 
 
 def version_tree(cells: DataFrame) -> DataFrame:

@@ -168,7 +168,11 @@ def sc9_files(spark, sf):
     )
 
 
-@query("sc10_read_archives")
+@query(
+    "sc10_read_archives",
+    """SELECT 'archive-' || k || '.jar' AS archive, 'com/lib/C' || i || '.class' AS entry, sha256('C' || i || '-' || k) AS sha
+    FROM (SELECT s_suppkey AS k, unnest(generate_series(0, s_suppkey % 4)) AS i FROM supplier)""",
+)
 def sc10(spark, sf):
     import io
     import zipfile
