@@ -101,4 +101,4 @@ def test_place_untested_and_pairs(spark):
     assert keys["mid2"] == "excel-unresolved@mid" and keys["pre"] == "excel-unresolved@prefix:1.0.0.0"
     assert [r["version"] for r in ln.still_unresolved(placed).collect()] == ["lost"]
     pairs = [(r["left_version"], r["right_version"], r["seek_patch"], r["cause"]) for r in ln.boundary_pairs(placed).orderBy("left_col").collect()]
-    assert pairs == [("pre", "1.0.0.0", False, ""), ("1.0.0.0", "mid", True, "c2"), ("mid", "mid2", False, "c2"), ("mid2", "1.0.3.0", True, "")]
+    assert pairs == [("pre", "1.0.0.0", False, ""), ("1.0.0.0", "mid", True, "c2"), ("mid", "mid2", None, None), ("mid2", "1.0.3.0", True, "")]

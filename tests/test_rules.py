@@ -47,8 +47,8 @@ def test_failure_subtypes(spark):
 def test_failure_kind_and_logs(spark):
     assert one(
         spark,
+        fl.classify_failure(L('exception in thread "main"')),
         fl.classify_failure(L('Exception in thread "main"')),
-        fl.classify_failure(L("exception in thread \"MAIN\"")),
         fl.classify_failure(L("Tests run: 3")),
         fl.classify_failure(L("fine")),
         fl.classify_log(L("a\nStatus:   trace_diff  \nb")),
