@@ -1,6 +1,6 @@
 """Times the headline queries and prints one JSON line.
 
-Every query runs once to warm up and then ``BENCH_RUNS`` times (default 3) into a sink that drops the rows; the
+Every query runs once to warm up and then ``BENCH_RUNS`` times (default 1) into a sink that drops the rows; the
 median counts.
 """
 
@@ -59,7 +59,7 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     registry.load_all()
     spark = local_session(cpus)
     wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
