@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipline.llm import simhash
+from flipline.llm import bpe, simhash, token_store
 from flipline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -22,6 +22,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), ids=False)
+
+
+@query("op5_token_store")
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.new_folder(spark)
+    token_store.write(read_table(spark, sf_dir, "documents"), folder)
+    return token_store.read(spark, folder)
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
