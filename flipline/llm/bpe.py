@@ -14,52 +14,29 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
-import pandas as pd
 import public_tokenizers
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipline.llm.common import map_texts
+from flipline.llm.pieces import PieceEncoder, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Entries of each memo of a worker; a full memo starts anew, which changes no result.
-MEMO = 400_000
-#: Longer pieces are not remembered.
-LONG = 48
-#: White space beside a space: then the spaces are not where pieces begin.
-UNEVEN = re.compile(r"^ | $| \s|\s ")
+#: Pairs remembered by a worker; a full memo starts anew, which changes no result.
+PAIRS = 1_000_000
 NEVER = 1 << 62
 
 
-class Memo(dict):
-    """Remembers a function of a text."""
-
-    def __init__(self, fn: Callable[[str], bytes]):
-        super().__init__()
-        self.fn = fn
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.fn(key)
-        if len(key) <= LONG:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Bpe:
     """Encoder and decoder for one file of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
         self.text_of = {i: b for b, i in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.memo_pairs: dict[int, bool] = {}
@@ -68,15 +45,13 @@ class Bpe:
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1 or self._divide(token, i):
                 automaton.add_word(token.decode("latin-1"), (i, len(token)))
-                for end in range(len(token) - 1, 0, -1):
-                    prefix = ranks.get(token[:end])
-                    if prefix is not None and (end == 1 or prefix in self.parts):
-                        self.shorter[i] = prefix
-                        break
         automaton.make_automaton()
+        for i in self.parts:
+            token = self.text_of[i]
+            prefixes = (ranks.get(token[:end]) for end in range(len(token) - 1, 0, -1))
+            self.shorter[i] = next(x for x in prefixes if x is not None and (x in self.parts or len(self.text_of[x]) == 1))
         self.matches = automaton.iter
-        self.pieces = Memo(self._packed)
-        self.after_space = Memo(lambda part: b"".join(map(self._packed, self.find(" " + part))))
+        self.texts = PieceEncoder(self._learn, "<u4")
 
     def _divide(self, token: bytes, i: int) -> bool:
         """Find the pair from whose merge a token comes; False if plain merging never makes it."""
@@ -121,7 +96,7 @@ class Bpe:
         key = a << 32 | b
         known = self.memo_pairs.get(key)
         if known is None:
-            if len(self.memo_pairs) >= MEMO:
+            if len(self.memo_pairs) >= PAIRS:
                 self.memo_pairs.clear()
             known = self.memo_pairs[key] = self._border_holds(a, b)
         return known
@@ -152,18 +127,12 @@ class Bpe:
                 token = found.pop()
                 start -= len(sizes[token])
 
-    def _packed(self, piece: str) -> bytes:
-        return np.array(self.encode_bytes(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: array("I", self.encode_bytes(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces}
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; none for a null or empty text."""
-        if not text:
-            return b""
-        if UNEVEN.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
-        first, *rest = text.split(" ")
-        head = b"".join(map(self.pieces.__getitem__, self.find(first)))
-        return head + b"".join(map(self.after_space.__getitem__, rest))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; none for a null or empty text."""
+        return self.texts.encode(texts)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.text_of.__getitem__, memoryview(packed).cast("I")))
@@ -184,16 +153,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True)
     """
     path = path or public_tokenizers.path(RANKS)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        rows = []
-        for text in frame["text"]:
-            packed = bpe.encode(text)
-            digest = hashlib.sha256(bpe.decode(packed)).hexdigest()
-            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest, packed if ids else None))
-        out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        return out.assign(doc_id=frame["doc_id"].astype("Int64").array)
+        for batch in batches:
+            for part in slices(batch):
+                packed = bpe.encode(part["text"])
+                columns = {
+                    "doc_id": part["doc_id"],
+                    "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()),
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
+                    "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in packed],
+                    "ids": pa.array(packed if ids else [None] * len(packed), pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
-    out = map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
     return out if ids else out.drop("ids")

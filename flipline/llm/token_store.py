@@ -26,7 +26,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flipline.llm.bpe import LONG, MEMO, UNEVEN
+from flipline.llm.pieces import PieceEncoder, slices
 from flipline.session import checkpoint_root
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,10 +48,10 @@ ALL = (1 << 64) - 1
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, which sees every different word once while it is remembered.
+    """Whole texts through the tokenizers library, which sees a piece once while it is remembered.
 
-    Where single spaces part the words, the library cuts a text before each space, so words are encoded apart:
-    those not yet known are strung together for one call, and its ids are cut at the words' bytes.
+    Pieces not yet known are strung together, parted as the pattern parts them, for one call whose ids are cut at the
+    pieces' bytes.
     """
 
     def __init__(self, path: str):
@@ -66,43 +65,28 @@ class LibraryEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # the vocabulary writes each byte as one character
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        fresh = {}
-        plain = [w for w in words if not w[-1].isspace()]
-        for w in set(words) - set(plain):
-            fresh[w] = self._whole(" " + w)
-        for at in range(0, len(plain), 2000):
-            group = plain[at : at + 2000]
-            line = "".join([" " + w for w in group])
-            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(w.encode()) + 1 for w in group])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            for w, (a, b) in zip(group, pairwise([0, *(cuts * width).tolist()]), strict=True):
-                fresh[w] = packed[a:b]
-        return fresh
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        even = [not UNEVEN.search(t) for t in texts]
-        parts = [t.split(" ") if e else [] for t, e in zip(texts, even, strict=True)]
-        wanted = set().union(*[p[1:] for p in parts])
-        if len(self.known) + len(wanted) > MEMO:
-            self.known.clear()
-        fresh = self._learn(sorted(wanted - self.known.keys()))
-        known = self.known
-        known.update(fresh)
-        out = []
-        for t, e, p in zip(texts, even, parts, strict=True):
-            out.append(self._whole(p[0]) + b"".join(map(known.__getitem__, p[1:])) if e else self._whole(t))
-        for w in [w for w in fresh if len(w) > LONG]:
-            del known[w]
-        return out
+        self.encode = PieceEncoder(self._learn, self.dtype.str).encode
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of pieces. A piece that begins with a space parts itself; a line feed parts the others."""
+        learnt = {p: self._ids(p).tobytes() for p in pieces if p[-1].isspace()}
+        for between, group in (
+            ("", [p for p in pieces if p not in learnt and p[0] == " "]),
+            ("\n", [p for p in pieces if p not in learnt and p[0] != " "]),
+        ):
+            for at in range(0, len(group), 2000):
+                some = group[at : at + 2000]
+                ids = self._ids(between.join(some))
+                sizes = np.array([len(p.encode()) for p in some])
+                ends = np.cumsum(sizes + len(between)) - len(between)
+                bytes_before = np.cumsum(self.sizes[ids])
+                first = np.searchsorted(bytes_before, ends - sizes, "right").tolist()
+                last = np.searchsorted(bytes_before, ends, "right").tolist()
+                learnt.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, first, last, strict=True))
+        return learnt
 
 
 @lru_cache(maxsize=2)
@@ -207,9 +191,8 @@ def _write_shard(folder: str, name: str, attempt: int, batches: Iterator[pa.Reco
     made = {x: posixpath.join(base, f"_{name}.{attempt}.{x}") for x in ("ids", "mph")}
     with fs.open_output_stream(made["ids"]) as out:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed = encoder.encode([t or "" for t in part["text"].to_pylist()])
+            for part in slices(batch):
+                packed = encoder.encode(part["text"])
                 for ids in packed:
                     out.write(ids + end)
                     sizes.append(len(ids) // encoder.dtype.itemsize + 1)
