@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,13 +43,29 @@ class PieceEncoder:
                 del known[w]
         return known if len(known) <= MEMO else dict(list(known.items())[len(known) - MEMO // 2 :])
 
+    def _known(self, wanted: Iterable[str]) -> list[str]:
+        """Learn the pieces not yet known; returns them."""
+        missing = sorted(set(wanted).difference(self.pieces))
+        self.pieces.update(self.learn(missing))
+        return missing
+
     def _look_up(self, cut: list[list[str]]) -> list[bytes]:
-        missing = set().union(*cut).difference(self.pieces)
-        self.pieces.update(self.learn(sorted(missing)))
+        missing = self._known(chain.from_iterable(cut))
         found = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
         self.pieces = self._trim(self.pieces, missing)
         return found
 
+    def _new_words(self, fresh: list[str]) -> None:
+        """Add words to the memo; one of letters only is one piece with the space before it."""
+        plain = [w for w in fresh if w.isalpha()]
+        pieces = [" " + w for w in plain]
+        missing = self._known(pieces)
+        self.words.update(zip(plain, map(self.pieces.__getitem__, pieces), strict=True))
+        self.pieces = self._trim(self.pieces, missing)
+        mixed = [w for w in fresh if not w.isalpha()]
+        cut = [self.find(w[1:] if w[0] == "\n" else " " + w) for w in mixed]
+        self.words.update(zip(mixed, self._look_up(cut), strict=True))
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The packed ids of each text of a slice; a null text is empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -62,8 +79,7 @@ class PieceEncoder:
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.words]
-        cut = [[" " + w] if w.isalpha() else self.find(w[1:] if w[0] == "\n" else " " + w) for w in fresh]
-        self.words.update(zip(fresh, self._look_up(cut), strict=True))
+        self._new_words(fresh)
         packed = list(map(self.words.__getitem__, words))
         self.words = self._trim(self.words, fresh)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
