@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipline.llm import bpe, simhash, token_store
-from flipline.llm.common import read_table
+from flipline.llm import bpe, decontam, langid, simhash, sparse_suffix, token_store, toxicity, url_lm, winnow
+from flipline.llm.common import crc32_mod, read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_lm.filter_urls(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    shown = crc32_mod(F.col("doc_id"), 5) != 0
+    model = toxicity.fit(docs.where(shown), labels.where(shown))
+    held_out = F.coalesce(~shown, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc_positions")
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), ids=False)
@@ -34,7 +54,29 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder)
 
 
+@query("op6_winnowing")
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare_edited(read_table(spark, sf_dir, "documents"))
+    fingerprint = winnow.printed(F.col("entries")).alias("fingerprint")
+    edited = winnow.printed(F.col("edited_entries")).alias("edited_fingerprint")
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next")
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    shown = crc32_mod(F.col("doc_id"), 4) != 2
+    model = langid.fit(docs.where(shown))
+    held_out = F.coalesce(~shown, F.lit(False)).alias("held_out")
+    return langid.detect(docs, model, spans=False).select("doc_id", held_out, "lang_pred", "score")
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_repeated_passages")
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row_key")
