@@ -45,6 +45,11 @@ def join_counted(
     return left.join(hot_side, on).unionByName(left.join(hot_keys, on, "left_anti").join(cold_side, on))
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Apply ``fn`` to a value that is worked out once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def map_texts(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 512, chars: int = 4_000_000
 ) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flipline.llm.common import once
+
 WINDOW = 8
 #: A pair is reported if it shares this many windows of one item, so WINDOW - 1 more words, or this part of its windows.
 LEAST_WINDOWS = 6
@@ -39,7 +41,8 @@ TOKEN = rf"[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers of a text; names and units carry a mark before them. Null counts as empty."""
     clean = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT, "  ")
-    marked = F.regexp_replace(F.regexp_replace(clean, INNER_CAPITAL, NAME), AFTER_NUMBER, UNIT)
+    named = F.regexp_replace(clean, INNER_CAPITAL, NAME)
+    marked = F.when(clean.rlike(r"\p{N}"), F.regexp_replace(named, AFTER_NUMBER, UNIT)).otherwise(named)
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
@@ -53,28 +56,49 @@ def template(token: Column) -> Column:
     return F.when(code == 2, "<name>").when(code == 3, "<unit>").when(code.between(48, 57), "<num>").otherwise(token)
 
 
+def _rolled(t: Column, window: int) -> Column:
+    """The hash of each run of ``window`` of the hashes, one of all of them if there are fewer.
+
+    Runs of twice the length come from two neighbouring ones, the later rotated by a turn of its own, so order counts.
+    """
+
+    def joining(step: int, turn: int):
+        def joined(a: Column) -> Column:
+            def pair(x: Column, i: Column) -> Column:
+                y = F.get(a, i + step)
+                return x.bitwiseXOR(F.shiftleft(y, turn)).bitwiseXOR(F.shiftrightunsigned(y, 64 - turn))
+
+            return F.transform(F.slice(a, 1, F.size(a) - step), pair)
+
+        return joined
+
+    rolled, span, turn = t, 1, 7
+    while span < window:
+        step = min(span, window - span)
+        rolled = once(rolled, joining(step, turn))
+        span, turn = span + step, turn * 2 + 5
+    return F.when(F.size(t) >= window, rolled).otherwise(F.array(F.when(F.size(t) > 0, F.xxhash64(t))))
+
+
 def windows(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     """(key, pos, h, n_windows, slots) for every window of ``text``; a text of fewer words is one window of all of them.
 
     ``slots`` holds a hash of the value of each slot in the window and 0 elsewhere; null if the text has no slot. A text without
-    words has no window.
+    words has one window with a null hash, which meets nothing.
     """
-    worked = rows.select(F.col(key), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    worked = rows.select(F.col(key), tokens(F.col("text")).alias("w"))
+    value = lambda x: F.when(_is_slot(x), F.xxhash64(x)).otherwise(F.lit(0).cast("long"))
     hashed = worked.select(
         key,
         F.transform("w", lambda x: F.xxhash64(template(x))).alias("t"),
-        F.when(F.exists("w", _is_slot), F.transform("w", lambda x: F.when(_is_slot(x), F.xxhash64(x)).otherwise(F.lit(0).cast("long")))).alias("s"),
+        F.when(F.exists("w", _is_slot), F.transform("w", value)).alias("s"),
     )
-    n = F.greatest(F.lit(1), F.size("t") - (window - 1))
+    rolled = hashed.select(key, "s", _rolled(F.col("t"), window).alias("r"))
     listed = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(*[F.get("t", i + j) for j in range(window)]).alias("h"),
-            F.slice("s", i + 1, window).alias("slots"),
-        ),
+        "r", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.slice("s", i + 1, window).alias("slots"))
     )
-    return hashed.select(key, n.alias("n_windows"), F.inline(listed))
+    # The outer form lists the same rows, but keeps the optimiser from testing the whole list for emptiness first.
+    return rolled.select(key, F.size("r").alias("n_windows"), F.inline_outer(listed))
 
 
 def contaminated(

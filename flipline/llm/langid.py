@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flipline.llm.pieces import slices
+
 #: Labelled texts from which a language is learnt at most, chosen by the hash of their id; a bound on training alone.
 TRAIN_TEXTS = 4000
 BUCKETS = 1 << 15
@@ -230,8 +232,6 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from flipline.llm.pieces import slices
-
         for batch in batches:
             for part in slices(batch):
                 texts = part["text"].to_pylist()
@@ -247,3 +247,23 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
 
     schema = SCHEMA if spans else SCHEMA[: SCHEMA.index(", spans")]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, switch: float = SWITCH) -> DataFrame:
+    """Rows of ``docs`` whose language is known with a score of at least ``least``; a null ``lang`` is filled in.
+
+    Null and empty texts and texts without letters go. All columns stay as they are otherwise.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema, names = docs.schema, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = label_texts(sent.value, part["text"].to_pylist(), switch)
+                if "lang" in names and part["lang"].null_count:
+                    filled = [r["lang_pred"] if x is None else x for x, r in zip(part["lang"].to_pylist(), rows, strict=True)]
+                    part = part.set_column(names.index("lang"), "lang", pa.array(filled, part["lang"].type))
+                yield part.filter(pa.array([r["lang_pred"] != UNKNOWN and r["score"] >= least for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, schema) if model.languages else docs.limit(0)

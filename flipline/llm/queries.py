@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipline.llm import bpe, decontam, langid, simhash, sparse_suffix, token_store, toxicity, url_lm, winnow
+from flipline.llm import bpe, decontam, langid, secret_crf, simhash, sparse_suffix, token_store, toxicity, url_lm, winnow
 from flipline.llm.common import crc32_mod, read_table
 
 QUERIES: dict = {}
@@ -22,6 +22,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _equals(value: str):
+    return lambda x: x == value
+
+
 @query("op1_url_filter")
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_lm.filter_urls(read_table(spark, sf_dir, "pages"))
@@ -77,6 +81,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_crf.scan(docs, secret_crf.fit(docs))
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "crf"), one), ",")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{k}") for k in secret_crf.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"))
+
+
 @query("op10_repeated_passages")
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row_key")

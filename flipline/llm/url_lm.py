@@ -65,7 +65,7 @@ def _grams(texts: DataFrame) -> DataFrame:
     windows = F.transform(
         F.sequence(F.lit(1), F.char_length("t") + 1), lambda i: F.array_join(F.slice(F.col("chars"), i, ORDER + 1), "")
     )
-    return texts.withColumn("chars", chars).withColumn("gram", F.explode(windows)).drop("chars")
+    return texts.withColumn("chars", chars).withColumn("gram", F.explode_outer(windows)).drop("chars")
 
 
 def _log_ratios(counted: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipline.llm.common import cut
+from flipline.llm.common import cut, once
 
 K = 3
 WINDOW = 6
@@ -40,12 +40,7 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
         kept = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(*[F.get(p, i + j) for j in range(window)]))
         return F.when(F.size(p) > 0, F.array_distinct(kept)).otherwise(p)
 
-    return _then(_then(_then(words, grams), packed), least)
-
-
-def _then(value: Column, fn) -> Column:
-    """Apply ``fn`` to a value that is worked out once."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
+    return once(once(once(words, grams), packed), least)
 
 
 def hashes(entries: Column) -> Column:
