@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words and pieces remembered by a worker. A full memo drops its older half, which changes no result.
-MEMO = 600_000
+#: Words, and pieces, of each of the two generations that a worker remembers; this changes no result.
+MEMO = 300_000
 #: Longer words are not remembered.
 LONG = 48
 SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -20,6 +20,33 @@ SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 UNEVEN = rf"\A |{SPACES} | {SPACES}| \z"
 
 
+class Memory:
+    """What is known of texts. When the young generation is full it becomes the old one, whose entries return when asked for."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """The keys not known; all others are now in the young generation."""
+        young, old, out = self.young, self.old, []
+        for key in [k for k in keys if k not in young]:
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+    def settle(self, fresh: Iterable[str]) -> None:
+        """To be called when a slice is done: forgets long keys among the fresh ones, and ages."""
+        for key in fresh:
+            if len(key) > LONG:
+                self.young.pop(key, None)
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+
+
 class PieceEncoder:
     """Encodes whole texts with ``learn``, which gives the packed ids of pieces.
 
@@ -32,39 +59,32 @@ class PieceEncoder:
         self.learn = learn
         self.dtype = np.dtype(dtype)
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def _trim(known: dict[str, bytes], fresh: Iterable[str]) -> dict[str, bytes]:
-        """Forget long words and, if there are too many, the older half."""
-        for w in fresh:
-            if len(w) > LONG:
-                del known[w]
-        return known if len(known) <= MEMO else dict(list(known.items())[len(known) - MEMO // 2 :])
+        self.words = Memory()
+        self.pieces = Memory()
 
     def _known(self, wanted: Iterable[str]) -> list[str]:
         """Learn the pieces not yet known; returns them."""
-        missing = sorted(set(wanted).difference(self.pieces))
-        self.pieces.update(self.learn(missing))
-        return missing
+        fresh = self.pieces.unknown(set(wanted))
+        self.pieces.young.update(self.learn(sorted(fresh)))
+        return fresh
 
     def _look_up(self, cut: list[list[str]]) -> list[bytes]:
-        missing = self._known(chain.from_iterable(cut))
-        found = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        self.pieces = self._trim(self.pieces, missing)
+        fresh = self._known(chain.from_iterable(cut))
+        known = self.pieces.young
+        found = [b"".join(map(known.__getitem__, c)) for c in cut]
+        self.pieces.settle(fresh)
         return found
 
     def _new_words(self, fresh: list[str]) -> None:
         """Add words to the memo; one of letters only is one piece with the space before it."""
         plain = [w for w in fresh if w.isalpha()]
         pieces = [" " + w for w in plain]
-        missing = self._known(pieces)
-        self.words.update(zip(plain, map(self.pieces.__getitem__, pieces), strict=True))
-        self.pieces = self._trim(self.pieces, missing)
+        learnt = self._known(pieces)
+        self.words.young.update(zip(plain, map(self.pieces.young.__getitem__, pieces), strict=True))
+        self.pieces.settle(learnt)
         mixed = [w for w in fresh if not w.isalpha()]
         cut = [self.find(w[1:] if w[0] == "\n" else " " + w) for w in mixed]
-        self.words.update(zip(mixed, self._look_up(cut), strict=True))
+        self.words.young.update(zip(mixed, self._look_up(cut), strict=True))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The packed ids of each text of a slice; a null text is empty."""
@@ -78,10 +98,10 @@ class PieceEncoder:
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.words]
+        fresh = self.words.unknown(words)
         self._new_words(fresh)
-        packed = list(map(self.words.__getitem__, words))
-        self.words = self._trim(self.words, fresh)
+        packed = list(map(self.words.young.__getitem__, words))
+        self.words.settle(fresh)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
         first = np.cumsum(sizes) - sizes
         index = coded.indices.to_numpy()
