@@ -65,7 +65,7 @@ class PieceEncoder:
     def _known(self, wanted: Iterable[str]) -> list[str]:
         """Learn the pieces not yet known; returns them."""
         fresh = self.pieces.unknown(set(wanted))
-        self.pieces.young.update(self.learn(sorted(fresh)))
+        self.pieces.young.update(self.learn(fresh))
         return fresh
 
     def _look_up(self, cut: list[list[str]]) -> list[bytes]:

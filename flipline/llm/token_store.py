@@ -72,11 +72,9 @@ class LibraryEncoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The packed ids of pieces. A piece that begins with a space parts itself; a line feed parts the others."""
-        learnt = {p: self._ids(p).tobytes() for p in pieces if p[-1].isspace()}
-        for between, group in (
-            ("", [p for p in pieces if p not in learnt and p[0] == " "]),
-            ("\n", [p for p in pieces if p not in learnt and p[0] != " "]),
-        ):
+        solid = [p for p in pieces if not p[-1].isspace()]
+        learnt = {p: self._ids(p).tobytes() for p in set(pieces).difference(solid)} if len(solid) < len(pieces) else {}
+        for between, group in (("", [p for p in solid if p[0] == " "]), ("\n", [p for p in solid if p[0] != " "])):
             for at in range(0, len(group), 2000):
                 some = group[at : at + 2000]
                 ids = self._ids(between.join(some))
