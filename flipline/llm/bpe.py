@@ -28,7 +28,9 @@ from flipline.llm.pieces import PieceEncoder, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pairs remembered by a worker; a full memo starts anew, which changes no result.
-PAIRS = 1_000_000
+PAIRS = 300_000
+#: Words, and pieces, of each generation that a worker remembers.
+MEMO = 120_000
 NEVER = 1 << 62
 
 
@@ -51,7 +53,7 @@ class Bpe:
             prefixes = (ranks.get(token[:end]) for end in range(len(token) - 1, 0, -1))
             self.shorter[i] = next(x for x in prefixes if x is not None and (x in self.parts or len(self.text_of[x]) == 1))
         self.matches = automaton.iter
-        self.texts = PieceEncoder(self._learn, "<u4")
+        self.texts = PieceEncoder(self._learn, "<u4", memo=MEMO)
 
     def _divide(self, token: bytes, i: int) -> bool:
         """Find the pair from whose merge a token comes; False if plain merging never makes it."""
@@ -156,7 +158,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=4_000_000):
                 packed = bpe.encode(part["text"])
                 columns = {
                     "doc_id": part["doc_id"],

@@ -23,7 +23,8 @@ UNEVEN = rf"\A |{SPACES} | {SPACES}| \z"
 class Memory:
     """What is known of texts. When the young generation is full it becomes the old one, whose entries return when asked for."""
 
-    def __init__(self):
+    def __init__(self, size: int):
+        self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -43,7 +44,7 @@ class Memory:
         for key in fresh:
             if len(key) > LONG:
                 self.young.pop(key, None)
-        if len(self.young) > MEMO:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
 
@@ -55,12 +56,18 @@ class PieceEncoder:
     texts are cut into pieces as a whole.
     """
 
-    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]], dtype: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(
+        self,
+        learn: Callable[[list[str]], dict[str, bytes]],
+        dtype: str,
+        pattern: str = public_tokenizers.PATTERN,
+        memo: int = MEMO,
+    ):
         self.learn = learn
         self.dtype = np.dtype(dtype)
         self.find = regex.compile(pattern).findall
-        self.words = Memory()
-        self.pieces = Memory()
+        self.words = Memory(memo)
+        self.pieces = Memory(memo)
 
     def _known(self, wanted: Iterable[str]) -> list[str]:
         """Learn the pieces not yet known; returns them."""
