@@ -122,11 +122,12 @@ SEMANTIC_TERM = (
 )
 TERM_SPLIT = r"(?U)[\s\x1c-\x1f,]+"
 TERM_EDGE = "`'\"[](){}:;,.!?"
-STOP_WORDS = (
-    "a an and are bad baseline case cases cve details effective error errors exception fail failed failure "
-    "failures file files final first individual line lines location please reason refer regression results "
-    "round run scenario selected skipped target test tests there trace version versions"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "bad", "baseline", "case", "cases", "cve", "details", "effective", "error", "errors",
+    "exception", "fail", "failed", "failure", "failures", "file", "files", "final", "first", "individual", "line",
+    "lines", "location", "please", "reason", "refer", "regression", "results", "round", "run", "scenario", "selected",
+    "skipped", "target", "test", "tests", "there", "trace", "version", "versions",
+]
 TERM_FILE_SUFFIXES = r"(?i)(?:\.class\.diff|\.class|\.diff|\.json|\.txt|\.java|\.log)+$"
 TERM_IGNORED_TAILS = ["class", "diff", "json", "txt", "java", "log"]
 

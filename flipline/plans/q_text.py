@@ -217,6 +217,14 @@ def tk2(spark, sf):
     return se.keyword_search(doc_lines(spark, sf), "Licens, (released) 'under' the version Apache that!")
 
 
+@query(
+    "tk2_keyword_search_20",
+    f"SELECT score, path, line_no, {shorten_sql('line', 180)} AS line FROM (SELECT {score_sql(['licens', 'released', 'under', 'apache', 'that'])} AS score, * FROM ({DOC_LINES})) WHERE score > 0 ORDER BY score DESC, path, line_no LIMIT 20",
+)
+def tk2_20(spark, sf):
+    return se.keyword_search(doc_lines(spark, sf), "Licens, (released) 'under' the version Apache that!", k=20)
+
+
 @query(
     "tk2_keyword_search_glob",
     f"SELECT score, path, line_no, {shorten_sql('line', 180)} AS line FROM (SELECT {score_sql(['thin', 'docs'])} AS score, * FROM ({DOC_LINES}) WHERE path LIKE 'docs/%7.txt') WHERE score > 0 ORDER BY score DESC, path, line_no LIMIT 5",
