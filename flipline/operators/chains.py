@@ -103,7 +103,9 @@ def _known_labels(df: DataFrame, part: list[str], pos: str, code: str, fwd: str,
 
 
 def _chain(df: DataFrame, cve: str, contiguous: bool) -> tuple[DataFrame, list[str]]:
-    """Partition column of a chain scan: the issue, or nothing when rows of an issue lie apart."""
+    """Partition column of a chain scan: nothing, so that rows are compared with their neighbours in the table, or the
+    issue where all its rows follow each other. Either way blocks of positions spread the rows over tasks; only the
+    small carry rows, one per block, are ordered together."""
     return df.withColumn("__part", raw_text(cve) if contiguous else F.lit("")), ["__part"]
 
 
@@ -114,13 +116,15 @@ def propagate_default(
     library: str = "Library",
     outcome: str = "Execution Result",
     verdict: str = "LLM_Verdict",
-    contiguous: bool = True,
+    contiguous: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Fill undecided rows: reproduced rows are affected, patch negatives spread down an issue's run of rows,
     introduction negatives spread up a run of the same issue and library.
 
-    ``contiguous`` says that all rows of an issue follow each other; pass False for a table where they do not.
+    Runs are of adjacent rows. ``contiguous`` promises that the table is sorted by issue, so that no other issue's row
+    interrupts a run; the result is then the same and the carry rows are ordered per issue. On a table where issues
+    interleave it would join runs that are not adjacent.
     """
     d, part = _chain(df, cve, contiguous)
     label = F.when(
@@ -146,13 +150,14 @@ def propagate_full(
     poc: str = "PoC",
     outcome: str = "Execution Result",
     verdict: str = "LLM_Verdict",
-    contiguous: bool = True,
+    contiguous: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Fill undecided rows inside runs of one (issue, library, outcome bucket, exploit).
 
     Six ordered spreads of the sequential definition come down to the nearest known label on both sides: rows
-    between two known labels share both, so the first spread that applies fills all of them.
+    between two known labels share both, so the first spread that applies fills all of them. Runs are of adjacent
+    rows; ``contiguous`` is as in :func:`propagate_default`.
     """
     d, part = _chain(df, cve, contiguous)
     bucket = F.when(F.upper(raw_text(outcome)) == APPEARS, APPEARS).otherwise("OTHER")
@@ -188,11 +193,12 @@ def conflict_zone(
     outcome: str = "Execution Result",
     verdict: str = "LLM_Verdict",
     score: str | None = None,
-    contiguous: bool = True,
+    contiguous: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mark rows next to a row of the same (issue, library, exploit) in the other outcome bucket when one of
-    the two carries a positive label, and say what a refinement score would have done to them."""
+    the two carries a positive label, and say what a refinement score would have done to them. Rows are compared with
+    the rows just before and after them; ``contiguous`` is as in :func:`propagate_default`."""
     d, part = _chain(df, cve, contiguous)
     d = d.withColumn(
         "__me",

@@ -18,7 +18,8 @@ def with_sql(*views: str) -> str:
 SQL: dict[str, str] = {}
 
 # --- chain: events as a result table ----------------------------------------------------------------------
-# event_id grows with ts, so it is the row position; rows of one user form the chain of one issue.
+# event_id grows with ts, so it is the row position; the issues, one per user, interleave. chain_sorted has the same rows
+# sorted by issue.
 SQL["chain"] = """
 SELECT event_id AS row_pos, 'CVE-' || user_id AS CVE_ID, 'lib' || (event_id % 3) AS Library,
   'poc' || (user_id // 50) AS PoC, '1.' || k AS Version,
@@ -57,6 +58,17 @@ def chain(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Rows of one issue are apart by event_id, rows of different issues by at least this much.
+SPREAD = 10**12
+SQL["chain_sorted"] = f"SELECT * REPLACE (CAST(substr(CVE_ID, 5) AS BIGINT) * {SPREAD} + row_pos AS row_pos) FROM ({SQL['chain']})"
+
+
+def chain_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain with positions that put all rows of an issue together."""
+    issue = F.substring("CVE_ID", 5, 20).cast("long")
+    return chain(spark, sf).withColumn("row_pos", issue * F.lit(SPREAD) + F.col("row_pos"))
+
+
 CHAIN = {"outcome": "outcome", "verdict": "verdict"}
 
 # --- scored: labelled documents as judged rows ------------------------------------------------------------

@@ -11,34 +11,44 @@ from flipline.plans.registry import query
 
 NAMES = dict(outcome="outcome", verdict="verdict")
 
+# Runs are of adjacent rows: {p}run counts the rows whose key differs from that of the row just before them.
+_RUN = """SELECT *, sum({p}chg) OVER (ORDER BY row_pos) AS {p}run FROM (
+  SELECT *, CASE WHEN {key} = lag({key}) OVER (ORDER BY row_pos) THEN 0 ELSE 1 END AS {p}chg FROM ({src}))"""
 # Label before and after each row inside a run: the last and next value that is not No_Data.
 _KNOWN = """
-SELECT *, last_value(CASE WHEN v <> 'No_Data' THEN v END IGNORE NULLS) OVER (PARTITION BY {run} ORDER BY row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {p}b,
-  first_value(CASE WHEN v <> 'No_Data' THEN v END IGNORE NULLS) OVER (PARTITION BY {run} ORDER BY row_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {p}a FROM ({src})
+SELECT *, last_value(CASE WHEN v <> 'No_Data' THEN v END IGNORE NULLS) OVER (PARTITION BY {p}run ORDER BY row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {p}b,
+  first_value(CASE WHEN v <> 'No_Data' THEN v END IGNORE NULLS) OVER (PARTITION BY {p}run ORDER BY row_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {p}a FROM ({src})
 """
-_STEP1 = "SELECT *, CASE WHEN verdict = 'No_Data' AND outcome = 'APPEARS' THEN 'affected' ELSE verdict END AS v FROM chain"
-_RUN = """SELECT *, sum(chg) OVER (PARTITION BY CVE_ID ORDER BY row_pos) AS run FROM (
-  SELECT *, CASE WHEN {key} = lag({key}) OVER (PARTITION BY CVE_ID ORDER BY row_pos) THEN 0 ELSE 1 END AS chg FROM ({src}))"""
-
-_AN1 = (
-    "SELECT row_pos, CASE WHEN v <> 'No_Data' THEN v WHEN fb = 'not affected_patch' THEN fb WHEN ba = 'not affected_intro' THEN ba ELSE v END AS verdict FROM ("
-    + _KNOWN.format(run="CVE_ID, run", p="b", src=_RUN.format(key="Library", src=_KNOWN.format(run="CVE_ID", p="f", src=_STEP1)))
-    + ")"
-)
+_STEP1 = "SELECT *, CASE WHEN verdict = 'No_Data' AND outcome = 'APPEARS' THEN 'affected' ELSE verdict END AS v FROM {table}"
+
+
+def _known(key: str, p: str, src: str) -> str:
+    return _KNOWN.format(p=p, src=_RUN.format(p=p, key=key, src=src))
 
 
-@query("an1_propagate_default", b.with_sql("chain") + _AN1)
+def _an1(table: str) -> str:
+    both = _known("(CVE_ID, Library)", "b", _known("CVE_ID", "f", _STEP1.format(table=table)))
+    return f"""SELECT row_pos, CASE WHEN v <> 'No_Data' THEN v WHEN fb = 'not affected_patch' THEN fb WHEN ba = 'not affected_intro' THEN ba ELSE v END AS verdict FROM ({both})"""
+
+
+@query("an1_propagate_default", b.with_sql("chain") + _an1("chain"))
 def an1(spark, sf):
     return ch.propagate_default(b.chain(spark, sf), **NAMES).select("row_pos", "verdict")
 
 
-_AN2 = (
-    """SELECT row_pos, CASE WHEN v <> 'No_Data' THEN v WHEN rb = 'not affected_patch' THEN rb WHEN ra = 'not affected_intro' THEN ra
+@query("an1_propagate_sorted", b.with_sql("chain_sorted") + _an1("chain_sorted"))
+def an1_sorted(spark, sf):
+    return ch.propagate_default(b.chain_sorted(spark, sf), contiguous=True, **NAMES).select("row_pos", "verdict")
+
+
+def _an2(table: str) -> str:
+    runs = _known("(CVE_ID, Library, outcome = 'APPEARS', PoC)", "r", _STEP1.format(table=table))
+    return f"""SELECT row_pos, CASE WHEN v <> 'No_Data' THEN v WHEN rb = 'not affected_patch' THEN rb WHEN ra = 'not affected_intro' THEN ra
   WHEN rb = 'affected_patch' THEN rb WHEN ra = 'affected_patch' THEN ra WHEN ra = 'affected_intro' THEN ra WHEN rb = 'affected_intro' THEN rb ELSE v END AS verdict,
-  CVE_ID, Library, PoC, outcome, outcome = 'APPEARS' AS bucket FROM ("""
-    + _KNOWN.format(run="CVE_ID, run", p="r", src=_RUN.format(key="(Library, outcome = 'APPEARS', PoC)", src=_STEP1))
-    + ")"
-)
+  CVE_ID, Library, PoC, outcome, outcome = 'APPEARS' AS bucket FROM ({runs})"""
+
+
+_AN2 = _an2("chain")
 
 
 @query("an2_propagate_full", b.with_sql("chain") + f"SELECT row_pos, verdict FROM ({_AN2})")
@@ -46,23 +56,36 @@ def an2(spark, sf):
     return ch.propagate_full(b.chain(spark, sf), **NAMES).select("row_pos", "verdict")
 
 
+@query("an2_propagate_sorted", b.with_sql("chain_sorted") + f"SELECT row_pos, verdict FROM ({_an2('chain_sorted')})")
+def an2_sorted(spark, sf):
+    return ch.propagate_full(b.chain_sorted(spark, sf), contiguous=True, **NAMES).select("row_pos", "verdict")
+
+
 _NEAR = " OR ".join(
-    f"""coalesce({fn}(Library) OVER w = Library AND {fn}(PoC) OVER w = PoC AND {fn}(bucket) OVER w <> bucket
+    f"""coalesce({fn}(CVE_ID) OVER w = CVE_ID AND {fn}(Library) OVER w = Library AND {fn}(PoC) OVER w = PoC AND {fn}(bucket) OVER w <> bucket
     AND (verdict IN ('affected_intro', 'affected_patch') OR {fn}(verdict) OVER w IN ('affected_intro', 'affected_patch')), false)"""
     for fn in ("lag", "lead")
 )
 
 
-@query(
-    "an3_conflict_zone",
-    b.with_sql("chain")
-    + f"""SELECT row_pos, z AS in_conflict_zone, CASE WHEN z THEN 0.5 ELSE 0.0 END AS refinement_score,
+def _an3(table: str) -> str:
+    return f"""SELECT row_pos, z AS in_conflict_zone, CASE WHEN z THEN 0.5 ELSE 0.0 END AS refinement_score,
     CASE WHEN z THEN 'abstain_low_confidence' ELSE 'skipped_no_conflict' END AS refinement_decision FROM (
-    SELECT row_pos, {_NEAR} AS z FROM ({_AN2}) WINDOW w AS (PARTITION BY CVE_ID ORDER BY row_pos))""",
-)
+    SELECT row_pos, {_NEAR} AS z FROM ({_an2(table)}) WINDOW w AS (ORDER BY row_pos))"""
+
+
+_AN3_COLUMNS = ["row_pos", "in_conflict_zone", "refinement_score", "refinement_decision"]
+
+
+@query("an3_conflict_zone", b.with_sql("chain") + _an3("chain"))
 def an3(spark, sf):
-    d = ch.conflict_zone(ch.propagate_full(b.chain(spark, sf), **NAMES), **NAMES)
-    return d.select("row_pos", "in_conflict_zone", "refinement_score", "refinement_decision")
+    return ch.conflict_zone(ch.propagate_full(b.chain(spark, sf), **NAMES), **NAMES).select(_AN3_COLUMNS)
+
+
+@query("an3_conflict_zone_sorted", b.with_sql("chain_sorted") + _an3("chain_sorted"))
+def an3_sorted(spark, sf):
+    full = ch.propagate_full(b.chain_sorted(spark, sf), contiguous=True, **NAMES)
+    return ch.conflict_zone(full, contiguous=True, **NAMES).select(_AN3_COLUMNS)
 
 
 _AN4 = """

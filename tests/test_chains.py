@@ -81,8 +81,17 @@ def test_propagation_matches_sequential(spark, contiguous):
             assert verdicts(ch.propagate_full(df, **kw)) == seq_full(rows)
 
 
-def test_conflict_zone_matches_sequential(spark):
-    rows = make_rows(11, True)
+def test_propagation_compares_neighbours_by_default(spark):
+    for seed in range(2):
+        rows = make_rows(seed, False)
+        df = frame(spark, rows).repartition(3)
+        assert verdicts(ch.propagate_default(df, block_rows=7)) == seq_default(rows)
+        assert verdicts(ch.propagate_full(df, block_rows=7)) == seq_full(rows)
+
+
+@pytest.mark.parametrize("sorted_rows", [True, False])
+def test_conflict_zone_matches_sequential(spark, sorted_rows):
+    rows = make_rows(11, sorted_rows)
     got = [r["in_conflict_zone"] for r in ch.conflict_zone(frame(spark, rows), block_rows=5).orderBy("row_pos").collect()]
     want = []
     for i, r in enumerate(rows):
