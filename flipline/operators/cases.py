@@ -225,6 +225,16 @@ def batch_summary(scheduled: DataFrame, results: DataFrame, case: str = "case_id
     )
 
 
+def batch_counts(scheduled: DataFrame, results: DataFrame, fields: list[str], case: str = "case_id") -> DataFrame:
+    """Scheduled cases with a result per value of each field, as rows (field, value, cases); no value counts as unknown."""
+    done = results.join(scheduled.select(case), case, "left_semi")
+    named = [
+        F.struct(F.lit(f).alias("field"), F.coalesce(F.nullif(F.col(f).cast("string"), F.lit("")), F.lit("unknown")).alias("value"))
+        for f in fields
+    ]
+    return done.select(F.inline(F.array(*named))).groupBy("field", "value").agg(F.count(F.lit(1)).alias("cases"))
+
+
 def backfill_description(cases: DataFrame, catalog: DataFrame, cve: str = "cve_id") -> DataFrame:
     """Take the catalog's description where it differs; mark changed cases and issues the catalog lacks."""
     known = catalog.select(F.col("cve").alias(cve), clean_text("description").alias("__d")).where("__d <> ''")

@@ -202,6 +202,24 @@ def ag12(spark, sf):
     return cs.batch_summary(c, results)
 
 
+_DONE = "SELECT coalesce(nullif(status, ''), 'unknown') AS status, CASE k % 4 WHEN 0 THEN 'dependency' WHEN 1 THEN 'symbol' ELSE 'unknown' END AS subtype FROM cases WHERE k % 10 < 8"
+
+
+@query(
+    "ag12_batch_counts",
+    b.with_sql("cases")
+    + f"""SELECT 'status' AS field, status AS value, count(*) AS cases FROM ({_DONE}) GROUP BY 2
+    UNION ALL SELECT 'subtype', subtype, count(*) FROM ({_DONE}) GROUP BY 2""",
+)
+def ag12_counts(spark, sf):
+    c = b.cases(spark, sf)
+    k = F.col("k")
+    # As in the summary, some scheduled cases have no result yet.
+    subtype = F.when(k % 4 == 0, "dependency").when(k % 4 == 1, "symbol").when(k % 4 == 2, "")
+    results = c.where("k % 10 < 8").select("case_id", "status", subtype.alias("subtype"))
+    return cs.batch_counts(c, results, ["status", "subtype"])
+
+
 _PRIORITY = "CASE s WHEN 'trace_diff' THEN 5 WHEN 'execution_failure' THEN 3 WHEN 'no_diff' THEN 0 ELSE -1 END"
 
 

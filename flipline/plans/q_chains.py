@@ -317,6 +317,28 @@ def jn3_intro(spark, sf):
     return out.select("row_pos", "verdict", "Aligned_llm")
 
 
+_EVALUATED = """SELECT 'CVE-' || (k % 400) AS cve, '1.' || (k % 100) AS version, CASE WHEN bool_or(k % 400 % 11 < 4) THEN 'affected'
+  WHEN bool_or(k % 400 % 11 < 9) THEN 'not affected' END AS l FROM cases GROUP BY 1, 2"""
+
+
+@query(
+    "jn3_overlay_resolved",
+    b.with_sql("chain", "cases")
+    + f"""SELECT c.row_pos, coalesce(r.l || '_intro', verdict) AS verdict,
+    CASE WHEN r.l IS NULL THEN 'No_Data' WHEN r.l = truth THEN 'T' WHEN r.l = 'affected' THEN 'FP' ELSE 'FN' END AS Aligned_llm
+    FROM chain c LEFT JOIN ({_EVALUATED}) r ON c.CVE_ID = r.cve AND c.Version = r.version""",
+)
+def jn3_resolved(spark, sf):
+    k, m = F.col("k"), F.col("k") % 400 % 11
+    evaluated = b.cases(spark, sf).select(
+        F.concat(F.lit("CVE-"), k % 400).alias("cve_id"),
+        F.concat(F.lit("1."), k % 100).alias("target_version"),
+        F.when(m < 4, "affected").when(m < 9, "not affected").otherwise("maybe").alias("predicted_label"),
+    )
+    out = vd.overlay_resolved(b.chain(spark, sf), vd.resolve_conflicts(evaluated), truth="truth", verdict="verdict")
+    return out.select("row_pos", "verdict", "Aligned_llm")
+
+
 @query(
     "verdicts_per_issue",
     b.with_sql("chain")

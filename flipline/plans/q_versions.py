@@ -329,7 +329,7 @@ def _artifact_inputs(spark, sf):
     libs = c.where("k % 4 < 3").select(cve, F.concat(F.lit("lib-"), k % 30).alias("library"), F.lit(0).alias("pos"))
     dis = c.where("k % 5 = 0").select(cve, F.concat(F.lit("Lib-"), k % 20).alias("library"), F.lit(0).alias("pos"))
     p = F.col("p_partkey")
-    local = b.table(spark, sf, "part").where("p_partkey < 200").select(
+    local = b.table(spark, sf, "part").select(
         F.concat(F.lit("lib-"), p % 40).alias("library"), F.concat(F.lit("org.g"), p % 3, F.lit(":lib-"), p % 40).alias("gav"), F.lit("library_local").alias("source")
     ).distinct()
     o = b.table(spark, sf, "orders")
@@ -353,7 +353,7 @@ facts AS (SELECT c.cve, coalesce(d.n, 0) AS n, coalesce(d.libs, 0) AS libs, d.fg
   LEFT JOIN (SELECT cve, count(*) AS n, count(DISTINCT split_part(gav, ':', 2)) AS libs, arg_min(gav, r) AS fg, arg_min(src, r) AS fs FROM direct GROUP BY 1) d ON d.cve = c.cve
   LEFT JOIN own o ON o.cve = c.cve LEFT JOIN dis s ON s.cve = c.cve),
 f2 AS (SELECT *, dn > 1 OR libs > 1 OR far AS val, n > 0 AND NOT (dn > 1 OR libs > 1 OR far) AS settled FROM facts),
-local AS (SELECT DISTINCT 'lib-' || (p_partkey % 40) AS lib, 'org.g' || (p_partkey % 3) || ':lib-' || (p_partkey % 40) AS gav FROM part WHERE p_partkey < 200),
+local AS (SELECT DISTINCT 'lib-' || (p_partkey % 40) AS lib, 'org.g' || (p_partkey % 3) || ':lib-' || (p_partkey % 40) AS gav FROM part),
 pool AS (SELECT cve, gav, min(sk) AS sk, arg_min(src, sk) AS src FROM (
     SELECT d.cve, d.gav, struct_pack(a := d.r, z := '') AS sk, d.src FROM direct d JOIN f2 ON f2.cve = d.cve AND NOT f2.settled
     UNION ALL SELECT f2.cve, l.gav, struct_pack(a := 100, z := l.gav), 'library_local' FROM f2 JOIN local l ON l.lib = f2.ol WHERE NOT settled
@@ -380,7 +380,7 @@ def jn5(spark, sf):
 _HINT_CASES = """SELECT 'case-' || o_orderkey AS case_id, o_orderkey AS k, 'CVE-' || (o_custkey % 200) AS cve, 'V' || (o_orderkey % 4) AS bv, 'V' || (o_orderkey % 5) AS tv, 'lib' || (o_orderkey % 6) AS repo,
   CASE WHEN o_orderkey % 9 = 0 THEN 'org.s:stated' END AS artifact, CASE WHEN o_orderkey % 4 = 0 THEN 'org.c:cause-' || (o_orderkey % 3) END AS cause,
   CASE WHEN o_orderkey % 3 = 0 THEN 'import org.x.lib' || (o_orderkey % 5) || ';' ELSE '' END AS st FROM orders"""
-_HINT_DEPS = """SELECT 'case-' || l_orderkey AS case_id, 'org.x:lib' || (l_partkey % 7) AS gav, 'V' || (l_partkey % 6) AS version FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey % 4 <> 1"""
+_HINT_DEPS = """SELECT 'case-' || l_orderkey AS case_id, 'org.x:lib' || (l_partkey % 7) AS gav, 'V' || (l_partkey % 6) AS version FROM lineitem WHERE l_returnflag <> 'R'"""
 _HINT_LISTED = "SELECT DISTINCT 'CVE-' || (l_suppkey % 150) AS cve, 'org.d:art' || (l_suppkey % 90) AS gav, 'V' || (l_suppkey % 3) AS version FROM lineitem"
 
 
@@ -412,7 +412,7 @@ def jn6(spark, sf):
     )
     p = F.col("l_partkey")
     li = b.table(spark, sf, "lineitem")
-    d = li.where("l_orderkey % 4 <> 1").select(
+    d = li.select(
         j("case-", F.col("l_orderkey")).alias("case_id"), j("org.x:lib", p % 7).alias("gav"), j("V", p % 6).alias("version"), F.when(F.col("l_returnflag") == "R", "test").alias("scope")
     )
     s = F.col("l_suppkey")
@@ -453,7 +453,7 @@ def jn7(spark, sf):
 
 
 _PACKAGES = """SELECT DISTINCT 'case-' || l_suppkey AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'org.p' || (l_partkey % 9) WHEN 1 THEN 'org.p' || (l_partkey % 9) || '.a' || (l_partkey % 4) ELSE 'org.p' || (l_partkey % 9) || '.a' || (l_partkey % 4) || '.b' END AS package
-  FROM lineitem WHERE l_orderkey % 5 = 0"""
+  FROM lineitem"""
 
 
 @query(
@@ -468,7 +468,7 @@ def jn19(spark, sf):
     m = F.col("l_linenumber") % 3
     # A package comes from the imported name of a class in it.
     name = F.when(m == 0, root).when(m == 1, mid).otherwise(F.concat(mid, F.lit(".b")))
-    d = b.table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(
+    d = b.table(spark, sf, "lineitem").select(
         F.concat(F.lit("case-"), "l_suppkey").alias("case_id"), ar.package_of_import(F.concat(name, F.lit(".Type"))).alias("package")
     )
     return ar.minimal_prefixes(d)
