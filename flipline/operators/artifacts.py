@@ -105,90 +105,144 @@ def resolve_artifact(
     source)`` with source ``library_local`` or ``library_maven_search``; ``observed(cve, version)``;
     ``history(gav, version)``. One direct coordinate that agrees with the libraries is taken as it is. Otherwise
     all candidates of the libraries compete by version hits, history size and name.
+
+    Coordinates, libraries and issues are rows of one long table, so every input is read once: rows that say the same
+    are merged, flags come from one window over (issue, library key), and one aggregate per issue decides.
     """
-    d = direct.withColumn("gav", clean_text("gav")).where(F.col("gav").contains(":"))
-    pool0 = d.groupBy("cve", "gav").agg(F.min(F.struct("source_rank", "pos", "source")).alias("o"))
-    pool0 = pool0.select("cve", "gav", F.col("o.source").alias("source"), F.col("o.source_rank").alias("source_rank"), F.format_string("%012d", F.col("o.pos").cast("bigint")).alias("sub"), library_key(gav_artifact("gav")).alias("lib"))
-    libs = case_libraries.select("cve", clean_text("library").alias("library"), F.lit(0).alias("g"), "pos").unionByName(
-        disclosed_libraries.select("cve", clean_text("library").alias("library"), F.lit(1).alias("g"), "pos")
-    ).where("library <> ''")
-    libs = libs.groupBy("cve", "library").agg(F.min(F.struct("g", "pos")).alias("o"))
-    libs = libs.select("cve", "library", F.col("o.g").alias("g"), F.col("o.pos").alias("pos"), library_key("library").alias("lib"))
-    own = libs.where("g = 0").select("cve", "lib").distinct()
-    own_set = own.groupBy("cve").agg(F.count(F.lit(1)).alias("own_n"))
-    unmatched = pool0.where("lib <> ''").join(own, ["cve", "lib"], "left_anti").groupBy("cve").agg(F.count(F.lit(1)).alias("foreign_n"))
-    facts = (
-        cases.select("cve").distinct()
-        .join(
-            pool0.groupBy("cve").agg(
-                F.count_distinct(F.nullif("lib", F.lit(""))).alias("direct_libs"),
-                F.count(F.lit(1)).alias("direct_n"),
-                F.min_by("gav", F.struct("source_rank", "sub")).alias("first_gav"),
-                F.min_by("source", F.struct("source_rank", "sub")).alias("first_source"),
-            ),
-            "cve",
-            "left",
-        )
-        .join(d.where("source = 'disclosed'").groupBy("cve").agg(F.count_distinct("gav").alias("disclosed_n")), "cve", "left")
-        .join(own_set, "cve", "left")
-        .join(unmatched, "cve", "left")
-        .join(libs.groupBy("cve").agg(F.min_by("library", F.struct("g", "pos")).alias("first_library")), "cve", "left")
-        .na.fill(0, ["direct_libs", "direct_n", "disclosed_n", "own_n", "foreign_n"])
-        .withColumn(
-            "validate",
-            (F.col("disclosed_n") > 1) | (F.col("direct_libs") > 1) | (F.col("own_n") > 1)
-            | ((F.col("own_n") > 0) & (F.col("foreign_n") > 0)),
-        )
-        .withColumn("settled", (F.col("direct_n") > 0) & ~F.col("validate"))
+    pool = _candidate_rows(_named(cases, direct, case_libraries, disclosed_libraries), library_candidates)
+    return _choose(_with_hits(pool, observed, history))
+
+
+def _named(cases: DataFrame, direct: DataFrame, case_libraries: DataFrame, disclosed_libraries: DataFrame) -> DataFrame:
+    """(cve, kind, name, o, disclosed): each issue, coordinate and library of an issue once, with its first use."""
+    use = lambda rank, source: F.struct(
+        rank.cast("int").alias("rank"), F.col("pos").cast("bigint").alias("pos"), source.cast("string").alias("source")
+    )
+    none = F.lit(None).cast("string")
+    listed = lambda df, g: df.select(
+        "cve", F.lit("library").alias("kind"), clean_text("library").alias("name"), use(F.lit(g), none).alias("o")
+    ).where("name <> ''")
+    rows = [
+        cases.select("cve", F.lit("case").alias("kind"), none.alias("name"), F.lit(0).cast("bigint").alias("pos")).select(
+            "cve", "kind", "name", use(F.lit(0), none).alias("o")
+        ),
+        direct.select(
+            "cve", F.lit("direct").alias("kind"), clean_text("gav").alias("name"), use(F.col("source_rank"), F.col("source")).alias("o")
+        ).where(F.col("name").contains(":")),
+        listed(case_libraries, 0),
+        listed(disclosed_libraries, 1),
+    ]
+    return reduce(DataFrame.unionByName, rows).groupBy("cve", "kind", "name").agg(
+        F.min("o").alias("o"), F.bool_or(F.col("o.source") == "disclosed").alias("disclosed")
+    )
+
+
+def _candidate_rows(named: DataFrame, library_candidates: DataFrame) -> DataFrame:
+    """One row per issue, library key and coordinate (null for issues and libraries) with the flags of its library key."""
+    is_library, is_direct = F.col("kind") == "library", F.col("kind") == "direct"
+    rows = named.withColumn("lib", library_key(F.when(is_direct, gav_artifact("name")).otherwise(F.col("name"))))
+    offered = library_candidates.select(
+        library_key("library").alias("wanted"), clean_text("gav").alias("offer"), F.col("source").alias("offer_source")
+    ).where(F.col("offer").contains(":"))
+    rows = rows.join(offered, is_library & (F.col("lib") == F.col("wanted")), "left")
+    local_first = F.when(F.col("offer_source") == "library_local", 0).otherwise(1)
+    own = F.struct(
+        "lib",
+        F.when(is_direct, F.col("name")).alias("gav"),
+        F.col("o.rank").alias("rank"),
+        F.format_string("%012d", "o.pos").alias("sub"),
+        F.col("o.source").alias("source"),
+        "kind",
     )
-    open_cases = facts.where(~F.col("settled")).select("cve")
-    rank = F.when(F.col("source") == "library_local", 0).otherwise(1)
-    extra = (
-        libs.join(open_cases, "cve", "left_semi")
-        .join(library_candidates.select(library_key("library").alias("lib"), clean_text("gav").alias("gav"), "source"), "lib")
-        .where(F.col("gav").contains(":"))
-        .select("cve", "gav", "source", (F.lit(100) + F.col("g")).alias("source_rank"), F.format_string("%012d|%d|%s", F.col("pos").cast("bigint"), rank, F.col("gav")).alias("sub"), library_key(gav_artifact("gav")).alias("lib"))
+    offer = F.struct(
+        library_key(gav_artifact("offer")).alias("lib"),
+        F.col("offer").alias("gav"),
+        (F.lit(100) + F.col("o.rank")).alias("rank"),
+        F.format_string("%012d|%d|%s", "o.pos", local_first, "offer").alias("sub"),
+        F.col("offer_source").alias("source"),
+        F.lit("offer").alias("kind"),
     )
-    pool = pool0.join(open_cases, "cve", "left_semi").unionByName(extra)
-    pool = pool.groupBy("cve", "gav").agg(F.min(F.struct("source_rank", "sub", "source", "lib")).alias("o")).select("cve", "gav", "o.*")
-    # Keep candidates of the case's own libraries when any matches, else all.
-    pool = pool.join(own.withColumn("is_own", F.lit(True)), ["cve", "lib"], "left").join(
-        libs.select("cve", "lib").distinct().withColumn("is_listed", F.lit(True)), ["cve", "lib"], "left"
-    ).na.fill(False, ["is_own", "is_listed"])
-    flags = pool.groupBy("cve").agg(F.bool_or("is_own").alias("any_own"), F.bool_or("is_listed").alias("any_listed"))
-    pool = pool.join(flags, "cve").withColumns(
+    both = F.filter(F.array(own, F.when(F.col("offer").isNotNull(), offer)), lambda r: r.isNotNull())
+    long = rows.select("cve", "name", "disclosed", "o", F.explode(both).alias("r")).select("cve", "name", "disclosed", "o", "r.*")
+    merged = long.groupBy("cve", "lib", "gav").agg(
+        F.min(F.when(F.col("gav").isNotNull(), F.struct("rank", "sub", "source"))).alias("use"),
+        F.min(F.when(F.col("kind") == "direct", F.struct("rank", "sub", "gav", "source"))).alias("first"),
+        F.min(F.when(F.col("kind") == "library", F.struct("o.rank", "o.pos", "name"))).alias("library"),
+        F.bool_or((F.col("kind") == "library") & (F.col("rank") == 0)).alias("own"),
+        F.bool_or(F.col("kind") == "library").alias("listed"),
+        F.bool_or((F.col("kind") == "direct") & F.coalesce("disclosed", F.lit(False))).alias("disclosed"),
+        F.bool_or(F.col("kind") == "case").alias("is_case"),
+    )
+    w = Window.partitionBy("cve", "lib")
+    return merged.withColumns(
         {
-            "competes": F.col("is_own") | ~F.col("any_own"),
-            "fallback": F.col("is_listed") | ~F.col("any_listed"),
+            "is_own": F.max("own").over(w),
+            "is_listed": F.max("listed").over(w),
+            "lib_direct": F.max(F.col("first").isNotNull()).over(w),
+            "lib_row": F.row_number().over(w.orderBy("gav")),
         }
+    ).drop("own", "listed")
+
+
+def _with_hits(pool: DataFrame, observed: DataFrame, history: DataFrame) -> DataFrame:
+    """Add the size of each coordinate's history and how many observed versions it has, as written and normalised."""
+    sizes = history.groupBy("gav").agg(F.count(F.lit(1)).alias("history_n"))
+    v = clean_text("version")
+    keys = F.explode(F.array(F.struct(F.lit(True).alias("exact"), v.alias("key")), F.struct(F.lit(False).alias("exact"), normalize_version(v).alias("key"))))
+    seen = observed.select("cve", keys.alias("k")).select("cve", "k.*").where("key <> ''").distinct()
+    known = history.select("gav", keys.alias("k")).select("gav", "k.*").where("key <> ''").distinct().withColumn("hit", F.lit(True))
+    facts = F.struct(*[c for c in pool.columns if c not in ("cve", "gav")]).alias("row")
+    tried = pool.select("cve", "gav", facts).join(seen, "cve", "left").join(known, ["gav", "exact", "key"], "left")
+    hits = tried.groupBy("cve", "gav", "row").agg(
+        F.count_if(F.col("hit") & F.col("exact")).alias("exact_n"), F.count_if(F.col("hit") & ~F.col("exact")).alias("norm_n")
     )
-    seen = observed.select("cve", clean_text("version").alias("version")).where("version <> ''").distinct()
-    releases = history.select("gav", clean_text("version").alias("version")).distinct()
-    # History sizes and hits only for coordinates that compete for some issue.
-    rivals = pool.where("competes").select("cve", "gav")
-    sizes = history.join(rivals.select("gav").distinct(), "gav", "left_semi").groupBy("gav").agg(F.count(F.lit(1)).alias("history_n"))
-    exact = rivals.join(releases, "gav").join(seen, ["cve", "version"]).groupBy("cve", "gav").agg(F.count(F.lit(1)).alias("exact_n"))
-    norm = lambda t: t.withColumn("nv", normalize_version("version")).where("nv <> ''").drop("version").distinct()
-    loose = rivals.join(norm(releases), "gav").join(norm(seen), ["cve", "nv"]).groupBy("cve", "gav").agg(F.count(F.lit(1)).alias("norm_n"))
-    scored = pool.join(sizes, "gav", "left").join(exact, ["cve", "gav"], "left").join(loose, ["cve", "gav"], "left").na.fill(
-        0, ["history_n", "exact_n", "norm_n"]
-    )
-    rival = F.when(F.col("competes"), F.struct("exact_n", "norm_n", "history_n", "gav"))
-    best = scored.groupBy("cve").agg(
-        F.max(rival).alias("top"),
-        F.count_if(F.col("competes")).alias("rivals"),
-        F.max_by("source", rival).alias("top_source"),
-        F.min(F.when(F.col("fallback"), F.struct("source_rank", "sub", "gav", "source"))).alias("fb"),
+    return hits.join(sizes, "gav", "left").na.fill(0, ["history_n"]).select("cve", "gav", "row.*", "exact_n", "norm_n", "history_n")
+
+
+def _choose(rows: DataFrame) -> DataFrame:
+    """The decision of each issue from its candidate rows."""
+    pooled, direct = F.col("use").isNotNull(), F.col("first").isNotNull()
+    own, listed = pooled & F.col("is_own"), pooled & F.col("is_listed")
+    rival = F.struct("exact_n", "norm_n", "history_n", "gav", F.col("use.source").alias("source"))
+    back = F.struct("use.rank", "use.sub", "gav", F.col("use.source").alias("source"))
+    found = rows.groupBy("cve").agg(
+        F.bool_or("is_case").alias("is_case"),
+        F.count_if(direct).alias("direct_n"),
+        F.count_if((F.col("lib_row") == 1) & F.col("lib_direct") & (F.col("lib") != "")).alias("direct_libs"),
+        F.count_if("disclosed").alias("disclosed_n"),
+        F.count_if((F.col("lib_row") == 1) & F.col("is_own")).alias("own_n"),
+        F.count_if(direct & (F.col("lib") != "") & ~F.col("is_own")).alias("foreign_n"),
+        F.min("first").alias("first"),
+        F.min("library").alias("library"),
+        F.count_if(own).alias("own_rivals"),
+        F.count_if(pooled).alias("all_rivals"),
+        F.max(F.when(own, rival)).alias("own_top"),
+        F.max(F.when(pooled, rival)).alias("all_top"),
+        F.min(F.when(listed, back)).alias("listed_back"),
+        F.min(F.when(pooled, back)).alias("all_back"),
+    ).where("is_case")
+    # Candidates of the issue's own libraries compete when there are any, else all of them.
+    top, back = F.coalesce("own_top", "all_top"), F.coalesce("listed_back", "all_back")
+    rivals = F.when(F.col("own_rivals") > 0, F.col("own_rivals")).otherwise(F.col("all_rivals"))
+    validate = (
+        (F.col("disclosed_n") > 1) | (F.col("direct_libs") > 1) | (F.col("own_n") > 1)
+        | ((F.col("own_n") > 0) & (F.col("foreign_n") > 0))
+    )
+    settled = (F.col("direct_n") > 0) & ~validate
+    won = (rivals == 1) | (top["exact_n"] > 0) | (top["norm_n"] > 0)
+    pick = lambda name: F.when(settled, F.col(f"first.{name}")).when(won, top[name]).otherwise(back[name])
+    decided = found.select(
+        "cve",
+        pick("gav").alias("artifact"),
+        F.concat(pick("source"), F.when(validate & ~settled, "_excel_validated").otherwise("")).alias("source"),
+        F.col("library.name").alias("first_library"),
     )
-    won = (F.col("rivals") == 1) | (F.col("top.exact_n") > 0) | (F.col("top.norm_n") > 0)
-    chosen = F.when(F.col("settled"), F.col("first_gav")).when(won, F.col("top.gav")).otherwise(F.col("fb.gav"))
-    source = F.when(F.col("settled"), F.col("first_source")).when(won, F.col("top_source")).otherwise(F.col("fb.source"))
-    suffix = F.when(F.col("validate") & ~F.col("settled"), "_excel_validated").otherwise("")
-    return facts.join(best, "cve", "left").select(
+    named = F.col("artifact").isNotNull()
+    return decided.select(
         "cve",
-        chosen.alias("artifact"),
-        F.when(chosen.isNotNull(), gav_artifact(chosen)).otherwise(F.coalesce(F.col("first_library"), F.lit(""))).alias("library"),
-        F.when(chosen.isNotNull(), F.concat(source, suffix))
+        "artifact",
+        F.when(named, gav_artifact("artifact")).otherwise(F.coalesce("first_library", F.lit(""))).alias("library"),
+        F.when(named, F.col("source"))
         .when(F.col("first_library").isNull(), "missing_library")
         .otherwise("unresolved")
         .alias("artifact_resolution"),
