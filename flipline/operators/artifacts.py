@@ -346,7 +346,8 @@ def match_tag(versions: DataFrame, tags: DataFrame) -> DataFrame:
 
     First the fixed prefixes with the dotted and the underscored spelling, by equi-join. Versions left over look
     for the first tag that contains them without a digit, dot or underscore behind: every piece of a tag that may
-    end there is listed, so this is an equi-join too and versions are never paired with all tags of a repository.
+    end there and is as long as a wanted form is listed, so this is an equi-join too and versions are never paired
+    with all tags of a repository.
     """
     v = versions.select("repo", F.col("version").cast("string").alias("version")).distinct()
     usable = v.where((F.col("version") != "") & (F.lower("version") != "unknown"))
@@ -364,6 +365,8 @@ def match_tag(versions: DataFrame, tags: DataFrame) -> DataFrame:
     )
     rest = usable.join(exact.select("repo", "version"), ["repo", "version"], "left_anti")
     rest_forms = rest.select("repo", "version", F.explode(F.array_distinct(F.array(F.col("version"), under))).alias("piece"))
+    # Only pieces as long as a form that is still looked for in the repository.
+    lengths = rest_forms.groupBy("repo").agg(F.collect_set(F.length("piece")).alias("sizes"))
     size = F.length("tag")
     ends = F.filter(
         F.sequence(F.lit(1), size), lambda e: ~F.substring(F.col("tag"), e + 1, F.lit(1)).rlike(r"^[.\d_]")
@@ -372,11 +375,13 @@ def match_tag(versions: DataFrame, tags: DataFrame) -> DataFrame:
         F.flatten(
             F.transform(
                 ends,
-                lambda e: F.transform(F.sequence(F.lit(1), e), lambda s: F.substring(F.col("tag"), s, e - s + 1)),
+                lambda e: F.transform(
+                    F.filter("sizes", lambda n: n <= e), lambda n: F.substring(F.col("tag"), e - n + 1, n)
+                ),
             )
         )
     )
-    listed = t.where(size > 0).join(rest.select("repo").distinct(), "repo", "left_semi").select("repo", "tag", "pos", F.explode(pieces).alias("piece"))
+    listed = t.where(size > 0).join(lengths, "repo").select("repo", "tag", "pos", F.explode(pieces).alias("piece"))
     found = rest_forms.join(listed, ["repo", "piece"]).groupBy("repo", "version").agg(F.min_by("tag", "pos").alias("found_tag"))
     return (
         v.join(exact, ["repo", "version"], "left")

@@ -480,16 +480,15 @@ def place_untested(tested: DataFrame, cells: DataFrame, history: DataFrame, pos:
         }
     )
     on_grid = F.col("__row").isNotNull() & (F.col("resolution") != "normalized")
-    keep = rows.where(on_grid)
-    by_row = Window.partitionBy("artifact").orderBy("__row")
-    by_col = Window.partitionBy("artifact", "__row").orderBy("__col", "__side", pos)
-    keep = keep.withColumns(
-        {"matrix_row": F.dense_rank().over(by_row) - 1, "matrix_col": F.row_number().over(by_col) - 1}
-    )
-    off = rows.where(~on_grid).withColumns(
-        {"matrix_row": F.lit(None).cast("int"), "matrix_col": F.lit(None).cast("int")}
+    by_row = Window.partitionBy("artifact", on_grid).orderBy("__row")
+    by_col = Window.partitionBy("artifact", on_grid, "__row").orderBy("__col", "__side", pos)
+    rows = rows.withColumns(
+        {
+            "matrix_row": F.when(on_grid, F.dense_rank().over(by_row) - 1),
+            "matrix_col": F.when(on_grid, F.row_number().over(by_col) - 1),
+        }
     )
-    return keep.unionByName(off).drop("__r", "__c", "__b", "__a", "__prev", "__row", "__col", "__side")
+    return rows.drop("__r", "__c", "__b", "__a", "__prev", "__row", "__col", "__side")
 
 
 def still_unresolved(placed: DataFrame) -> DataFrame:
@@ -540,46 +539,56 @@ def boundary_pairs(placed: DataFrame, key: str = "artifact") -> DataFrame:
     """Neighbours along a branch and fork anchors with their branch head, where the outcome flips.
 
     Expects :func:`place_untested` output with columns ``outcome`` and ``cause``. Neighbours of one core are
-    reported as skipped unless one is a pre-release or a hotfix.
+    reported as skipped unless one is a pre-release or a hotfix. A version has one cell, so anchors are found in one
+    window over (artifact, version), which holds the cell of the version and the heads of the branches that fork there.
     """
     cells = placed.where(F.col("matrix_row").isNotNull())
     me = F.struct(*_SIDE)
     along = Window.partitionBy(key, "matrix_row").orderBy("matrix_col")
-    d = cells.withColumns(
-        {
-            "l": me,
-            "r": F.lead(me).over(along),
-            "__type": F.first("branch_type").over(along),
-        }
-    )
-    branch = d.where(F.col("r").isNotNull() & ~F.coalesce(F.col("__type") == "hotfix", F.lit(False))).select(
-        key, "l", "r", F.lit("branch").alias("comparison_axis"),
-        F.format_string("branch[%d]", F.col("matrix_row")).alias("release_lineage"),
-    )
-    heads = cells.where((F.col("matrix_col") == 0) & F.col("fork_anchor_version").isNotNull()).select(
-        key, F.col("fork_anchor_version").alias("__v"), me.alias("r")
-    )
-    fork = heads.join(cells.select(key, F.col("version").alias("__v"), me.alias("l")), [key, "__v"]).select(
-        key, "l", "r", F.lit("fork").alias("comparison_axis"),
-        F.format_string("fork[%s->%s]", F.col("__v"), F.col("r.version")).alias("release_lineage"),
-    )
-    return _pairs(branch.unionByName(fork), ["pre-release", "hotfix"], [key], "unified_time_scan")
+    d = cells.withColumns({"l": me, "__next": F.lead(me).over(along), "__type": F.first("branch_type").over(along)})
+    is_head = (F.col("matrix_col") == 0) & F.col("fork_anchor_version").isNotNull()
+    roles = F.array(
+        F.struct(F.col("version").alias("__v"), F.lit(False).alias("__head")),
+        F.when(is_head, F.struct(F.col("fork_anchor_version").alias("__v"), F.lit(True).alias("__head"))),
+    )
+    d = d.select(key, "l", "__next", "__type", F.inline(F.filter(roles, lambda x: x.isNotNull())))
+    head, hotfix = F.col("__head"), F.coalesce(F.col("__type") == "hotfix", F.lit(False))
+    anchor = F.first(F.when(~head, F.col("l")), True).over(Window.partitionBy(key, "__v"))
+    pairs = d.withColumn("__anchor", anchor).select(
+        key,
+        F.when(head, F.col("__anchor")).otherwise(F.col("l")).alias("l"),
+        F.when(head, F.col("l")).when(~hotfix, F.col("__next")).alias("r"),
+        F.when(head, "fork").otherwise("branch").alias("comparison_axis"),
+        F.when(head, F.format_string("fork[%s->%s]", F.col("__v"), F.col("l.version")))
+        .otherwise(F.format_string("branch[%d]", F.col("l.matrix_row")))
+        .alias("release_lineage"),
+    )
+    pairs = pairs.where(F.col("l").isNotNull() & F.col("r").isNotNull())
+    return _pairs(pairs, ["pre-release", "hotfix"], [key], "unified_time_scan")
 
 
 def grid_pairs(cells: DataFrame, key: str = "artifact") -> DataFrame:
-    """Neighbours to the right and below on a ragged grid of tested cells, where the outcome flips."""
+    """Neighbours to the right and below on a ragged grid of tested cells, where the outcome flips.
+
+    A place of the grid holds one cell, so neighbours are found by looking one cell ahead in the row and in the column.
+    """
     c = cells.where(F.col("matrix_row").isNotNull())
     me = F.struct(*_SIDE)
-    a = c.select(key, F.col("matrix_row").alias("__r"), F.col("matrix_col").alias("__c"), me.alias("l"))
-
-    def side(dr: int, dc: int, axis: str, label: Column) -> DataFrame:
-        b = c.select(key, (F.col("matrix_row") - dr).alias("__r"), (F.col("matrix_col") - dc).alias("__c"), me.alias("r"))
-        return a.join(b, [key, "__r", "__c"]).select(
-            key, "l", "r", F.lit(axis).alias("comparison_axis"), label.alias("release_lineage")
-        )
-
-    right = side(0, 1, "row", F.format_string("row[%d]", F.col("__r")))
-    below = side(1, 0, "column", F.format_string("col[%d]", F.col("__c")))
-    return _pairs(right.unionByName(below), ["pre-release"], [key], "branch_aware_release_time")
+    row, col = F.col("matrix_row"), F.col("matrix_col")
+    ahead = c.select(
+        key,
+        row,
+        col,
+        me.alias("l"),
+        F.lead(me).over(Window.partitionBy(key, "matrix_row").orderBy("matrix_col")).alias("right"),
+        F.lead(me).over(Window.partitionBy(key, "matrix_col").orderBy("matrix_row")).alias("below"),
+    )
+    side = lambda near, axis, label, r: F.when(
+        near, F.struct(F.lit(axis).alias("comparison_axis"), label.alias("release_lineage"), F.col(r).alias("r"))
+    )
+    right = side(F.col("right.matrix_col") == col + 1, "row", F.format_string("row[%d]", row), "right")
+    below = side(F.col("below.matrix_row") == row + 1, "column", F.format_string("col[%d]", col), "below")
+    pairs = ahead.select(key, "l", F.inline(F.filter(F.array(right, below), lambda n: n.isNotNull())))
+    return _pairs(pairs, ["pre-release"], [key], "branch_aware_release_time")
 
 

@@ -266,14 +266,18 @@ SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 'nan'::DOUBLE END AS pr
 ) + ")))"
 
 
-@query("ag14_category_report", _CAT_SQL)
-def ag14(spark, sf):
+def _category_metrics(spark, sf):
     top = ev.top_categories(category_stats(spark, sf), 3)
     rows = b.chain(spark, sf).withColumn("cve", F.col("CVE_ID"))
     methods = {m: f() for m, (_, f) in _METHODS.items()}
     return ev.category_metrics(rows, b.catalog_cats(spark, sf), top, lb.truth01("truth"), methods)
 
 
+@query("ag14_category_report", _CAT_SQL)
+def ag14(spark, sf):
+    return _category_metrics(spark, sf)
+
+
 # --- truth join -------------------------------------------------------------------------------------------
 
 _JN1 = """

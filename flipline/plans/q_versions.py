@@ -426,16 +426,15 @@ _WANTED = "SELECT DISTINCT 'repo-' || (o_custkey % 40) AS repo, CASE WHEN o_orde
 _FORMS = ", ".join(f"'{p}' || version, '{p}' || replace(version, '.', '_')" for p in ar.TAG_PREFIXES)
 
 
-@query(
-    "jn7_match_tag",
-    f"""WITH t AS ({_TAGS}), w AS ({_WANTED}),
+_JN7 = f"""WITH t AS ({_TAGS}), w AS ({_WANTED}),
     ex AS (SELECT repo, version, arg_min(form, i) AS tag FROM (SELECT repo, version, unnest([{_FORMS}]) AS form, generate_subscripts([{_FORMS}], 1) AS i FROM w WHERE version <> 'Unknown') f
       WHERE EXISTS (SELECT 1 FROM t WHERE t.repo = f.repo AND t.tag = f.form) GROUP BY 1, 2),
     fu AS (SELECT w.repo, w.version, arg_min(t.tag, t.pos) AS tag FROM w JOIN t ON t.repo = w.repo AND (regexp_matches(t.tag, regexp_escape(w.version) || '([^.0-9_]|$)') OR regexp_matches(t.tag, replace(w.version, '.', '_') || '([^.0-9_]|$)'))
       WHERE w.version <> 'Unknown' GROUP BY 1, 2)
-    SELECT w.repo, w.version, coalesce(ex.tag, fu.tag, 'unknown') AS tag FROM w LEFT JOIN ex ON ex.repo = w.repo AND ex.version = w.version LEFT JOIN fu ON fu.repo = w.repo AND fu.version = w.version""",
-)
-def jn7(spark, sf):
+    SELECT w.repo, w.version, coalesce(ex.tag, fu.tag, 'unknown') AS tag FROM w LEFT JOIN ex ON ex.repo = w.repo AND ex.version = w.version LEFT JOIN fu ON fu.repo = w.repo AND fu.version = w.version"""
+
+
+def _matched_tags(spark, sf):
     p = F.col("p_partkey")
     v = F.concat(p % 3, F.lit("."), p % 11)
     u = F.translate(v, ".", "_")
@@ -452,6 +451,26 @@ def jn7(spark, sf):
     return ar.match_tag(w, tags)
 
 
+@query("jn7_match_tag", _JN7)
+def jn7(spark, sf):
+    return _matched_tags(spark, sf)
+
+
+@query(
+    "jn7_compare_url",
+    f"""WITH m AS ({_JN7}), a AS (SELECT *, lag(tag) OVER (PARTITION BY repo ORDER BY version) AS base, CASE WHEN repo = 'repo-7' THEN 'unknown' ELSE 'owner-' || repo END AS owner FROM m)
+    SELECT repo, base, tag AS head, CASE WHEN base <> 'unknown' AND tag <> 'unknown' AND owner <> 'unknown' THEN 'https://github.com/' || owner || '/' || repo || '/compare/' || base || '...' || tag
+      ELSE 'unknown' END AS url FROM a WHERE base IS NOT NULL""",
+)
+def jn7_url(spark, sf):
+    from pyspark.sql import Window
+
+    base = F.lag("tag").over(Window.partitionBy("repo").orderBy("version"))
+    owner = F.when(F.col("repo") == "repo-7", "unknown").otherwise(F.concat(F.lit("owner-"), "repo"))
+    d = _matched_tags(spark, sf).withColumn("base", base).where("base IS NOT NULL")
+    return d.select("repo", "base", F.col("tag").alias("head"), ar.compare_url(owner, F.col("repo"), F.col("base"), F.col("tag")).alias("url"))
+
+
 _PACKAGES = """SELECT DISTINCT 'case-' || l_suppkey AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'org.p' || (l_partkey % 9) WHEN 1 THEN 'org.p' || (l_partkey % 9) || '.a' || (l_partkey % 4) ELSE 'org.p' || (l_partkey % 9) || '.a' || (l_partkey % 4) || '.b' END AS package
   FROM lineitem"""
 
