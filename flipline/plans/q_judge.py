@@ -443,7 +443,7 @@ def primary(spark, sf):
     cases, evidence, hunks = rule_inputs(spark, sf)
     rule = jg.rule_judgment(cases, evidence, hunks)
     model = sc.normalize_judgment(raw_judgments(spark, sf).where("k % 10 < 8"))
-    return jg.primary_judgment(rule, model, evidence)
+    return jg.primary_judgment(rule, model)
 
 
 @query("ag16_primary_judgment", b.with_sql("cases").rstrip() + _RULE + _PRIMARY + f"SELECT case_id, judgment_source, score, reason, verdict, conf, fix FROM ({_PICKED})")

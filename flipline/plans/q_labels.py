@@ -278,6 +278,19 @@ def ag14(spark, sf):
     return _category_metrics(spark, sf)
 
 
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "others"]
+
+
+@query(
+    "ag14_category_columns",
+    """SELECT method || '_' || m AS "Metric", """
+    + ", ".join(f"""max(v) FILTER (CWE_ID = '{c}') AS "{c}\"""" for c in _REGIONS)
+    + f" FROM (UNPIVOT (SELECT CWE_ID, method, precision, recall, f1 FROM ({_CAT_SQL})) ON precision, recall, f1 INTO NAME m VALUE v) GROUP BY 1",
+)
+def ag14_columns(spark, sf):
+    return ev.category_report(_category_metrics(spark, sf), _REGIONS)
+
+
 # --- truth join -------------------------------------------------------------------------------------------
 
 _JN1 = """
