@@ -176,11 +176,12 @@ def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def read_numbered(spark: SparkSession, pattern: str, keep) -> DataFrame:
-    """Lines of large text files with their rank among the kept lines of the file, from 0.
+def read_tagged(spark: SparkSession, pattern: str, kind) -> DataFrame:
+    """Lines of large text files with their kind and their rank among the lines of that kind in the file, from 0.
 
-    Files are read in splits. The split offset and the reading order inside a split order all lines of a file, so
-    lines are ranked per split and shifted by the counts of earlier splits; no task holds a whole file.
+    ``kind(value)`` names the kind of a line, null for lines to skip. Files are read in splits. The split offset and
+    the reading order inside a split order all lines of a file, so lines are ranked per split and shifted by the
+    counts of earlier splits; no task holds a whole file.
     """
     raw = spark.read.text(pattern).select(
         "value",
@@ -188,24 +189,38 @@ def read_numbered(spark: SparkSession, pattern: str, keep) -> DataFrame:
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    d = raw.where(keep(F.col("value")))
-    here = d.withColumn("__n", F.row_number().over(Window.partitionBy("path", "start").orderBy("__id")) - 1)
-    counts = d.groupBy("path", "start").count()
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("path", "start", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__b"))
-    return here.join(base, ["path", "start"]).select("path", (F.col("__n") + F.col("__b")).alias("pos"), F.col("value").alias("line"))
+    d = raw.withColumn("kind", kind(F.col("value"))).where("kind is not null")
+    part = ["path", "start", "kind"]
+    here = d.withColumn("__n", F.row_number().over(Window.partitionBy(*part).orderBy("__id")) - 1)
+    earlier = Window.partitionBy("path", "kind").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*part).count().select(*part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__b"))
+    return here.join(base, part).select("path", "kind", (F.col("__n") + F.col("__b")).alias("pos"), F.col("value").alias("line"))
+
+
+def read_numbered(spark: SparkSession, pattern: str, keep) -> DataFrame:
+    """Lines of large text files with their rank among the kept lines of the file, from 0."""
+    return read_tagged(spark, pattern, lambda v: F.when(keep(v), "line")).drop("kind")
+
+
+def read_trace_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """Calls and metadata of trace files in one table: (trace_id, kind, pos, symbol, key, value), kind call or meta."""
+    kind = lambda v: F.when(v.rlike(TRACE_ENTER), "call").when(v.rlike(TRACE_META), "meta")
+    get = lambda k, p, i: F.when(F.col("kind") == k, F.regexp_extract("line", p, i))
+    return read_tagged(spark, pattern, kind).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("trace_id"),
+        "kind",
+        "pos",
+        get("call", TRACE_ENTER, 1).alias("symbol"),
+        get("meta", TRACE_META, 1).alias("key"),
+        get("meta", TRACE_META, 2).alias("value"),
+    )
 
 
 def read_traces(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     """Calls (trace_id, pos, symbol) and metadata (trace_id, pos, key, value) of trace files."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("trace_id")
-    calls = read_numbered(spark, pattern, lambda v: v.rlike(TRACE_ENTER)).select(
-        name, "pos", F.regexp_extract("line", TRACE_ENTER, 1).alias("symbol")
-    )
-    meta = read_numbered(spark, pattern, lambda v: v.rlike(TRACE_META)).select(
-        name, "pos", F.regexp_extract("line", TRACE_META, 1).alias("key"), F.regexp_extract("line", TRACE_META, 2).alias("value")
-    )
-    return calls, meta
+    found = read_trace_lines(spark, pattern)
+    calls = found.where("kind = 'call'").select("trace_id", "pos", "symbol")
+    return calls, found.where("kind = 'meta'").select("trace_id", "pos", "key", "value")
 
 
 def parse_trace_text(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,27 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 def overlay_write(df: DataFrame, root: str) -> str:
     """Write a new version of a table beside the old one; readers switch once it is complete.
 
-    The version being read is never touched, so a lost job leaves the last complete version in place.
+    The rows go to a folder of their own, which takes the next free number by one rename. So a lost job leaves the last
+    complete version in place, and of two writers each gets a number: a rename that comes second lands inside the
+    version that the other has just set down, where readers skip it, and is moved on to the next number.
     """
-    done = _versions(df.sparkSession, root)
-    path = f"{root}/v{(done[-1] if done else 0) + 1:06d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    name = f"_new-{uuid.uuid4().hex}"
+    staged = f"{root}/{name}"
+    df.write.parquet(staged)
+    fs = path_of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = _versions(spark, root)
+    number = (done[-1] if done else 0) + 1
+    while True:
+        path = f"{root}/v{number:06d}"
+        number += 1
+        if fs.exists(path_of(path)):
+            continue
+        if not fs.rename(path_of(staged), path_of(path)):
+            if fs.exists(path_of(path)):
+                continue
+            raise OSError(f"cannot move {staged} to {path}")
+        if not fs.exists(path_of(f"{path}/{name}")):
+            return path
+        staged = f"{path}/{name}"
