@@ -23,6 +23,8 @@ from flipline.llm.pieces import slices
 
 #: Labelled texts from which a language is learnt at most, chosen by the hash of their id; a bound on training alone.
 TRAIN_TEXTS = 4000
+#: Bits of the hash that are left out of a range, which makes 4,096 ranges.
+RANGE_SHIFT = 52
 BUCKETS = 1 << 15
 SWITCH = 8.0
 #: A script counts as used by a language that has at least this share of its training letters in it.
@@ -181,6 +183,21 @@ def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -
     return out
 
 
+def _lowest(rows: DataFrame, per_language: int) -> DataFrame:
+    """The doc_id values that hash lowest in each language.
+
+    Rows are first counted by range of the hash, and only those in ranges that the sample reaches are ranked. So a language
+    with most of the rows brings little more than ``per_language`` of them into one task.
+    """
+    ranged = rows.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.shiftright("h", RANGE_SHIFT))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("below", F.coalesce(below, F.lit(0)))
+    reached = sizes.where(F.col("below") < per_language).select("lang", "range")  # at most per_language a language
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = ranged.join(F.broadcast(reached), ["lang", "range"]).withColumn("k", F.row_number().over(order))
+    return ranked.where(F.col("k") <= per_language).select("doc_id").distinct()
+
+
 def fit(labelled: DataFrame, per_language: int = TRAIN_TEXTS) -> Model:
     """Learn from rows (doc_id, text, lang); rows without lang are left out.
 
@@ -188,9 +205,7 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_TEXTS) -> Model:
     bounded by buckets times languages; the set of languages is taken to be small. No rows give a model that calls
     every text ``und``.
     """
-    rows = labelled.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
+    few = _lowest(labelled.where("lang is not null").select(F.col("doc_id").cast("long"), "lang"), per_language)
     sample = labelled.where("lang is not null").select(F.col("doc_id").cast("long"), "text", "lang")
     sample = sample.join(F.broadcast(few), "doc_id")  # at most per_language ids per language
 
