@@ -29,7 +29,9 @@ HEADLINE = [
     "an4_infer_boundaries",
     "pr36_parse_version",
     "jn4_resolve_version",
+    "jn5_resolve_artifact",
     "jn7_match_tag",
+    "an6_grid_pairs",
     "an7_main_line",
     "an8_lineage",
     "an9_place_untested",
