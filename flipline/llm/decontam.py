@@ -2,9 +2,11 @@
 
 A text becomes a sequence of words in lower case, where numbers, units after a number and names (capitalised words inside a
 sentence) become typed placeholders. Windows of WINDOW template words of the documents meet those of the benchmark in a hash
-join. Matches that lie on one diagonal (same distance between both places) are one alignment; it is consistent if every slot
-value of the benchmark item went to one value of the document, so an item whose numbers or names were exchanged throughout is
-caught, and a mere template in which they vary is not. A pair is reported if its consistent alignments cover enough windows.
+join. Matches that lie on one diagonal (same distance between both places) are one alignment. In it each slot value of the
+benchmark item is bound to the value that stands at more than half of its places in the document. A window counts if each of its
+slots holds the item's own value or the bound one. So an item whose numbers or names were exchanged throughout is caught, one
+edited value costs the windows over it alone, and a mere template in which the values vary is not caught. A pair is reported if
+its alignments have enough windows that count.
 """
 
 from __future__ import annotations
@@ -101,13 +103,43 @@ def windows(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     return rolled.select(key, F.size("r").alias("n_windows"), F.inline_outer(listed))
 
 
+def _slot_pairs() -> Column:
+    """The slots of two windows that met: place in the item, and hashes of the item's and the document's value."""
+    zipped = F.transform(
+        F.arrays_zip("item_slots", "slots"),
+        lambda z, i: F.struct((F.col("item_pos") + i).alias("at"), z["item_slots"].alias("item"), z["slots"].alias("doc")),
+    )
+    return F.coalesce(F.filter(zipped, lambda p: p["item"] != 0), F.array().cast("array<struct<at:int,item:bigint,doc:bigint>>"))
+
+
+def _bindings(pairs: Column) -> Column:
+    """Hashes of (item's value, document's value) for changed values where the latter stands at over half the former's places."""
+
+    def bound(every: Column) -> Column:
+        changed = F.array_distinct(F.transform(F.filter(every, lambda p: p["item"] != p["doc"]), lambda p: p["item"]))
+
+        def binding(value: Column) -> Column:
+            seen = F.array_sort(F.transform(F.filter(every, lambda p: p["item"] == value), lambda p: p["doc"]))
+
+            def majority(docs: Column) -> Column:
+                middle = F.get(docs, F.floor(F.size(docs) / 2).cast("int"))
+                times = F.size(F.filter(docs, lambda d: d == middle))
+                return F.when(times * 2 > F.size(docs), F.xxhash64(value, middle))
+
+            return once(seen, majority)
+
+        return F.transform(changed, binding)
+
+    return once(pairs, bound)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_windows, coverage and doc_positions for each document and benchmark item that it contains.
 
-    n_shared counts the item's different windows that occur in the document in a consistent alignment, n_windows those of the
-    item; coverage is their ratio; doc_positions are the word positions of the windows in the document, in order. An item of
+    n_shared counts the item's different windows that occur in the document, with its own or bound slot values, n_windows those of
+    the item; coverage is their ratio; doc_positions are the word positions of the windows in the document, in order. An item of
     fewer words than a window is found only in a document of the same words. Null and empty texts match nothing; rows with a
     null id, and repeated rows, count under their id once. Empty tables give no rows. Other columns are ignored.
     """
@@ -118,19 +150,17 @@ def contaminated(
     if places.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
     found = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window).drop("n_windows")
-    slots = F.coalesce(
-        F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"] != 0), F.array().cast("array<struct<item_slots:bigint,slots:bigint>>")
-    )
     met = found.join(places, "h").select(
-        "doc_id", "item_id", "pos", "item_pos", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"), slots.alias("pairs")
+        "doc_id", "item_id", "item_pos", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"), _slot_pairs().alias("pairs")
     )
     aligned = met.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set("item_pos").alias("at"),
-        F.collect_set("pos").alias("doc_at"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.max("n_windows").alias("n_windows"),
+        F.collect_set(F.struct("item_pos", "pairs")).alias("met"), F.max("n_windows").alias("n_windows")
     )
-    kept = aligned.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))))
+    bound = aligned.withColumn("bound", _bindings(F.array_distinct(F.flatten(F.col("met.pairs")))))
+    fits = lambda p: (p["item"] == p["doc"]) | F.array_contains("bound", F.xxhash64(p["item"], p["doc"]))
+    counted = F.transform(F.filter("met", lambda m: F.forall(m["pairs"], fits)), lambda m: m["item_pos"])
+    kept = bound.select("doc_id", "item_id", "diagonal", "n_windows", counted.alias("at")).where(F.size("at") > 0)
+    kept = kept.withColumn("doc_at", F.transform("at", lambda i: i + F.col("diagonal")))
     pairs = kept.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_shared"),
         F.max("n_windows").alias("n_windows"),

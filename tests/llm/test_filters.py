@@ -101,6 +101,21 @@ def test_decontamination(spark):
     assert decontam.contaminated(spark.createDataFrame([], DOCS), bench).collect() == []
 
 
+def test_decontamination_with_an_edited_slot(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    words[10] = words[60] = words[110] = "12"
+    words[30] = words[90] = "Anna"
+    item = " ".join(words)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    number = " ".join([*words[:60], "13", *words[61:]])
+    name = " ".join([*words[:90], "Ana", *words[91:]])
+    mostly = item.replace("12", "75").replace("Anna", "Bert").replace("75", "76", 1)
+    docs = [(1, number, None, None, 1), (2, name, None, None, 1), (3, mostly, None, None, 1), (4, item, None, None, 1)]
+    found = {r.doc_id: r for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert {d: r.n_shared for d, r in found.items()} == {1: 105, 2: 105, 3: 105, 4: 113}
+    assert set(range(113)) - set(found[1].doc_positions) == set(range(53, 61))
+
+
 def plain_winnow(text, xx):
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w]
     grams = [xx[tuple(words[i : i + winnow.K])] for i in range(max(1, len(words) - winnow.K + 1))] if words else []
