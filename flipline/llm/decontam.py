@@ -2,7 +2,8 @@
 
 A text becomes a sequence of words in lower case, where numbers, units after a number and names (capitalised words inside a
 sentence) become typed placeholders. Windows of WINDOW template words of the documents meet those of the benchmark in a hash
-join. Matches that lie on one diagonal (same distance between both places) are one alignment. In it each slot value of the
+join. Windows of the plain lower-cased words meet as well, so a copy in other case is found, in which names are not recognised.
+Matches that lie on one diagonal (same distance between both places) are one alignment. In it each slot value of the
 benchmark item is bound to the value that stands at more than half of its places in the document. A window counts if each of its
 slots holds the item's own value or the bound one. So an item whose numbers or names were exchanged throughout is caught, one
 edited value costs the windows over it alone, and a mere template in which the values vary is not caught. A pair is reported if
@@ -20,6 +21,8 @@ WINDOW = 8
 #: A pair is reported if it shares this many windows of one item, so WINDOW - 1 more words, or this part of its windows.
 LEAST_WINDOWS = 6
 LEAST_SHARE = 0.5
+#: An item of fewer words than a window, but of this many, is found inside a text too; a shorter one only as the whole text.
+LEAST_INSIDE = 3
 #: Windows of the benchmark that are broadcast at most; more are joined by shuffling both sides.
 BROADCAST_WINDOWS = 200_000
 #: Words that are units right after a number.
@@ -82,25 +85,44 @@ def _rolled(t: Column, window: int) -> Column:
     return F.when(F.size(t) >= window, rolled).otherwise(F.array(F.when(F.size(t) > 0, F.xxhash64(t))))
 
 
-def windows(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
+def windows(rows: DataFrame, key: str, window: int = WINDOW, inside: tuple[int, ...] = ()) -> DataFrame:
     """(key, pos, h, n_windows, slots) for every window of ``text``; a text of fewer words is one window of all of them.
 
-    ``slots`` holds a hash of the value of each slot in the window and 0 elsewhere; null if the text has no slot. A text without
-    words has one window with a null hash, which meets nothing.
+    ``slots`` holds a hash of the value of each slot in the window and 0 elsewhere; null if the text has no slot. A window with
+    slots is listed a second time with its plain words and null slots. A text without words has one window with a null hash, which
+    meets nothing. ``inside`` lists shorter lengths of which plain windows are listed too, in texts of more words.
     """
     worked = rows.select(F.col(key), tokens(F.col("text")).alias("w"))
     value = lambda x: F.when(_is_slot(x), F.xxhash64(x)).otherwise(F.lit(0).cast("long"))
+    plain = lambda x: F.xxhash64(F.translate(x, NAME + UNIT, ""))
+    slotted = F.exists("w", _is_slot)
     hashed = worked.select(
         key,
         F.transform("w", lambda x: F.xxhash64(template(x))).alias("t"),
-        F.when(F.exists("w", _is_slot), F.transform("w", value)).alias("s"),
+        F.when(slotted, F.transform("w", value)).alias("s"),
+        F.when(slotted, F.transform("w", plain)).alias("p"),
+    )
+    short = [_runs(F.coalesce("p", "t"), n) for n in sorted(set(inside))]
+    rolled = hashed.select(
+        key, "s", _rolled(F.col("t"), window).alias("r"), F.when(F.col("p").isNotNull(), _rolled(F.col("p"), window)).alias("q"),
+        *[r.alias(f"short{i}") for i, r in enumerate(short)],
     )
-    rolled = hashed.select(key, "s", _rolled(F.col("t"), window).alias("r"))
     listed = F.transform(
         "r", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.slice("s", i + 1, window).alias("slots"))
     )
+    no_slots = F.lit(None).cast("array<bigint>").alias("slots")
+    bare = lambda h, i: F.struct(i.alias("pos"), h.alias("h"), no_slots)
+    again = F.filter(F.transform("q", bare), lambda z: z["h"] != F.get("r", z["pos"]))
+    none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<bigint>>>")
+    every = F.concat(F.when(F.col("q").isNull(), listed).otherwise(F.concat(listed, again)), *[F.coalesce(F.transform(f"short{i}", bare), none) for i in range(len(short))])
     # The outer form lists the same rows, but keeps the optimiser from testing the whole list for emptiness first.
-    return rolled.select(key, F.size("r").alias("n_windows"), F.inline_outer(listed))
+    return rolled.select(key, F.size("r").alias("n_windows"), F.inline_outer(every))
+
+
+def _runs(t: Column, length: int) -> Column:
+    """The hash of each run of ``length`` of the hashes, as that of a text of so many words; null if there are no more words."""
+    starts = lambda n: F.sequence(F.lit(1), n - length + 1)
+    return F.when(F.size(t) > length, once(t, lambda a: F.transform(starts(F.size(a)), lambda i: F.xxhash64(F.slice(a, i, length)))))
 
 
 def _slot_pairs() -> Column:
@@ -140,7 +162,7 @@ def contaminated(
 
     n_shared counts the item's different windows that occur in the document, with its own or bound slot values, n_windows those of
     the item; coverage is their ratio; doc_positions are the word positions of the windows in the document, in order. An item of
-    fewer words than a window is found only in a document of the same words. Null and empty texts match nothing; rows with a
+    fewer words than a window is found as a whole document by its template, and inside a longer one by its plain words if it has at least LEAST_INSIDE. Null and empty texts match nothing; rows with a
     null id, and repeated rows, count under their id once. Empty tables give no rows. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -149,7 +171,9 @@ def contaminated(
     )
     if places.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
-    found = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window).drop("n_windows")
+    lengths = items.select(F.size(tokens(F.col("text"))).alias("n")).where(F.col("n").between(LEAST_INSIDE, window - 1)).distinct()
+    inside = tuple(r.n for r in lengths.collect())  # fewer than ``window``
+    found = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window, inside).drop("n_windows")
     met = found.join(places, "h").select(
         "doc_id", "item_id", "item_pos", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"), _slot_pairs().alias("pairs")
     )

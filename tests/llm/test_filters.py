@@ -116,6 +116,18 @@ def test_decontamination_with_an_edited_slot(spark):
     assert set(range(113)) - set(found[1].doc_positions) == set(range(53, 61))
 
 
+def test_decontamination_in_any_case(spark):
+    item = "Der alte Hund und seine Katze sitzen am Abend vor dem kleinen Haus am Fluss und sehen nach 12 Minuten Anna mit dem Rad"
+    short = "why is Anna late today"
+    bench = spark.createDataFrame([(1, item), (2, short), (3, "one two")], "item_id long, text string")
+    texts = [item, item.upper(), item.lower(), item.title(), f"So {item.upper()} END", f"well, {short} again", f"and so {short.upper()} it was said in town",
+             "why is Bert late today", "one two three", "why is late Anna today or not", "die Kuh steht auf der Weide und frisst den ganzen Tag Gras"]
+    frame = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
+    found = decontam.contaminated(frame, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [*((i, 1) for i in range(5)), (5, 2), (6, 2), (7, 2)]
+    assert all(r.coverage == 1 for r in found)
+
+
 def plain_winnow(text, xx):
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w]
     grams = [xx[tuple(words[i : i + winnow.K])] for i in range(max(1, len(words) - winnow.K + 1))] if words else []
