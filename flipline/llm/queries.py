@@ -54,7 +54,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_store")
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.new_folder(spark)
-    token_store.write(read_table(spark, sf_dir, "documents"), folder)
+    token_store.write(read_table(spark, sf_dir, "documents"), folder, added=True)
     return token_store.read(spark, folder)
 
 

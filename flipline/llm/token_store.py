@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs  # noqa: F401
 import public_tokenizers
 from pyspark import TaskContext
@@ -61,12 +63,32 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = "|".join(map(re.escape, added))
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # the vocabulary writes each byte as one character
         self.encode = PieceEncoder(self._learn, self.dtype.str).encode
 
+    def encode_default(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of each text as the library's own call gives them, which knows the added tokens in a text.
+
+        Only texts that hold one go to the library whole, since no piece of the others does.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.added or not len(texts):
+            return self.encode(texts)
+        held = pc.match_substring_regex(texts, self.added)
+        out = self.encode(pc.if_else(held, pa.scalar("", pa.large_string()), texts))
+        self.tokenizer.encode_special_tokens = False
+        try:
+            for i in np.flatnonzero(np.asarray(held)).tolist():
+                out[i] = self._ids(texts[i].as_py()).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+        return out
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
@@ -180,8 +202,9 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def _write_shard(folder: str, name: str, attempt: int, batches: Iterator[pa.RecordBatch], path: str) -> tuple[int, int]:
+def _write_shard(folder: str, name: str, attempt: int, batches: Iterator[pa.RecordBatch], path: str, added: bool) -> tuple[int, int]:
     encoder = library(path)
+    encode = encoder.encode_default if added else encoder.encode
     fs, base = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     keys, nulls, sizes = [], [], [0]
@@ -190,7 +213,7 @@ def _write_shard(folder: str, name: str, attempt: int, batches: Iterator[pa.Reco
     with fs.open_output_stream(made["ids"]) as out:
         for batch in batches:
             for part in slices(batch):
-                packed = encoder.encode(part["text"])
+                packed = encode(part["text"])
                 for ids in packed:
                     out.write(ids + end)
                     sizes.append(len(ids) // encoder.dtype.itemsize + 1)
@@ -213,12 +236,14 @@ def _write_shard(folder: str, name: str, attempt: int, batches: Iterator[pa.Reco
     return len(key), int(starts[-1])
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str | None = None, added: bool = False) -> DataFrame:
     """Write the ids of whole texts, with an end id each, as shards in ascending doc_id order; returns the manifest.
 
     The manifest (shard, n_docs, n_ids, start: ids in all shards before it) has one row per shard and is kept in the
     folder. Null keys come first; a null text has only the end id. Repeated keys stay, ordered by text. An empty table
     gives no shard. ``folder`` must be a path that all executors share, such as ``hdfs://`` or ``s3://``.
+    With ``added`` the name of an added token in a text, such as ``<|endoftext|>``, is that token, as in the library's default call;
+    else it is encoded as plain characters.
     """
     path = path or public_tokenizers.path(TOKENIZER)
 
@@ -234,7 +259,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
             yield head
             yield from filled
 
-        n_docs, n_ids = _write_shard(folder, f"{shard:05d}", task.taskAttemptId(), chained(), path)
+        n_docs, n_ids = _write_shard(folder, f"{shard:05d}", task.taskAttemptId(), chained(), path, added)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")

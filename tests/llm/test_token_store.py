@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from flipline.llm import token_store
+from flipline.llm import queries, token_store
 from tests.llm.test_bpe import ODD
 
 
@@ -46,6 +46,18 @@ def test_round_trip(spark):
     )
 
 
+def test_query_gives_the_ids_of_the_default_call(spark, tmp_path):
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "a b", None, "<|endoftext|><|endoftext|>\n c  d", "<|endoftext", "é <|ENDOFTEXT|> x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t, start, want = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER)), 0, []
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 275]
+    assert sorted(map(tuple, queries.op5_token_store(spark, str(tmp_path)).collect())) == want
+
+
 def test_empty_table(spark):
     folder = token_store.new_folder(spark)
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), folder)
