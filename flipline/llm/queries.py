@@ -28,7 +28,7 @@ def _equals(value: str):
 
 @query("op1_url_filter")
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_lm.filter_urls(read_table(spark, sf_dir, "pages"))
+    found = url_lm.filter_urls(read_table(spark, sf_dir, "pages"), whole=True)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -111,15 +111,18 @@ def _threshold(cells: list[tuple[int, int, int]]) -> float:
     return best[2]
 
 
-def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple = RULES, whole: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of ``pages`` (page_id, url).
 
-    Without host and path there is nothing to score: the score is 0 (as for any URL when no rule fits anywhere), and
-    the verdict follows from the threshold. Null ids, repeated rows and repeated URLs stay; an empty table gives no rows;
+    With ``whole`` the models learn from and score the whole URL, else host and path; rules see host and path alone.
+    An empty text has nothing to score: the score is 0 (as for any URL when no rule fits anywhere), and the verdict
+    follows from the threshold. A null URL is empty. Null ids, repeated rows and repeated URLs stay; an empty table gives no rows;
     other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", F.concat("host", "path"))
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    text = F.coalesce("url", F.lit("")) if whole else F.concat(host, path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), text.alias("t"))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     kind = _verdict(F.col("rule"), rules)
     texts = cut(
         rows.withColumn("kind", kind).groupBy("t").agg(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flipline.llm import decontam, langid, secret_crf, toxicity, url_lm, winnow
+from flipline.llm import decontam, langid, queries, secret_crf, toxicity, url_lm, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,16 @@ def test_urls(spark):
     assert url_lm.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_urls_are_judged_whole(spark, tmp_path):
+    urls = [f"http://good{i}.example.net/en/{i}?view=plain" for i in range(40)] + [f"http://bad{i}.net/q?casino=spins#zzz" for i in range(40)]
+    urls += ["http://other.io/p?view=plain", "http://other.io/p?casino=spins#zzz", "view=plain", "casino=spins#zzz", None, ""]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i].verdict for i in range(80, 84)] == ["allow", "block", "allow", "block"]
+    assert (got[81].host, got[81].path, got[81].rule) == ("other.io", "/p", None) and got[82].host == got[82].path == ""
+    assert got[84].verdict == got[85].verdict and len(got) == len(urls)
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     words = ["one", "two", "three", "four", "five"]
