@@ -30,6 +30,10 @@ SWITCH = 8.0
 #: A script counts as used by a language that has at least this share of its training letters in it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
+#: keep_identified can ask that at most this share of the letters is in scripts of no learnt language, and that the trigrams are
+#: on average at least as likely in the languages found as if all buckets were equally likely.
+MOST_FOREIGN = 0.5
+LEAST_FIT = -float(np.log(BUCKETS))
 #: Characters handled at a time.
 BLOCK = 1_000_000
 LIMIT = 0x32400
@@ -143,10 +147,15 @@ def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarra
 
 
 def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -> list[dict]:
-    """Language, share of letters and spans (start, end, language by code points) of each text."""
+    """Language, share of letters and spans (start, end, language by code points) of each text.
+
+    ``foreign`` is the share of letters in scripts of no learnt language, ``fit`` the mean log probability of the trigrams
+    in the languages found.
+    """
     texts = [t or "" for t in texts]
     starts, sizes, scores = [], [], []
-    counts = np.zeros(len(texts), np.int64)
+    counts, foreign = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    unlearnt = ~model.allowed.any(axis=1)
     at = 0
     while at < len(texts):
         end, held = at, 0
@@ -157,6 +166,9 @@ def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -
         s, n, w = model.word_scores(letters, scripts)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[at:end]])])
         owner = np.searchsorted(begins, s, "right") - 1
+        strange = np.concatenate([[0], np.cumsum((letters > 0) & unlearnt[scripts]), [0]])
+        strange[-1] = strange[-2]  # the last text ends without a line feed
+        foreign[at:end] = np.diff(strange[begins])
         counts[at:end] = np.bincount(owner, minlength=end - at)[: end - at]
         starts.append(s - begins[owner])
         sizes.append(n)
@@ -165,13 +177,15 @@ def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -
     if not texts:
         return []
     start, size = np.concatenate(starts), np.concatenate(sizes)
-    labels = _viterbi(np.concatenate(scores), counts, switch)
+    score = np.concatenate(scores)
+    labels = _viterbi(score, counts, switch)
+    chosen = score[np.arange(len(score)), labels]
     out, at = [], 0
-    for n in counts.tolist():
-        own, lengths, begin = labels[at : at + n], size[at : at + n], start[at : at + n]
+    for n, strange in zip(counts.tolist(), foreign.tolist(), strict=True):
+        own, lengths, begin, likely = labels[at : at + n], size[at : at + n], start[at : at + n], chosen[at : at + n]
         at += n
         if not n:
-            out.append({"lang_pred": UNKNOWN, "score": 0.0, "spans": []})
+            out.append({"lang_pred": UNKNOWN, "score": 0.0, "spans": [], "foreign": 0.0, "fit": 0.0})
             continue
         share = np.bincount(own, lengths, len(model.languages)) / lengths.sum()
         top = int(share.argmax())
@@ -179,7 +193,9 @@ def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -
         lasts = np.concatenate([cuts[1:], [n]]) - 1
         spans = zip(begin[cuts].tolist(), (begin[lasts] + lengths[lasts]).tolist(), own[cuts].tolist(), strict=True)
         spans = [(a, b, model.languages[k]) for a, b, k in spans]
-        out.append({"lang_pred": model.languages[top], "score": float(share[top]), "spans": spans})
+        letters = int(lengths.sum())
+        fit = float(likely.sum(dtype=np.float64)) / letters
+        out.append({"lang_pred": model.languages[top], "score": float(share[top]), "spans": spans, "foreign": strange / letters, "fit": fit})
     return out
 
 
@@ -264,10 +280,11 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float, switch: float = SWITCH) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float, switch: float = SWITCH, strict: bool = False) -> DataFrame:
     """Rows of ``docs`` whose language is known with a score of at least ``least``; a null ``lang`` is filled in.
 
-    Null and empty texts and texts without letters go. All columns stay as they are otherwise.
+    Null and empty texts and texts without letters go. With ``strict`` also those with more than MOST_FOREIGN of their letters in
+    scripts of no learnt language, and those that fit the languages found less than LEAST_FIT. All columns stay as they are otherwise.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema, names = docs.schema, docs.columns
@@ -279,6 +296,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float, switch: float =
                 if "lang" in names and part["lang"].null_count:
                     filled = [r["lang_pred"] if x is None else x for x, r in zip(part["lang"].to_pylist(), rows, strict=True)]
                     part = part.set_column(names.index("lang"), "lang", pa.array(filled, part["lang"].type))
-                yield part.filter(pa.array([r["lang_pred"] != UNKNOWN and r["score"] >= least for r in rows], pa.bool_()))
+                known = [r["lang_pred"] != UNKNOWN and r["score"] >= least for r in rows]
+                if strict:
+                    known = [k and r["foreign"] <= MOST_FOREIGN and r["fit"] >= LEAST_FIT for k, r in zip(known, rows, strict=True)]
+                yield part.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, schema) if model.languages else docs.limit(0)

@@ -85,6 +85,18 @@ def test_language_id(spark):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {*range(20), 52, 53}
 
 
+def test_pipeline_drops_foreign_texts(spark):
+    learnt = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    texts = {-1: "Съешь же ещё этих мягких французских булок", -2: "天地玄黃宇宙洪荒日月盈昃", -3: "xqzvkj wqpxzj kvqxw zzqkxj qjxkvw pqzxwk", -4: "Съешь же ещё the of and ba the", -5: "the of and Ж"}
+    docs = learnt.union(spark.createDataFrame([(i, t, None, None, 1) for i, t in texts.items()], DOCS))
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, SF).select("doc_id").collect()}
+    plain = langid.keep_identified(learnt, langid.fit(docs), corpus_pipeline.LEAST_LANGUAGE_SHARE).count()
+    assert {i for i in kept if i < 0} == {-4, -5} and len(kept) >= 0.99 * plain
+    model = langid.fit(learnt)
+    rows = langid.label_texts(model, ["", "ab Ж", "Ж", None, "ЖЖ a", "abc"])
+    assert [r["foreign"] for r in rows] == pytest.approx([0, 1 / 3, 1, 0, 2 / 3, 0])
+
+
 @pytest.mark.parametrize("n", [1, 3, 40])
 def test_viterbi(n):
     rng = np.random.default_rng(n)
