@@ -6,7 +6,8 @@ artifact are bounded by its number of published versions, however often a versio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,11 +96,90 @@ LINEAGE_SCHEMA = (
 )
 
 
+class _Latest:
+    """The latest member of a set of releases in a range of ranks: maxima of times over the ranks in order.
+
+    ``ranks`` are all that may ever be put in. A time is the release's place in time order, -1 for none.
+    """
+
+    def __init__(self, ranks: list[int]):
+        self.ranks = sorted(ranks)
+        self.size = 1 << (len(ranks) - 1).bit_length()
+        self.most = [-1] * (2 * self.size)
+
+    def put(self, rank: int, time: int) -> None:
+        most, i = self.most, bisect_left(self.ranks, rank) + self.size
+        most[i] = time
+        while i > 1:
+            i >>= 1
+            most[i] = max(most[2 * i], most[2 * i + 1])
+
+    def between(self, low: int, high: int) -> int:
+        """The latest time put in for a rank from ``low`` to below ``high``."""
+        most, found = self.most, -1
+        a, b = bisect_left(self.ranks, low) + self.size, bisect_left(self.ranks, high) + self.size
+        while a < b:
+            if a & 1:
+                found = max(found, most[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                found = max(found, most[b])
+            a >>= 1
+            b >>= 1
+        return found
+
+
+class _Index:
+    """For every key the latest release in a range of ranks; ``keys`` names the key of each rank."""
+
+    def __init__(self, keys: Iterable[tuple[object, int]]):
+        self.ranks: dict[object, list[int]] = {}
+        for key, rank in keys:
+            self.ranks.setdefault(key, []).append(rank)
+        self.sets: dict[object, _Latest] = {}
+
+    def put(self, key: object, rank: int, time: int) -> bool:
+        """Put a release in; whether it is the first of its key."""
+        new = key not in self.sets
+        if new:
+            self.sets[key] = _Latest(self.ranks[key])
+        self.sets[key].put(rank, time)
+        return new
+
+    def between(self, key: object, low: int, high: int) -> int:
+        return self.sets[key].between(low, high) if key in self.sets else -1
+
+
+class _Majors:
+    """Releases by major number, for the nearest lower one."""
+
+    def __init__(self, majors: list[tuple[int, int]]):
+        self.by_major = _Index(majors)
+        self.every = _Index((None, rank) for _, rank in majors)
+        self.present: list[int] = []
+
+    def put(self, major: int, rank: int, time: int) -> None:
+        self.every.put(None, rank, time)
+        if self.by_major.put(major, rank, time) and major >= 0:
+            insort(self.present, major)
+
+    def nearest(self, major: int, ranges: list[tuple[int, int]]) -> int:
+        """The latest release in the ranges with the highest major number up to ``major``, else the latest in them."""
+        for m in reversed(self.present[: bisect_right(self.present, major)]):
+            found = max(self.by_major.between(m, *r) for r in ranges)
+            if found >= 0:
+                return found
+        return max(self.every.between(None, *r) for r in ranges)
+
+
 class _History:
     """Assigns the releases of one artifact, in time order, to branches.
 
     ``rows`` are tuples (artifact, version, release_date, core, branch_kind, line_key, day, major, key_rank) in time
-    order. Version order is the integer rank Spark computed, so every comparison here is one of integers.
+    order. Version order is the integer rank Spark computed, so every comparison here is one of integers. Earlier
+    releases are found by core, by line and by major number in trees over their ranks, so that a release costs a few
+    searches of logarithmic depth, however many were there before.
     """
 
     def __init__(self, rows: list[tuple], fork_days: float):
@@ -108,36 +188,39 @@ class _History:
         self.kind = [r[4] for r in rows]
         self.row_of: list[int] = []
         self.branches: list[dict] = []
-        self.by_core: dict[str, list[int]] = {}
+        cores = [(r[3], r[8]) for r in rows if r[3]]
+        self.of_core, self.no_hotfix = _Index(cores), _Index(cores)
         self.core_branch: dict[str, int] = {}
-        self.by_line: dict[str, list[int]] = {}
-
-    def when(self, i: int) -> tuple[float, int]:
-        return self.rows[i][6], self.rows[i][8]
-
-    def latest(self, i: int, max_age: float, hotfixes: bool) -> int | None:
-        """Latest lower release of the same core that is young enough, the higher version on ties."""
-        day, rank = self.when(i)
-        found = [
-            j
-            for j in self.by_core.get(self.rows[i][3], ())
-            if self.rows[j][8] < rank and day - self.rows[j][6] <= max_age and (hotfixes or self.kind[j] != "hotfix")
-        ]
-        return max(found, key=self.when, default=None)
+        self.tails = _Index((r[5], r[8]) for r in rows)
+        majors = [(r[7], r[8]) for r in rows]
+        self.majors, self.stable_majors = _Majors(majors), _Majors(majors)
+        #: Per line the ranges of ranks it fills; one, unless numbers are beyond a long.
+        self.runs: dict[str, list[list[int]]] = {}
+        for r in sorted(rows, key=lambda r: r[8]):
+            runs = self.runs.setdefault(r[5], [])
+            if runs and runs[-1][1] == r[8]:
+                runs[-1][1] += 1
+            else:
+                runs.append([r[8], r[8] + 1])
+
+    def latest(self, i: int, max_age: float, index: _Index) -> int | None:
+        """Latest lower release of the same core, the higher version on ties, if it is young enough."""
+        j = index.between(self.rows[i][3], 0, self.rows[i][8])
+        return j if j >= 0 and self.rows[i][6] - self.rows[j][6] <= max_age else None
 
     def nearest_major(self, i: int, other_stable_line: bool) -> int | None:
         """Lower release with the smallest step in the major number, the latest of these."""
-        _, _, _, _, _, line, _, major, rank = self.rows[i]
-        best, best_key = None, None
-        for j in range(i):
-            r = self.rows[j]
-            if r[8] >= rank or (other_stable_line and (self.kind[j] != "stable" or r[5] == line)):
-                continue
-            gap = major - r[7] if major >= 0 and 0 <= r[7] <= major else NO_GAP
-            key = (-gap, r[6], r[8])
-            if best_key is None or key > best_key:
-                best, best_key = j, key
-        return best
+        line, major, rank = self.rows[i][5], self.rows[i][7], self.rows[i][8]
+        ranges, low = [], 0
+        for start, end in self.runs[line] if other_stable_line else ():
+            if start < rank:
+                ranges.append((low, start))
+                low = end
+        if low < rank:
+            ranges.append((low, rank))
+        majors = self.stable_majors if other_stable_line else self.majors
+        j = majors.nearest(major, ranges) if ranges else -1
+        return j if j >= 0 else None
 
     def open(self, i: int, kind: str, family: str, anchor: int | None, label: str) -> int:
         row = len(self.branches)
@@ -148,46 +231,57 @@ class _History:
             {"key": key, "family": family, "type": kind, "line": self.rows[i][5], "parent": parent, "anchor": anchor,
              "depth": depth, "tail": None, "size": 0}
         )
-        if kind in ("main", "line"):
-            self.by_line.setdefault(self.rows[i][5], []).append(row)
         return row
 
-    def appendable(self, row: int, i: int) -> bool:
-        return self.rows[self.branches[row]["tail"]][8] <= self.rows[i][8]
-
     def choose(self, i: int) -> int:
         if not self.branches:
             return self.open(i, "main", "main", None, "")
-        core, line = self.rows[i][3], self.rows[i][5]
-        fix = self.latest(i, HOTFIX_DAYS, False) if core else None
+        core, line, rank = self.rows[i][3], self.rows[i][5], self.rows[i][8]
+        fix = self.latest(i, HOTFIX_DAYS, self.no_hotfix) if core else None
         if fix is not None:
             self.kind[i] = "hotfix"
             return self.open(i, "hotfix", f"hotfix-{line}", fix, core or line)
-        own = [r for r in self.by_line.get(line, ()) if self.appendable(r, i)]
-        if own:
-            return max(own, key=lambda r: self.when(self.branches[r]["tail"]))
+        own = self.tails.between(line, 0, rank + 1)
+        if own >= 0:
+            return self.row_of[own]
         if self.kind[i] == "stable":
             prior = self.nearest_major(i, True)
             if prior is not None:
                 return self.open(i, "line", f"line-{line}", prior, line)
         if core and self.kind[i] in ("runtime-fork", "suffix-fork"):
-            base = self.latest(i, self.fork_days, True)
+            base = self.latest(i, self.fork_days, self.of_core)
             if base is not None:
                 row = self.core_branch.get(core)
-                if row is None or not self.appendable(row, i):
+                if row is None or self.rows[self.branches[row]["tail"]][8] > rank:
                     row = self.core_branch[core] = self.open(i, "same-core", f"core-{core}", base, core)
                 return row
         return self.open(i, "line", f"line-{line}", self.nearest_major(i, False), line)
 
+    def place(self, i: int, row: int) -> None:
+        """Make release ``i`` the tail of a branch, and findable for later releases."""
+        _, _, _, core, _, line, _, major, rank = self.rows[i]
+        b = self.branches[row]
+        self.row_of.append(row)
+        if b["type"] in ("main", "line"):
+            if b["tail"] is not None:
+                self.tails.put(line, self.rows[b["tail"]][8], -1)
+            self.tails.put(line, rank, i)
+        if core:
+            self.of_core.put(core, rank, i)
+            if self.kind[i] != "hotfix":
+                self.no_hotfix.put(core, rank, i)
+        self.majors.put(major, rank, i)
+        if self.kind[i] == "stable":
+            self.stable_majors.put(major, rank, i)
+        b["tail"], b["size"] = i, b["size"] + 1
+
     def run(self) -> list[tuple]:
         out = []
         for i, (artifact, version, date, core, *_) in enumerate(self.rows):
             row = self.choose(i)
             b = self.branches[row]
-            self.row_of.append(row)
-            if core:
-                self.by_core.setdefault(core, []).append(i)
-            col, b["tail"], b["size"] = b["size"], i, b["size"] + 1
+            col = b["size"]
+            self.place(i, row)
             parent, anchor = b["parent"], b["anchor"]
             fork = (None, None) if anchor is None else self.rows[anchor][1:3]
             up = None if parent is None else self.branches[parent]["key"]

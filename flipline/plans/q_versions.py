@@ -189,15 +189,77 @@ def an7_summary(spark, sf):
     return ln.branch_summary(ln.main_line(b.releases(spark, sf)))
 
 
-@query("an8_lineage")
+# One step of the recursion places the next release of every artifact; it carries the releases and branches so far. Both lists
+# are in time order, so the last match is the latest.
+_DONE = "STRUCT(t BIGINT, version VARCHAR, d DATE, core VARCHAR, kind VARCHAR, line VARCHAR, major BIGINT, rank BIGINT, row BIGINT)[]"
+_OPEN = """STRUCT(row BIGINT, key VARCHAR, family VARCHAR, type VARCHAR, line VARCHAR, core VARCHAR, depth BIGINT, parent BIGINT,
+  anchor BIGINT, tail BIGINT, n BIGINT)[]"""
+_NEAREST = """list_sort([{{'g': CASE WHEN r.major >= x.major THEN x.major - r.major ELSE -1000000000 END, 't': x.t}}
+  FOR x IN f.done IF x.rank < r.rank{also}])[-1].t"""
+_FOLD = f"""ranked AS (SELECT artifact, version, CAST(release_date AS DATE) AS d, core, kind, line_key AS line, semver[1] AS major,
+    row_number() OVER (PARTITION BY artifact ORDER BY semver, stage, version) AS rank,
+    row_number() OVER (PARTITION BY artifact ORDER BY release_date, semver, stage, version) AS t FROM releases),
+  fold AS (
+    SELECT DISTINCT artifact, CAST(0 AS BIGINT) AS t, CAST([] AS {_DONE}) AS done, CAST([] AS {_OPEN}) AS open FROM ranked
+    UNION ALL
+    SELECT artifact, t, list_append(done, struct_pack(t := t, version := version, d := d, core := core, kind := CASE WHEN type = 'hotfix' THEN type ELSE kind END,
+        line := line, major := major, rank := rank, row := coalesce(joined, len(open)))),
+      CASE WHEN joined IS NOT NULL THEN [struct_pack(row := b.row, key := b.key, family := b.family, type := b.type, line := b.line, core := b.core, depth := b.depth,
+          parent := b.parent, anchor := b.anchor, tail := CASE WHEN b.row = joined THEN t ELSE b.tail END, n := b.n + CASE WHEN b.row = joined THEN 1 ELSE 0 END) FOR b IN open]
+        ELSE list_append(open, struct_pack(row := len(open), key := CASE WHEN type = 'main' THEN type ELSE type || '@' || name || '#' || len(open) END,
+          family := CASE type WHEN 'main' THEN type WHEN 'hotfix' THEN 'hotfix-' || line WHEN 'line' THEN 'line-' || line ELSE 'core-' || core END, type := type, line := line, core := core,
+          depth := coalesce(open[done[anchor].row + 1].depth + 1, 0), parent := done[anchor].row, anchor := anchor, tail := t, n := 1)) END
+    FROM (
+      SELECT *, CASE WHEN len(open) = 0 OR fix IS NOT NULL THEN NULL WHEN own IS NOT NULL THEN own WHEN kind = 'stable' AND prior IS NOT NULL THEN NULL
+          WHEN kind = 'runtime-fork' AND base IS NOT NULL THEN CASE WHEN done[shared.tail].rank <= rank THEN shared.row END END AS joined,
+        CASE WHEN len(open) = 0 THEN 'main' WHEN fix IS NOT NULL THEN 'hotfix' WHEN kind = 'stable' AND prior IS NOT NULL THEN 'line'
+          WHEN kind = 'runtime-fork' AND base IS NOT NULL THEN 'same-core' ELSE 'line' END AS type,
+        CASE WHEN len(open) = 0 THEN NULL WHEN fix IS NOT NULL THEN fix WHEN kind = 'stable' AND prior IS NOT NULL THEN prior
+          WHEN kind = 'runtime-fork' AND base IS NOT NULL THEN base ELSE lower END AS anchor,
+        CASE WHEN fix IS NOT NULL OR kind = 'runtime-fork' AND base IS NOT NULL THEN core ELSE line END AS name
+      FROM (
+        SELECT r.*, f.done, f.open,
+          [x.t FOR x IN f.done IF x.core = r.core AND x.rank < r.rank AND r.d - x.d <= 1 AND x.kind <> 'hotfix'][-1] AS fix,
+          [x.t FOR x IN f.done IF x.core = r.core AND x.rank < r.rank AND r.d - x.d <= 30][-1] AS base,
+          list_sort([{{'tail': b.tail, 'row': b.row}} FOR b IN f.open IF b.type IN ('main', 'line') AND b.line = r.line AND f.done[b.tail].rank <= r.rank])[-1].row AS own,
+          [b FOR b IN f.open IF b.type = 'same-core' AND b.core = r.core][-1] AS shared,
+          {_NEAREST.format(also=" AND x.kind = 'stable' AND x.line <> r.line")} AS prior,
+          {_NEAREST.format(also="")} AS lower
+        FROM fold f JOIN ranked r ON r.artifact = f.artifact AND r.t = f.t + 1))),
+  lineage AS (SELECT f.artifact, x.version, x.d AS release_date, x.core, x.row AS matrix_row,
+      row_number() OVER (PARTITION BY f.artifact, x.row ORDER BY x.t) - 1 AS matrix_col, b.key AS branch_key, x.kind AS branch_kind, b.family AS branch_family, b.type AS branch_type,
+      b.depth AS branch_depth, b.line AS line_key, f.open[b.parent + 1].key AS parent_branch_key, b.parent AS parent_branch_row,
+      f.done[b.anchor].version AS fork_anchor_version, f.done[b.anchor].d AS fork_anchor_release_date
+    FROM (SELECT artifact, done, open, unnest(done) AS x FROM (SELECT artifact, arg_max(done, t) AS done, arg_max(open, t) AS open FROM fold GROUP BY artifact)) f,
+      LATERAL (SELECT f.open[f.x.row + 1] AS b))"""
+
+
+def _recursive(*views: str) -> str:
+    return b.with_sql(*views).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _FOLD + "\n"
+
+
+def _dates(d):
+    return d.withColumns({c: F.to_date(c).cast("string") for c in ("release_date", "fork_anchor_release_date")})
+
+
+@query(
+    "an8_lineage",
+    _recursive(*REL) + "SELECT * REPLACE (CAST(release_date AS VARCHAR) AS release_date, CAST(fork_anchor_release_date AS VARCHAR) AS fork_anchor_release_date) FROM lineage",
+)
 def an8(spark, sf):
-    return ln.lineage(b.releases(spark, sf), 30.0)
+    return _dates(ln.lineage(b.releases(spark, sf), 30.0))
 
 
-@query("an8_version_tree")
+@query(
+    "an8_version_tree",
+    _recursive(*REL)
+    + """SELECT artifact, matrix_row, branch_key, branch_family, branch_type, branch_depth, line_key, parent_branch_key, parent_branch_row, fork_anchor_version,
+    CAST(fork_anchor_release_date AS VARCHAR) AS fork_anchor_release_date, string_agg(version, ' ' ORDER BY matrix_col) AS versions FROM lineage GROUP BY ALL""",
+)
 def an8_tree(spark, sf):
     t = ln.version_tree(ln.lineage(b.releases(spark, sf), 30.0))
-    return t.withColumn("versions", F.array_join(F.transform("versions", lambda v: v["version"]), " "))
+    versions = F.array_join(F.transform("versions", lambda v: v["version"]), " ")
+    return t.withColumns({"versions": versions, "fork_anchor_release_date": F.to_date("fork_anchor_release_date").cast("string")})
 
 
 def _lines_of(history):
@@ -270,6 +332,10 @@ _AN5 = f"""SELECT artifact, l, r, 'branch' AS comparison_axis, 'branch[' || l.ma
   UNION ALL SELECT h.artifact, a.c, h.c, 'fork', 'fork[' || h.fork_anchor_version || '->' || h.c.version || ']' FROM
     (SELECT artifact, fork_anchor_version, {_CELL} AS c FROM cells WHERE matrix_col = 0 AND fork_anchor_version IS NOT NULL) h
     JOIN (SELECT artifact, version, {_CELL} AS c FROM cells) a ON a.artifact = h.artifact AND a.version = h.fork_anchor_version"""
+# A row of hotfixes is not compared along itself; its type is that of its first cell.
+_AN5_TYPED = _AN5.replace("lead({c}) OVER".format(c=_CELL), "CASE WHEN coalesce(first_value(branch_type) OVER (PARTITION BY artifact, matrix_row ORDER BY matrix_col) <> 'hotfix', true) THEN lead({c}) OVER".format(c=_CELL)).replace(
+    "ORDER BY matrix_col) AS r FROM cells)", "ORDER BY matrix_col) END AS r FROM cells)"
+)
 _PAIR_COLS = ["artifact", "comparison_axis", "release_lineage", "is_skipped", "left_version", "right_version", "appears", "not_appears", "seek_patch", "compile", "cause",
               "left_row", "left_col", "right_row", "right_col"]
 
@@ -282,7 +348,12 @@ def an5(spark, sf):
     return ln.boundary_pairs(_placed(spark, sf)).select(*_PAIR_COLS)
 
 
-@query("an5_boundary_pairs_of_lineage")
+@query(
+    "an5_boundary_pairs_of_lineage",
+    _recursive(*TESTED).rstrip()
+    + ", cells AS (SELECT * FROM (" + _PLACED.replace(_LINES, "SELECT * FROM lineage").replace("l.fork_anchor_version", "l.fork_anchor_version, l.branch_type").replace("AS branch_kind, fork_anchor_version", "AS branch_kind, branch_type, fork_anchor_version") + ") WHERE matrix_row IS NOT NULL)\n"
+    + _FLIP.format(src=_AN5_TYPED, exempt="'pre-release', 'hotfix'"),
+)
 def an5_lineage(spark, sf):
     h = b.releases(spark, sf)
     return ln.boundary_pairs(ln.place_untested(b.tested(spark, sf), ln.lineage(h, 30.0), h)).select(*_PAIR_COLS)

@@ -1,8 +1,11 @@
 """Release branches against a plain restatement of the assignment rules, and small hand-made placements."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
+import pytest
+
 from flipline.operators import lineage as ln
 
 
@@ -14,7 +17,7 @@ def plain_lineage(history, window):
         return [p for p in placed if p[2] < e[2]]
 
     def by_gap(cands, e):
-        gap = lambda p: e[6] - p[6] if e[6] >= p[6] else 10**9
+        gap = lambda p: e[6] - p[6] if e[6] >= p[6] >= 0 else 10**9
         return max(cands, key=lambda p: (-gap(p), p[1], p[2]), default=None)
 
     def put(b, e):
@@ -75,6 +78,37 @@ def test_lineage_matches_plain_rules(spark):
         assert got[artifact] == plain_lineage(hist, 3.0)
 
 
+def fold_rows(rnd, n, lines):
+    """Rows of one artifact as the fold takes them, and the same for the plain rules; ``lines`` names a line freely."""
+    facts = []
+    for k in range(n):
+        major = rnd.choice([-1, 0, 1, 2, 5])
+        core = f"{major}.{rnd.randrange(3)}.{rnd.randrange(3)}" if major >= 0 else ""
+        facts.append((rnd.random() * 40, core, rnd.choice(["stable", "stable", "runtime-fork", "suffix-fork", "pre-release"]), lines(rnd, core), major, k))
+    ranks = sorted(range(n), key=lambda k: (facts[k][4], facts[k][1], rnd.random()))
+    rank = {k: r for r, k in enumerate(ranks, 1)}
+    rows = [("a", f"v{k}", None, core, kind, line, day, major, rank[k]) for k, (day, core, kind, line, major, _) in enumerate(facts)]
+    return sorted(rows, key=lambda r: (r[6], r[8]))
+
+
+@pytest.mark.parametrize("scattered", [False, True])
+def test_fold_of_a_long_history(scattered):
+    def line(rnd, core):
+        return rnd.choice("xyz") if scattered else core[:3] or "unknown"
+
+    for seed in range(6):
+        rows = fold_rows(random.Random(seed), 250, line)
+        got = {r[1]: (r[4], r[5], r[9]) for r in ln._History(rows, 3.0).run()}
+        assert got == plain_lineage([(r[1], r[6], r[8], r[3], r[5], r[4], r[7]) for r in rows], 3.0)
+
+
+def test_fold_does_not_slow_down_with_the_history():
+    rows = fold_rows(random.Random(1), 30_000, lambda rnd, core: core[:3] or "unknown")
+    start = time.perf_counter()
+    assert len(ln._History(rows, 30.0).run()) == 30_000
+    assert time.perf_counter() - start < 30
+
+
 def test_hotfix_anchor_and_tree(spark):
     d = datetime(2021, 1, 1)
     rows = [("g:a", "1.0", d), ("g:a", "1.1", d + timedelta(days=9)), ("g:a", "1.1-fix", d + timedelta(days=9, hours=5)), ("g:a", "2.0", d + timedelta(days=30)), ("g:a", "1.2", d + timedelta(days=40))]
