@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import io
 import zipfile
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,22 +300,135 @@ def line_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
     )
 
 
-@F.pandas_udf(T.StringType())
-def _unified(before: pd.Series, after: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y, m, n):
-        if x is None or y is None:
-            return None
-        out = list(difflib.unified_diff(x.splitlines(), y.splitlines(), m, n, lineterm=""))
-        return "\n".join(out) + "\n" if out else ""
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _increasing(values: pd.Series) -> pd.Series:
+    """Places of a longest increasing run of distinct numbers, of equally long ones that with the smallest ends."""
 
-    return pd.Series([one(*row) for row in zip(before, after, a, b)], dtype=object)
+    def one(run) -> list[int]:
+        ends, at, before = [], [], []
+        for k, v in enumerate(run):
+            p = bisect_left(ends, v)
+            before.append(at[p - 1] if p else -1)
+            if p == len(ends):
+                ends.append(v)
+                at.append(k)
+            else:
+                ends[p], at[p] = v, k
+        found, k = [], at[-1] if at else -1
+        while k >= 0:
+            found.append(k)
+            k = before[k]
+        return found[::-1]
+
+    return pd.Series([one(run) for run in values], dtype=object)
+
+
+def line_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """Rows (key, place, sign, before_line, after_line, line) that turn one document of each pair into the other.
+
+    ``key`` is unique in ``pairs``. A row is kept (a blank), removed (-) or added (+); line numbers count from 1, and
+    ``place`` orders the rows of a pair: what is not added gives the first document, what is not removed the second.
+
+    Lines that are unique on both sides are anchors if they lie on a longest run that rises on both sides. From each
+    anchor on, and back from the next one, lines that are equal step by step are kept too; all others are removed or
+    added. Documents that are equal in null or text have no rows and are dropped before any line is made. Lines are
+    dealt by ``key`` once, so a task holds the lines of single pairs; only line numbers reach Python.
+    """
+    d = pairs.where(~F.col(before).eqNullSafe(F.col(after)))
+    side = lambda c, s: d.select(key, F.lit(s).alias("__s"), F.posexplode(lines(c)).alias("__p", "line"))
+    rows = side(before, 0).unionByName(side(after, 1)).repartition(key)
+    on = lambda s, c: F.when(F.col("__s") == s, c)
+    alone = (
+        rows.groupBy(key, "line")
+        .agg(*[F.count(on(s, 1)).alias(f"n{s}") for s in (0, 1)], *[F.min(on(s, F.col("__p"))).alias(f"p{s}") for s in (0, 1)])
+        .where("n0 = 1 AND n1 = 1")
+    )
+    listed = alone.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("p0", "p1"))).alias("a"))
+    chain = listed.select(key, "a", F.posexplode(_increasing(F.transform("a", lambda x: x["p1"]))).alias("__g", "k"))
+    anchor = F.get("a", F.col("k"))
+    ends = F.array(*[F.struct(F.lit(s).alias("__s"), anchor[f"p{s}"].alias("__p")) for s in (0, 1)])
+    marks = chain.select(key, (F.col("__g") + 1).alias("__g"), F.inline(ends))
+    both = rows.withColumn("__g", F.lit(None).cast("int")).unionByName(marks.withColumn("line", F.lit(None).cast("string")))
+    upto = Window.partitionBy(key, "__s").orderBy("__p", F.col("__g").desc_nulls_last())
+    d = both.repartition(key).withColumns(
+        {
+            "__gap": F.coalesce(F.last("__g", True).over(upto), F.lit(0)),
+            "__t": F.col("__p") - F.coalesce(F.last(F.when(F.col("__g").isNotNull(), F.col("__p")), True).over(upto), F.lit(-1)),
+        }
+    ).where(F.col("__g").isNull())
+    at = F.col("__p")
+    across = lambda step, use: Window.partitionBy(key, "__gap", step, use)
+    inside = Window.partitionBy(key, "__s", "__gap")
+
+    def meet(d: DataFrame, step: str, use: Column, name: str) -> DataFrame:
+        """Whether a line and the one as many steps along on the other side are equal, with all steps between."""
+        w = across(step, "__use")
+        d = d.withColumn("__use", use)
+        same = F.col("__use") & (F.count("*").over(w) == 2) & (F.min("line").over(w) == F.max("line").over(w))
+        d = d.withColumns({"__eq": same, f"{name}_at": F.sum("__p").over(w) - at})
+        return d.withColumn(name, F.every("__eq").over(inside.orderBy(step)))
+
+    d = meet(d, "__t", F.lit(True), "__head")
+    d = d.withColumn("__u", F.max("__t").over(inside) - F.col("__t"))
+    d = meet(d, "__u", ~F.col("__head"), "__tail")
+    kept = F.col("__head") | F.col("__tail")
+    part = F.when(F.col("__head"), 0).when(F.col("__tail"), 3).otherwise(F.col("__s") + 1)
+    order = Window.partitionBy(key).orderBy("__gap", "__part", "__p")
+    other = F.when(F.col("__head"), F.col("__head_at")).otherwise(F.col("__tail_at"))
+    d = d.withColumns({"__kept": kept, "__part": part, "__other": other}).where(~F.col("__kept") | (F.col("__s") == 0))
+    number = lambda s: F.when(F.col("__s") == s, at + 1).when(F.col("__kept"), F.col("__other") + 1).cast("int")
+    return d.select(
+        key,
+        F.row_number().over(order).alias("place"),
+        F.when(F.col("__kept"), " ").when(F.col("__s") == 0, "-").otherwise("+").alias("sign"),
+        number(0).alias("before_line"),
+        number(1).alias("after_line"),
+        "line",
+    )
+
+
+def diff_hunks(rows: DataFrame, key: str, context: int = 3) -> DataFrame:
+    """(key, hunk, text) of the changes among :func:`line_diff` rows, each with ``context`` kept lines around it."""
+    order = Window.partitionBy(key).orderBy("place")
+    change = F.col("sign") != " "
+    d = rows.withColumns(
+        {
+            "__near": F.bool_or(change).over(order.rowsBetween(-context, context)),
+            "__b": F.count_if(F.col("sign") != "+").over(order),
+            "__a": F.count_if(F.col("sign") != "-").over(order),
+        }
+    ).where("__near")
+    opens = F.coalesce(F.col("place") - F.lag("place").over(order) > 1, F.lit(True))
+    d = d.withColumn("__o", opens).withColumn("hunk", F.count_if(F.col("__o")).over(order))
+
+    def span(count: Column, last: Column) -> Column:
+        """First line and number of lines; the number is left out for 1, and for 0 the line before is named."""
+        first = last - count + 1
+        return F.when(count == 1, first.cast("string")).otherwise(F.concat_ws(",", F.when(count == 0, first - 1).otherwise(first), count))
+
+    d = d.groupBy(key, "hunk").agg(
+        F.count_if(F.col("sign") != "+").alias("__nb"),
+        F.count_if(F.col("sign") != "-").alias("__na"),
+        F.max("__b").alias("__b"),
+        F.max("__a").alias("__a"),
+        F.sort_array(F.collect_list(F.struct("place", F.concat("sign", "line").alias("t")))).alias("__l"),
+    )
+    head = F.concat(F.lit("@@ -"), span(F.col("__nb"), F.col("__b")), F.lit(" +"), span(F.col("__na"), F.col("__a")), F.lit(" @@"))
+    return d.select(key, "hunk", F.concat_ws("\n", head, F.transform("__l", lambda x: x["t"])).alias("text"))
 
 
 def unified_diff(
-    pairs: DataFrame, before: str, after: str, from_name: Column, to_name: Column, out: str = "diff", marker: str = "(no textual diff)\n"
+    pairs: DataFrame,
+    key: str,
+    before: str,
+    after: str,
+    from_name: Column,
+    to_name: Column,
+    out: str = "diff",
+    marker: str = "(no textual diff)\n",
 ) -> DataFrame:
-    """Unified text diff per document pair; equal pairs skip Python and get the marker."""
-    x, y = F.coalesce(F.col(before), F.lit("")), F.coalesce(F.col(after), F.lit(""))
-    differ = x != y
-    text = _unified(F.when(differ, x), F.when(differ, y), from_name, to_name)
-    return pairs.withColumn(out, F.coalesce(F.nullif(text, F.lit("")), F.lit(marker)))
+    """Unified text diff of every pair; pairs without a changed line get the marker."""
+    hunks = diff_hunks(line_diff(pairs, key, before, after), key)
+    body = hunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("hunk", "text"))).alias("__h"))
+    text = F.concat(F.lit("--- "), from_name, F.lit("\n+++ "), to_name, F.lit("\n"), F.array_join(F.transform("__h", lambda x: x["text"]), "\n"), F.lit("\n"))
+    return pairs.join(body, key, "left").withColumn(out, F.coalesce(text, F.lit(marker))).drop("__h")

@@ -237,7 +237,53 @@ def so4(spark, sf):
     return df_.line_changes(_doc_pairs(spark, sf), "doc_id", "x", "y")
 
 
-@query("so4_unified_diff")
+_LINES_OF = _SPLIT.removeprefix("unnest(").removesuffix(")")
+_LINE_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, {s} AS s, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS p FROM (SELECT doc_id, {_LINES_OF.format(c=c)} AS a FROM ({_DOC_PAIRS}) WHERE x <> y AND {c} <> '')"
+    for s, c in enumerate("xy")
+)
+# Anchors one by one: the least end of a rising run of every length, and for each anchor the one before it on its run.
+_LINE_DIFF = f"""WITH RECURSIVE sides AS ({_LINE_ROWS}),
+  alone AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, i, j FROM (SELECT doc_id, line, min(p) FILTER (s = 0) AS i, min(p) FILTER (s = 1) AS j
+    FROM sides GROUP BY 1, 2 HAVING count(*) FILTER (s = 0) = 1 AND count(*) FILTER (s = 1) = 1)),
+  runs AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(j BIGINT, k BIGINT)[]) AS ends, CAST([] AS BIGINT[]) AS prior FROM alone
+    UNION ALL SELECT doc_id, k, ends[:n] || [struct_pack(j := j, k := k)] || ends[n + 2:], list_append(prior, CASE WHEN n > 0 THEN ends[n].k END)
+    FROM (SELECT a.doc_id, a.k, a.j, r.ends, r.prior, len([e FOR e IN r.ends IF e.j < a.j]) AS n FROM runs r JOIN alone a ON a.doc_id = r.doc_id AND a.k = r.k + 1)),
+  chain AS (SELECT doc_id, ends[-1].k AS k, prior FROM (SELECT doc_id, arg_max(ends, k) AS ends, arg_max(prior, k) AS prior FROM runs GROUP BY 1)
+    UNION ALL SELECT doc_id, prior[k], prior FROM chain WHERE prior[k] IS NOT NULL),
+  marks AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM chain JOIN alone USING (doc_id, k)),
+  placed AS (SELECT *, p - coalesce(max(CASE WHEN g IS NOT NULL THEN p END) OVER w, -1) AS t, coalesce(max(g) OVER w, 0) AS gap
+    FROM (SELECT l.*, m.g FROM sides l LEFT JOIN marks m ON m.doc_id = l.doc_id AND l.p = CASE l.s WHEN 0 THEN m.i ELSE m.j END) WINDOW w AS (PARTITION BY doc_id, s ORDER BY p)),
+  stepped AS (SELECT *, max(t) OVER (PARTITION BY doc_id, s, gap) - t AS u FROM placed),
+  headed AS (SELECT a.*, z.p AS hp, bool_and(coalesce(a.line = z.line, false)) OVER (PARTITION BY a.doc_id, a.s, a.gap ORDER BY a.t) AS head
+    FROM stepped a LEFT JOIN stepped z ON z.doc_id = a.doc_id AND z.gap = a.gap AND z.t = a.t AND z.s <> a.s),
+  tailed AS (SELECT a.*, z.p AS tp, bool_and(NOT a.head AND coalesce(a.line = z.line AND NOT z.head, false)) OVER (PARTITION BY a.doc_id, a.s, a.gap ORDER BY a.u) AS tail
+    FROM headed a LEFT JOIN headed z ON z.doc_id = a.doc_id AND z.gap = a.gap AND z.u = a.u AND z.s <> a.s),
+  diffs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, CASE WHEN head THEN 0 WHEN tail THEN 3 ELSE s + 1 END, p) AS place, CASE WHEN head OR tail THEN ' ' WHEN s = 0 THEN '-' ELSE '+' END AS sign,
+    CASE WHEN s = 0 THEN p + 1 END AS before_line, CASE WHEN s = 1 THEN p + 1 WHEN head THEN hp + 1 WHEN tail THEN tp + 1 END AS after_line, line FROM tailed WHERE s = 0 OR NOT (head OR tail))
+"""
+
+
+@query("so4_line_diff", _LINE_DIFF + "SELECT * FROM diffs")
+def so4_rows(spark, sf):
+    return df_.line_diff(_doc_pairs(spark, sf), "doc_id", "x", "y")
+
+
+_RANGE = "CASE WHEN {n} = 1 THEN {last}::VARCHAR ELSE (CASE WHEN {n} = 0 THEN {last} ELSE {last} - {n} + 1 END) || ',' || {n} END"
+
+
+@query(
+    "so4_unified_diff",
+    _LINE_DIFF
+    + f"""SELECT doc_id, length(d) AS n, md5(d) AS h FROM (
+  SELECT p.doc_id, CASE WHEN t IS NULL THEN '(no textual diff)' || chr(10) ELSE '--- doc-' || p.doc_id || chr(10) || '+++ doc-' || (p.doc_id + 1) || chr(10) || t || chr(10) END AS d FROM ({_DOC_PAIRS}) p
+  LEFT JOIN (SELECT doc_id, string_agg('@@ -' || {_RANGE.format(n="nb", last="lb")} || ' +' || {_RANGE.format(n="na", last="la")} || ' @@' || chr(10) || body, chr(10) ORDER BY hunk) AS t FROM (
+    SELECT doc_id, hunk, count(*) FILTER (sign <> '+') AS nb, count(*) FILTER (sign <> '-') AS na, max(b) AS lb, max(a) AS la, string_agg(sign || line, chr(10) ORDER BY place) AS body FROM (
+      SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY place) AS hunk FROM (
+        SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) = 1 THEN 0 ELSE 1 END AS o FROM (
+          SELECT *, max(CASE WHEN sign <> ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near,
+            count(*) FILTER (sign <> '+') OVER (PARTITION BY doc_id ORDER BY place) AS b, count(*) FILTER (sign <> '-') OVER (PARTITION BY doc_id ORDER BY place) AS a FROM diffs) WHERE near = 1)) GROUP BY 1, 2) GROUP BY 1) t ON t.doc_id = p.doc_id)""",
+)
 def so4_unified(spark, sf):
-    d = df_.unified_diff(_doc_pairs(spark, sf), "x", "y", F.concat(F.lit("doc-"), "doc_id"), F.concat(F.lit("doc-"), F.col("doc_id") + 1))
+    d = df_.unified_diff(_doc_pairs(spark, sf), "doc_id", "x", "y", F.concat(F.lit("doc-"), "doc_id"), F.concat(F.lit("doc-"), F.col("doc_id") + 1))
     return d.select("doc_id", F.length("diff").alias("n"), F.md5("diff").alias("h"))
