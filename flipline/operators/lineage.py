@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flipline.functions.labels import outcome_compiled, outcome_failure, outcome_success
 from flipline.functions.text import clean_text
 from flipline.functions.versions import normalize_version, with_version_parts
-from flipline.operators.scans import BLOCK_ROWS, first_of, nearest
+from flipline.operators.scans import first_of, nearest, over
 
 # Branch labels and windows.
 UNPLACED = "excel-unresolved"
@@ -25,13 +25,11 @@ FORK_WINDOW_DAYS = 1.0
 NO_GAP = 10**9
 
 
-def release_history(df: DataFrame, artifact: str = "artifact", version: str = "version", date: str = "release_date", pos: str | None = None) -> DataFrame:
+def release_history(df: DataFrame, artifact: str = "artifact", version: str = "version", date: str = "release_date") -> DataFrame:
     """First release of every (artifact, version) with all parsed version parts."""
-    rows = df.select(F.col(artifact).alias("artifact"), clean_text(version).alias("version"), F.col(date).cast("timestamp").alias("release_date"), *([F.col(pos)] if pos else []))
-    order = F.struct("release_date", *([pos] if pos else []))
+    rows = df.select(F.col(artifact).alias("artifact"), clean_text(version).alias("version"), F.col(date).cast("timestamp").alias("release_date"))
     rows = rows.where((F.col("version") != "") & F.col("release_date").isNotNull())
-    first = rows.groupBy("artifact", "version").agg(F.min(order).alias("__o"))
-    return with_version_parts(first.select("artifact", "version", F.col("__o.release_date").alias("release_date")))
+    return with_version_parts(rows.groupBy("artifact", "version").agg(F.min("release_date").alias("release_date")))
 
 
 def days(c: Column) -> Column:
@@ -351,57 +349,37 @@ def version_tree(cells: DataFrame) -> DataFrame:
 # --- main line with backports -----------------------------------------------------------------------------
 
 
-def fork_anchor_asof(forks: DataFrame, main: DataFrame, window_days: float = FORK_WINDOW_DAYS) -> DataFrame:
-    """Main release a fork grew from.
+def _before_and_after(rows: DataFrame) -> DataFrame:
+    """Add the main releases around each row in time, on its line and on any line, and the last one of its core.
 
-    In this order: latest main release on the same line up to the fork's date, latest on any line, nearest later
-    one on the same line inside the window, the same core inside the window, nearest later one on any line inside
-    the window, the same core at any time. As-of lookups are windows over the union of both sides.
+    ``rows`` hold main releases, with their struct (date, version, row) in ``hit``, and others, where it is null. All
+    lookups are windows inside an artifact; of main releases of one date the first by name comes nearest after.
     """
-    def m(name: str) -> Column:
-        return F.struct(F.col("release_date").alias("date"), F.col("version").alias("version")).alias(name)
-
-    firsts = lambda *keys: F.min("version").over(Window.partitionBy(*keys, "release_date"))
-    left = main.select(
-        "artifact",
-        "line_key",
-        "release_date",
-        F.lit(0).alias("side"),
-        "semver",
-        "version",
-        m("hit"),
-        F.struct(F.col("release_date").alias("date"), firsts("artifact").alias("version")).alias("near"),
-        F.struct(F.col("release_date").alias("date"), firsts("artifact", "line_key").alias("version")).alias("near_line"),
-        F.lit(None).cast("string").alias("fork_key"),
-        F.lit(None).cast("string").alias("core"),
-        F.lit(None).cast("string").alias("base_version"),
-    )
-    none = F.lit(None).cast("struct<date:timestamp,version:string>")
-    right = forks.select(
-        "artifact", "line_key", "release_date", F.lit(1).alias("side"), "semver", "version",
-        none.alias("hit"), none.alias("near"), none.alias("near_line"), "fork_key", "core", "base_version",
-    )
-    both = left.unionByName(right)
-    order = ", ".join(["release_date", "side", "semver", "version"])
+    main = F.col("hit").isNotNull()
+    by = lambda *keys: Window.partitionBy("artifact", *keys)
+    first = lambda *keys: F.when(main, F.min(F.when(main, F.struct("version", "hit"))).over(by(*keys, "release_date"))["hit"])
+    rows = rows.withColumns({"near": first(), "near_line": first("line_key"), "side": (~main).cast("int")})
+    order = "release_date, side, semver, version"
 
     def look(fn: str, arg: str, part: str) -> Column:
         return F.expr(f"{fn}({arg}) IGNORE NULLS OVER (PARTITION BY {part} ORDER BY {order})")
 
-    both = both.withColumns(
+    latest = F.max(F.when(main & (F.col("core") != ""), F.struct("release_date", "semver", "version", "hit"))).over(by("core"))
+    return rows.withColumns(
         {
             "line_before": look("lag", "hit", "artifact, line_key"),
             "line_after": look("lead", "near_line", "artifact, line_key"),
+            "any_before": look("lag", "hit", "artifact"),
+            "any_after": look("lead", "near", "artifact"),
+            "same_core": F.when(F.col("core") != "", latest["hit"]),
         }
-    ).withColumns({"any_before": look("lag", "hit", "artifact"), "any_after": look("lead", "near", "artifact")})
-    by_core = (
-        main.where(F.col("core") != "")
-        .groupBy("artifact", "core")
-        .agg(F.max(F.struct("release_date", "semver", "version")).alias("c"))
-        .select("artifact", "core", F.struct(F.col("c.release_date").alias("date"), F.col("c.version").alias("version")).alias("same_core"))
-    )
-    d = both.where(F.col("side") == 1).join(by_core, ["artifact", "core"], "left")
+    ).drop("near", "near_line", "side")
+
+
+def _anchor(window_days: float) -> Column:
+    """The choice among the main releases around a fork."""
     near = lambda c: F.abs(days(F.col(f"{c}.date")) - days(F.col("release_date"))) <= window_days
-    pick = F.coalesce(
+    return F.coalesce(
         F.col("line_before"),
         F.col("any_before"),
         F.when(near("line_after"), F.col("line_after")),
@@ -409,7 +387,22 @@ def fork_anchor_asof(forks: DataFrame, main: DataFrame, window_days: float = FOR
         F.when(near("any_after"), F.col("any_after")),
         F.col("same_core"),
     )
-    return d.withColumn("__a", pick).select(
+
+
+def fork_anchor_asof(forks: DataFrame, main: DataFrame, window_days: float = FORK_WINDOW_DAYS) -> DataFrame:
+    """Main release a fork grew from.
+
+    In this order: latest main release on the same line up to the fork's date, latest on any line, nearest later
+    one on the same line inside the window, the same core inside the window, nearest later one on any line inside
+    the window, the same core at any time. As-of lookups are windows over the union of both sides, dealt by artifact once.
+    """
+    fields = ["artifact", "line_key", "release_date", "semver", "version", "core"]
+    none = F.lit(None).cast("string")
+    hit = F.struct(F.col("release_date").alias("date"), "version", F.lit(None).cast("int").alias("row"))
+    left = main.select(*fields, hit.alias("hit"), none.alias("fork_key"), none.alias("base_version"))
+    right = forks.select(*fields, F.lit(None).cast("struct<date:timestamp,version:string,row:int>").alias("hit"), "fork_key", "base_version")
+    both = _before_and_after(left.unionByName(right).repartition("artifact"))
+    return both.where(F.col("hit").isNull()).withColumn("__a", _anchor(window_days)).select(
         "artifact", "fork_key", F.col("__a.version").alias("anchor_version"), F.col("__a.date").alias("anchor_date"), "base_version"
     )
 
@@ -419,98 +412,69 @@ def main_line(history: DataFrame, window_days: float = FORK_WINDOW_DAYS) -> Data
 
     A stable release is on the main line when no earlier stable release has higher numbers; other stable ones
     are backports of their line; suffixed ones form forks. Branches without an anchor get rows at the end.
+    The history is dealt by artifact once; all else are windows inside an artifact, so it is read once.
     """
-    by_time = Window.partitionBy("artifact").orderBy("release_date", "semver", "version")
-    stable = history.where(F.col("branch_kind") == "stable").withColumn(
-        "__top", F.max("semver").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    ).withColumn("is_main", F.coalesce(F.col("semver") >= F.col("__top"), F.lit(True)))
-    main = stable.where("is_main").withColumn("row", F.row_number().over(by_time) - 1)
+    kind, port = F.col("branch_kind"), F.col("branch_kind") == "stable"
+    by = lambda *keys: Window.partitionBy("artifact", *keys)
+    in_time = ["release_date", "semver", "version"]
+    by_time = by().orderBy(*in_time)
+    top = F.max(F.when(port, F.col("semver"))).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    d = history.repartition("artifact").withColumn("__top", top)
+    d = d.withColumn("is_main", port & F.coalesce(F.col("semver") >= F.col("__top"), F.lit(True)))
+    d = d.withColumn("__row", (F.count_if("is_main").over(by_time) - 1).cast("int"))
+    d = d.withColumn("hit", F.when(F.col("is_main"), F.struct(F.col("release_date").alias("date"), "version", F.col("__row").alias("row"))))
+    d = _before_and_after(d)
 
     # Backports: anchor is the last main release of the line before the first backport, else the last of the line.
-    line_time = Window.partitionBy("artifact", "line_key").orderBy("release_date", "semver", "version")
-    last_main = F.last(F.when(F.col("is_main"), F.struct("release_date", "version")), True).over(line_time)
-    ports = stable.withColumn("__before", last_main).where(~F.col("is_main"))
-    heads = ports.groupBy("artifact", "line_key").agg(
-        F.min_by(F.struct("__before", "base_version"), F.struct("release_date", "semver", "version")).alias("h")
-    )
-    line_last = main.groupBy("artifact", "line_key").agg(
-        F.max_by(F.struct("release_date", "version"), F.struct("release_date", "semver", "version")).alias("__last")
-    )
-    port_anchor = heads.join(line_last, ["artifact", "line_key"], "left").select(
-        "artifact",
-        F.concat(F.lit("stable@"), F.col("line_key")).alias("branch_key"),
-        F.coalesce(F.col("h.__before"), F.col("__last")).alias("__a"),
-        F.col("h.base_version").alias("__base"),
-    )
-    ports = ports.select(
-        "artifact", "version", "release_date", "semver", "suffix_key",
-        F.concat(F.lit("stable@"), F.col("line_key")).alias("branch_key"),
-        F.lit("stable-line").alias("branch_family"),
-        F.lit("stable-backport").alias("branch_kind"),
-    )
-
-    kind = F.col("branch_kind")
+    line_last = F.max(F.when(F.col("is_main"), F.struct(*in_time, "hit"))).over(by("line_key"))["hit"]
     fork_key = (
-        F.when(kind == "pre-release", F.concat(F.lit("fork@"), F.col("base_version"), F.lit("#pre")))
+        F.when(port, F.concat(F.lit("stable@"), F.col("line_key")))
+        .when(kind == "pre-release", F.concat(F.lit("fork@"), F.col("base_version"), F.lit("#pre")))
         .when(kind == "runtime-fork", F.concat(F.lit("fork@"), F.col("line_key"), F.lit("#"), F.col("suffix_family")))
         .otherwise(F.concat(F.lit("fork@"), F.col("base_version"), F.lit("#"), F.col("suffix_family")))
     )
-    forks = history.where(kind != "stable").withColumn("fork_key", fork_key)
-    order = F.struct("release_date", "semver", "suffix_key", "version")
-    fields = ["line_key", "release_date", "semver", "version", "core", "base_version"]
-    fork_heads = forks.groupBy("artifact", "fork_key").agg(F.min_by(F.struct(*fields), order).alias("h")).select(
-        "artifact", "fork_key", "h.*"
-    )
-    anchors = fork_anchor_asof(fork_heads, main, window_days).select(
-        "artifact",
-        F.col("fork_key").alias("branch_key"),
-        F.struct(F.col("anchor_date").alias("release_date"), F.col("anchor_version").alias("version")).alias("__a"),
-        F.col("base_version").alias("__base"),
-    )
-    forks = forks.select(
-        "artifact", "version", "release_date", "semver", "suffix_key", F.col("fork_key").alias("branch_key"),
-        F.when(kind == "pre-release", "pre-release").otherwise(F.col("suffix_family")).alias("branch_family"), "branch_kind",
+    d = d.withColumns(
+        {
+            "__line_last": line_last,
+            "branch_key": F.when(F.col("is_main"), "main").otherwise(fork_key),
+            "branch_family": F.when(F.col("is_main"), "main").when(port, "stable-line").when(kind == "pre-release", "pre-release").otherwise(F.col("suffix_family")),
+            "branch_kind": F.when(port & ~F.col("is_main"), "stable-backport").otherwise(kind),
+        }
     )
+    backport = F.col("branch_kind") == "stable-backport"
+    d = d.withColumn("__pick", F.when(backport, F.coalesce("line_before", "__line_last")).otherwise(_anchor(window_days)))
 
-    side = ports.unionByName(forks)
-    sizes = side.groupBy("artifact", "branch_key").agg(
-        F.count(F.lit(1)).alias("__size"), F.min("release_date").alias("__first"),
-        F.first("branch_kind").alias("__kind"),
-    )
-    rows = main.select("artifact", F.col("version").alias("__av"), F.col("row").alias("__row"))
-    branch = (
-        sizes.join(port_anchor.unionByName(anchors), ["artifact", "branch_key"])
-        .withColumn("__av", F.col("__a.version"))
-        .join(rows, ["artifact", "__av"], "left")
-        .join(main.groupBy("artifact").agg(F.count(F.lit(1)).alias("__mains")), "artifact", "left")
-    )
-    detached = F.col("__row").isNull()
-    tail = Window.partitionBy("artifact", detached).orderBy("__first", "branch_key")
-    grid = Window.partitionBy("artifact", "row").orderBy(
-        F.when(F.col("__kind") == "stable-backport", 0).otherwise(1), "__first", "branch_key"
-    )
-    branch = branch.withColumn(
-        "row",
-        F.when(detached, F.coalesce(F.col("__mains"), F.lit(0)) + F.row_number().over(tail) - 1).otherwise(F.col("__row")),
-    ).withColumns(
+    # A branch hangs where its first release does.
+    inside = by("branch_key").orderBy("release_date", "semver", "suffix_key", "version")
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns(
         {
-            "fork_order": F.row_number().over(grid),
-            "start_col": 1 + F.coalesce(F.sum("__size").over(grid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "fork_anchor_version": F.coalesce(F.col("__av"), F.col("__base")),
+            "__a": F.first("__pick").over(whole),
+            "__base": F.first("base_version").over(whole),
+            "__first": F.min("release_date").over(whole),
+            "__port": F.first(backport).over(whole),
+            "__i": F.row_number().over(inside) - 1,
+            "__mains": F.count_if("is_main").over(by()),
         }
-    ).select("artifact", "branch_key", "row", "fork_order", "start_col", "fork_anchor_version")
-    inside = Window.partitionBy("artifact", "branch_key").orderBy("release_date", "semver", "suffix_key", "version")
-    cells = side.withColumn("__i", F.row_number().over(inside) - 1).join(branch, ["artifact", "branch_key"]).select(
-        "artifact", F.col("row").cast("int").alias("matrix_row"), (F.col("start_col") + F.col("__i")).cast("int").alias("matrix_col"),
-        "branch_key", "branch_kind", "branch_family", "version", "release_date", "fork_anchor_version",
-        F.col("fork_order").cast("int").alias("fork_order"),
     )
-    trunk = main.select(
-        "artifact", F.col("row").cast("int").alias("matrix_row"), F.lit(0).alias("matrix_col"),
-        F.lit("main").alias("branch_key"), F.lit("stable").alias("branch_kind"), F.lit("main").alias("branch_family"),
-        "version", "release_date", F.lit(None).cast("string").alias("fork_anchor_version"), F.lit(None).cast("int").alias("fork_order"),
+    # Releases of a branch are peers here, so ranks count the releases, and dense ranks the branches, before it.
+    detached = F.col("__a").isNull()
+    tail = by("is_main", detached).orderBy("__first", "branch_key")
+    d = d.withColumn("__at", F.when(detached, F.col("__mains") + F.dense_rank().over(tail) - 1).otherwise(F.col("__a.row")))
+    grid = by("is_main", "__at").orderBy(F.when(F.col("__port"), 0).otherwise(1), "__first", "branch_key")
+    side = lambda c: F.when(~F.col("is_main"), c)
+    return d.withColumns({"__order": F.dense_rank().over(grid), "__start": F.rank().over(grid)}).select(
+        "artifact",
+        F.when(F.col("is_main"), F.col("__row")).otherwise(F.col("__at")).cast("int").alias("matrix_row"),
+        F.when(F.col("is_main"), 0).otherwise(F.col("__start") + F.col("__i")).cast("int").alias("matrix_col"),
+        "branch_key",
+        "branch_kind",
+        "branch_family",
+        "version",
+        "release_date",
+        side(F.coalesce("__a.version", "__base")).alias("fork_anchor_version"),
+        side(F.col("__order")).cast("int").alias("fork_order"),
     )
-    return trunk.unionByName(cells)
 
 
 def branch_summary(cells: DataFrame) -> DataFrame:
@@ -530,21 +494,50 @@ def branch_summary(cells: DataFrame) -> DataFrame:
 # --- tested versions on the grid --------------------------------------------------------------------------
 
 
-def place_untested(tested: DataFrame, cells: DataFrame, history: DataFrame, pos: str = "row_pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _resolved(once: DataFrame, cells: DataFrame, history: DataFrame | None) -> DataFrame:
+    """Tested versions with the release they stand for, as :func:`resolve_version`, and its cell (``__r`` and so on).
+
+    Both sides have a version of an artifact once, so they are dealt by artifact and meet in windows, not in joins.
+    """
+    cell = ["core", "branch_key", "branch_family", "branch_kind", "branch_type", "fork_anchor_version"]
+    spots = cells.select("artifact", "version", "release_date", F.struct(F.col("matrix_row").alias("__r"), F.col("matrix_col").alias("__c"), *cell).alias("cell"))
+    if history is not None:
+        spots = history.select("artifact", "version", "release_date").join(spots.drop("release_date"), ["artifact", "version"], "left")
+    release = F.struct(F.col("version").alias("release_version"), "release_date", "cell").alias("release")
+    both = once.unionByName(spots.select("artifact", "version", release), allowMissingColumns=True).repartition("artifact")
+    both = both.withColumn("__norm", normalize_version("version"))
+    by = lambda key: Window.partitionBy("artifact", key)
+    both = both.withColumns(
+        {
+            "__exact": F.first("release", True).over(by("version")),
+            "__only": F.when(F.count("release").over(by("__norm")) == 1, F.first("release", True).over(by("__norm"))),
+        }
+    ).where(F.col("release").isNull())
+    return both.withColumns(
+        {
+            "resolution": F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__only").isNotNull(), "normalized").otherwise("unresolved"),
+            "release": F.coalesce("__exact", "__only"),
+        }
+    ).select(*once.columns, "resolution", "release.release_version", "release.release_date", "release.cell.*")
+
+
+def place_untested(
+    tested: DataFrame, cells: DataFrame, history: DataFrame | None = None, pos: str = "row_pos", block_rows: int | None = None
+) -> DataFrame:
     """Put tested versions on the branch grid and keep only tested cells, re-indexed.
 
     A version without a release goes right behind the tested version before it in table order; those before any
     placed version go in front of the first placed one. Where a version is placed stays a sort key (anchor cell,
     side, table position), so no cell is ever shifted. Versions resolved only by their normal form serve as
-    anchors but own no cell. Rows that cannot be placed keep a null ``matrix_row``.
+    anchors but own no cell. Rows that cannot be placed keep a null ``matrix_row``. ``history`` is needed only if it
+    has releases that have no cell. Each version of an artifact counts once, so windows run over artifacts; with
+    ``block_rows`` the look around a row runs over blocks of table positions instead.
     """
     once = first_of(tested.withColumn("version", clean_text("version")), ["artifact", "version"], pos)
-    rows = resolve_version(once, history)
-    cell = cells.select(
-        "artifact", F.col("version").alias("release_version"), F.col("matrix_row").alias("__r"), F.col("matrix_col").alias("__c"),
-        "core", "branch_key", "branch_family", "branch_kind", "branch_type", "fork_anchor_version",
-    )
-    rows = rows.join(cell, ["artifact", "release_version"], "left")
+    for c in ("branch_type", "core"):
+        if c not in cells.columns:
+            cells = cells.withColumn(c, F.lit(None).cast("string"))
+    rows = _resolved(once, cells, history)
     here = F.when(
         F.col("__r").isNotNull(),
         F.struct(
@@ -552,9 +545,12 @@ def place_untested(tested: DataFrame, cells: DataFrame, history: DataFrame, pos:
             F.col("branch_family").alias("f"), F.col("release_date").alias("d"),
         ),
     )
-    rows = nearest(
-        rows, "artifact", pos, {"__b": here, "__prev": F.struct("version")}, {"__a": here}, block_rows
-    )
+    if block_rows is None:
+        rows = rows.withColumns({"__here": here, "__self": F.struct("version")})
+        looks = {"__b": over("lag", "__here", ["artifact"], pos), "__prev": over("lag", "__self", ["artifact"], pos)}
+        rows = rows.withColumns(looks | {"__a": over("lead", "__here", ["artifact"], pos)}).drop("__here", "__self")
+    else:
+        rows = nearest(rows, "artifact", pos, {"__b": here, "__prev": F.struct("version")}, {"__a": here}, block_rows)
     placed = F.col("__r").isNotNull()
     anchor = F.coalesce(F.col("__b"), F.col("__a"))
     suffix = F.col("__b").isNotNull()

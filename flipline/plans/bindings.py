@@ -142,7 +142,7 @@ def release_rows(spark: SparkSession, sf: str) -> DataFrame:
 def releases(spark: SparkSession, sf: str) -> DataFrame:
     from flipline.operators.lineage import release_history
 
-    return release_history(release_rows(spark, sf), pos="pos")
+    return release_history(release_rows(spark, sf))
 
 
 # --- tested: orders as tested versions of the artifacts ----------------------------------------------------

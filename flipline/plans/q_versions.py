@@ -266,17 +266,16 @@ def _lines_of(history):
     """Branches of a plain kind: one per line, ordered by release; a stand-in grid that SQL can state."""
     from pyspark.sql import Window
 
-    first = history.groupBy("artifact", "line_key").agg(F.min(F.struct("release_date", "semver", "version")).alias("o"))
-    rows = first.select(
-        "artifact", "line_key", F.col("o.version").alias("head"),
-        (F.row_number().over(Window.partitionBy("artifact").orderBy("o")) - 1).alias("matrix_row"),
-    ).withColumn("fork_anchor_version", F.lag("head").over(Window.partitionBy("artifact").orderBy("matrix_row")))
-    inside = Window.partitionBy("artifact", "line_key").orderBy("release_date", "semver", "version")
-    return history.join(rows, ["artifact", "line_key"]).select(
+    order = F.struct("release_date", "semver", "version")
+    line = Window.partitionBy("artifact", "line_key")
+    d = history.repartition("artifact").withColumns({"__o": order, "__head": F.min(order).over(line)})
+    d = d.withColumn("matrix_row", F.dense_rank().over(Window.partitionBy("artifact").orderBy("__head")) - 1)
+    before = Window.partitionBy("artifact").orderBy("matrix_row").rangeBetween(-1, -1)
+    return d.select(
         "artifact", "version", "release_date", "core", "branch_kind", "matrix_row",
-        (F.row_number().over(inside) - 1).alias("matrix_col"),
+        (F.row_number().over(line.orderBy("__o")) - 1).alias("matrix_col"),
         F.concat(F.lit("line@"), "line_key").alias("branch_key"), F.concat(F.lit("line-"), "line_key").alias("branch_family"),
-        F.lit("line").alias("branch_type"), "fork_anchor_version",
+        F.lit("line").alias("branch_type"), F.first("__head.version").over(before).alias("fork_anchor_version"),
     )
 
 
@@ -298,7 +297,7 @@ _PLACED = f"""SELECT *, CASE WHEN ok THEN dense_rank() OVER (PARTITION BY artifa
 
 def _placed(spark, sf):
     h = b.releases(spark, sf)
-    return ln.place_untested(b.tested(spark, sf), _lines_of(h), h)
+    return ln.place_untested(b.tested(spark, sf), _lines_of(h))
 
 
 @query("an9_place_untested", b.with_sql(*TESTED) + f"SELECT artifact, version, row_pos, matrix_row, matrix_col, branch_kind, core, resolution FROM ({_PLACED})")
@@ -317,7 +316,7 @@ _LISTED = "artifact NOT LIKE '%7'"
 )
 def an9_unresolved(spark, sf):
     h = b.releases(spark, sf).where(_LISTED)
-    return ln.still_unresolved(ln.place_untested(b.tested(spark, sf), _lines_of(h), h))
+    return ln.still_unresolved(ln.place_untested(b.tested(spark, sf), _lines_of(h)))
 
 
 _CELL = "struct_pack(version, outcome, cause, core, branch_kind, matrix_row, matrix_col)"
@@ -356,7 +355,7 @@ def an5(spark, sf):
 )
 def an5_lineage(spark, sf):
     h = b.releases(spark, sf)
-    return ln.boundary_pairs(ln.place_untested(b.tested(spark, sf), ln.lineage(h, 30.0), h)).select(*_PAIR_COLS)
+    return ln.boundary_pairs(ln.place_untested(b.tested(spark, sf), ln.lineage(h, 30.0))).select(*_PAIR_COLS)
 
 
 _AN6 = f"""SELECT a.artifact, a.c AS l, z.c AS r, 'row' AS comparison_axis, 'row[' || a.c.matrix_row || ']' AS release_lineage FROM (SELECT artifact, {_CELL} AS c FROM cells) a
