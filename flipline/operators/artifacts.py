@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flipline.functions.text import alnum_token, blank_to_null, clean_text
 from flipline.functions.versions import gav_artifact, gav_from_cause, gav_from_text, library_key, normalize_version
+from flipline.operators.scans import in_lists, top_per_key
 
 # Tag prefixes in the order they are tried, artifacts and tokens that never identify a case,
 # and package roots of artifacts whose coordinates do not tell them.
@@ -252,9 +253,14 @@ def _choose(rows: DataFrame) -> DataFrame:
 # --- hints ------------------------------------------------------------------------------------------------
 
 
-def _only(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Value of keys that have exactly one distinct value."""
-    return rows.groupBy(key).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(name)).where("__n = 1").drop("__n")
+def _single(value: Column, name: str) -> list[Column]:
+    """Aggregates for :func:`_one_of`."""
+    return [F.min(value).alias(f"{name}_least"), F.max(value).alias(f"{name}_most")]
+
+
+def _one_of(name: str) -> Column:
+    """The value if all were equal."""
+    return F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least"))
 
 
 def signal_tokens(gav: Column) -> Column:
@@ -276,60 +282,33 @@ def artifact_hints(cases: DataFrame, dependencies: DataFrame, disclosed: DataFra
     gav = clean_text("gav")
     deps = dependencies.select("case_id", gav.alias("gav"), F.coalesce(F.col("version"), F.lit("")).alias("version"), F.coalesce(F.col("scope"), F.lit("")).alias("scope"))
     deps = deps.where(F.col("gav").rlike("^[^:]+:.+$") & ~F.col("scope").isin("test", "provided"))
-    named = deps.where(~F.col("gav").isin(*SKIP_DEPENDENCIES))
-    text = ["case_id", "baseline_version", "target_version"]
-    # Direct dependencies are counted as listed, so a repeated one is not a single one.
-    single = named.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.min("gav").alias("only_dependency")).where("n = 1").drop("n")
-    compared = (F.col("version") != "") & ((F.col("version") == F.col("baseline_version")) | (F.col("version") == F.col("target_version")))
-    by_version = (
-        named.join(cases.select(*text), "case_id").where(compared)
-        .groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.min("gav").alias("version_dependency")).where("n = 1").drop("n")
-    )
-
-    signal = named.where(~F.col("gav").isin(*SKIP_SIGNAL)).join(
-        cases.select("case_id", F.lower(F.coalesce("signal_text", F.lit(""))).alias("__t")), "case_id"
-    )
-    bare = alnum_token(F.substring_index("gav", ":", -1))
-    spotted = F.when((bare != "") & alnum_token("__t").contains(bare), 6).otherwise(0)
-    hits = F.aggregate(
-        signal_tokens(F.col("gav")),
-        F.lit(0),
-        lambda acc, t: acc + ((F.length("__t") - F.length(F.replace(F.col("__t"), t, F.lit("")))) / F.length(t)).cast("int"),
-    )
-    scored = signal.where(F.regexp_replace("__t", r"\s", "") != "").withColumn("s", spotted + hits).where("s > 0")
-    ranks = scored.groupBy("case_id").agg(F.max("s").alias("s"))
-    named_most = scored.join(ranks, ["case_id", "s"]).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("gav").alias("signal_dependency")
-    ).where("n = 1").drop("n")
+    about = deps.join(cases.select("case_id", "baseline_version", "target_version", F.lower(clean_text("repo")).alias("__r")), "case_id")
+    facts = _dependency_facts(about)
+    signals = _signal_dependency(deps, cases)
 
     listed = disclosed.select("cve", gav.alias("gav"), F.coalesce(clean_text("version"), F.lit("")).alias("version")).where("gav <> ''")
-    by_cve = _only(listed, "cve", "gav", "cve_artifact")
-    listed_version = (
-        cases.select("case_id", "cve", F.explode(F.array_distinct(F.array("baseline_version", "target_version"))).alias("version"))
-        .join(listed.distinct(), ["cve", "version"])
+    # A case asks for what is listed for its versions and, by a mark in place of a version, for its whole issue.
+    asked = lambda *versions: F.explode(F.array_distinct(F.array(*[F.struct(F.lit(own).alias("own"), v.alias("version")) for own, v in versions])))
+    every = (False, F.lit(""))
+    entries = listed.select("cve", "gav", asked((True, F.col("version")), every).alias("q")).groupBy("cve", "q").agg(*_single(F.col("gav"), "q"))
+    wanted = cases.select("case_id", "cve", asked((True, F.col("baseline_version")), (True, F.col("target_version")), every).alias("q"))
+    own = F.col("q.own")
+    ranges = [F.min(F.when(t, F.col("q_least"))).alias(f"{n}_least") for n, t in (("two", own), ("all", ~own))]
+    ranges += [F.max(F.when(t, F.col("q_most"))).alias(f"{n}_most") for n, t in (("two", own), ("all", ~own))]
+    by_listed = wanted.join(entries, ["cve", "q"]).groupBy("case_id").agg(*ranges).select(
+        "case_id", F.coalesce(_one_of("two"), _one_of("all")).alias("listed")
     )
-    by_listed = _only(listed_version, "case_id", "gav", "listed_artifact")
-
-    repo = F.lower(clean_text("repo"))
-    repo_rows = deps.join(cases.select("case_id", repo.alias("__r")), "case_id").where("__r <> ''")
-    name = F.lower(F.regexp_extract("gav", "^[^:]*:(.*)$", 1))
-    repo_exact = repo_rows.where(name == F.col("__r")).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("gav").alias("repo_exact")
-    ).where("n = 1").drop("n")
-    partial = name.contains(F.col("__r")) | F.col("__r").contains(name)
-    repo_partial = _only(repo_rows.where(partial), "case_id", "gav", "repo_partial")
 
     overrides = F.create_map(*[F.lit(x) for pair in HINT_OVERRIDES.items() for x in pair])
-    d = cases
-    for t in (single, by_version, named_most, by_listed, repo_exact, repo_partial):
+    d = cases.drop("signal_text")
+    for t in (facts, signals, by_listed):
         d = d.join(t, "case_id", "left")
-    d = d.join(by_cve, "cve", "left")
     stated = blank_to_null("artifact")
     hints = {
         "stated": stated,
         "dependency": F.coalesce("only_dependency", "version_dependency"),
         "signal": F.col("signal_dependency"),
-        "disclosed": F.coalesce("listed_artifact", "cve_artifact"),
+        "disclosed": F.col("listed"),
         "cause": gav_from_cause("cause"),
         "repository": F.coalesce("repo_exact", "repo_partial"),
         "override": F.try_element_at(overrides, F.col("cve")),
@@ -338,6 +317,48 @@ def artifact_hints(cases: DataFrame, dependencies: DataFrame, disclosed: DataFra
     return d.select("case_id", F.coalesce(*hints.values()).alias("artifact"), source.otherwise("none").alias("hint"))
 
 
+def _dependency_facts(about: DataFrame) -> DataFrame:
+    """Per case the dependency that is the only direct one, the only one of a compared version, or fits the repository."""
+    named = ~F.col("gav").isin(*SKIP_DEPENDENCIES)
+    compared = (F.col("version") != "") & ((F.col("version") == F.col("baseline_version")) | (F.col("version") == F.col("target_version")))
+    # Direct dependencies are counted as listed, so a repeated one is not a single one.
+    name, repo = F.lower(F.regexp_extract("gav", "^[^:]*:(.*)$", 1)), F.col("__r")
+    tests = {
+        "only_dependency": named,
+        "version_dependency": named & compared,
+        "repo_exact": (repo != "") & (name == repo),
+    }
+    partial = (repo != "") & (name.contains(repo) | repo.contains(name))
+    counted = about.groupBy("case_id").agg(
+        *[F.count_if(t).alias(f"{n}_n") for n, t in tests.items()],
+        *[F.min(F.when(t, F.col("gav"))).alias(n) for n, t in tests.items()],
+        *_single(F.when(partial, F.col("gav")), "repo_partial"),
+    )
+    return counted.select("case_id", *[F.when(F.col(f"{n}_n") == 1, F.col(n)).alias(n) for n in tests], _one_of("repo_partial").alias("repo_partial"))
+
+
+def _signal_dependency(deps: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case the dependency its text names most, if it is the only one that is named so often.
+
+    A text meets the different dependencies of its case as one list, so it is copied to no dependency.
+    """
+    wanted = deps.where(~F.col("gav").isin(*SKIP_DEPENDENCIES, *SKIP_SIGNAL)).groupBy("case_id", "gav").agg(F.count(F.lit(1)).alias("n"))
+    text = F.lower(F.coalesce("signal_text", F.lit("")))
+    texts = cases.select("case_id", text.alias("__t")).where(F.regexp_replace("__t", r"\s", "") != "")
+    met = texts.withColumn("__bare", alnum_token("__t")).join(in_lists(wanted, "case_id", ["gav", "n"], "__deps"), "case_id")
+
+    def score(gav: Column) -> Column:
+        bare = alnum_token(F.substring_index(gav, ":", -1))
+        times = lambda acc, t: acc + ((F.length("__t") - F.length(F.replace(F.col("__t"), t, F.lit("")))) / F.length(t)).cast("int")
+        hits = F.aggregate(signal_tokens(gav), F.lit(0), times)
+        return F.when((bare != "") & F.col("__bare").contains(bare), 6).otherwise(0) + hits
+
+    scored = met.select("case_id", F.inline(F.transform("__deps", lambda d: F.struct(d["gav"].alias("gav"), d["n"].alias("n"), score(d["gav"]).alias("s")))))
+    levels = scored.where("s > 0").groupBy("case_id", "s").agg(F.sum("n").alias("n"), F.min("gav").alias("gav"))
+    best = top_per_key(levels, "case_id", [F.col("s").desc()], 1).where("n = 1")
+    return best.select("case_id", F.col("gav").alias("signal_dependency"))
+
+
 # --- tags -------------------------------------------------------------------------------------------------
 
 

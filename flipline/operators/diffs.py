@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flipline.functions.text import clean_text, error_tokens, lines, strip, symbol_norm
-from flipline.operators.scans import last_of, top_per_key
+from flipline.operators.scans import in_lists, last_of, top_per_key
 
 # Markers, caps of previews and noise rules.
 TRACE_ENDED = "<trace ended>"
@@ -168,20 +168,24 @@ def related_changes(
 ) -> DataFrame:
     """API changes an error text speaks about: removed classes first, then members of named classes.
 
-    The text of a case meets only changes of that case. Order inside a case is removed classes by name, then
-    classes by name with their change types in fixed order, then symbols.
+    The text of a case meets the classes of that case, each with its changes, as one list and says which it names, so no
+    text is copied to a change. Order inside a case is removed classes by name, then classes by name
+    with their change types in fixed order, then symbols.
     """
     e = errors.select(case, F.coalesce(F.col(text), F.lit("")).alias("__t")).withColumn("__tok", error_tokens("__t"))
     kinds = F.array(*[F.lit(k) for k in CHANGE_ORDER])
-    rows = classes.where("change_type = 'removed_class'").select(case, cls, "change_type", "symbol").unionByName(
-        changes.select(case, cls, "change_type", "symbol")
-    )
-    last = F.substring_index(F.col(cls), ".", -1)
-    simple = F.substring_index(last, "$", -1)
-    tokens = F.array_contains("__tok", F.col(cls)) | F.array_contains("__tok", simple) | F.col("__t").contains(simple)
-    named = F.col("__t").contains(F.col(cls)) | F.col("__t").contains(last)
     removed = F.col("change_type") == "removed_class"
-    d = rows.join(e, case).where(F.when(removed, tokens).otherwise(named)).drop("__t", "__tok")
+    rows = classes.where(removed).select(case, cls, "change_type", "symbol").unionByName(changes.select(case, cls, "change_type", "symbol"))
+    of_class = rows.groupBy(case, cls, removed.alias("whole")).agg(F.collect_list(F.struct("change_type", "symbol")).alias("found"))
+
+    def named(row: Column) -> Column:
+        last = F.substring_index(row[cls], ".", -1)
+        simple = F.substring_index(last, "$", -1)
+        tokens = F.array_contains("__tok", row[cls]) | F.array_contains("__tok", simple) | F.col("__t").contains(simple)
+        return F.when(row["whole"], tokens).otherwise(F.col("__t").contains(row[cls]) | F.col("__t").contains(last))
+
+    hits = e.join(in_lists(of_class, case, [cls, "whole", "found"], "__names"), case).select(case, F.inline(F.filter("__names", named)))
+    d = hits.select(case, cls, F.inline("found"))
     order = [
         F.when(removed, 0).otherwise(1),
         F.col(cls),

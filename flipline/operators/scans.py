@@ -105,3 +105,16 @@ def top_per_key(df: DataFrame, keys, order: list[Column], k: int, rank: str = "r
     """First ``k`` rows per key. Spark trims each map task to ``k`` rows per key before the shuffle."""
     w = Window.partitionBy(*_names(keys)).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def in_lists(df: DataFrame, key: str, columns: list[str], name: str, size: int = 1000, salts: int = 32) -> DataFrame:
+    """(key, name): the rows of a key as arrays of structs, to be met by one long text per key.
+
+    A text joined to these is copied once for each array, not for each row. Rows are dealt to ``salts`` lists per key;
+    lists so short that all of a key's together have no more than ``size`` rows are merged, so most keys have one array,
+    and a key with very many rows has one for each salt.
+    """
+    salt = F.pmod(F.xxhash64(*columns), F.lit(salts)).alias("__salt")
+    dealt = df.groupBy(key, salt).agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+    own = F.when(F.size("__rows") * salts > size, F.col("__salt")).otherwise(-1).alias("__salt")
+    return dealt.groupBy(key, own).agg(F.flatten(F.collect_list("__rows")).alias(name)).drop("__salt")
