@@ -153,14 +153,14 @@ def sc8(spark, sf):
 
 @query(
     "sc9_read_traces",
-    """SELECT user_id % 10 AS trace, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS pos, 'com.lib.' || event_type || '#' || event_id AS symbol FROM events WHERE event_id % 3 < 2""",
+    """SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, 'com.lib.' || event_type || '#' || event_id AS symbol FROM events WHERE event_id % 3 < 2""",
 )
 def sc9_files(spark, sf):
     e = F.col("event_id")
     line = F.concat(e, F.when(e % 3 < 2, " ENTER [main] depth=1 com.lib.").otherwise(" META [main] k="), "event_type", F.lit("#"), e)
     path = scratch(spark, "traces")
-    # One ordered file per trace: rows of a trace are brought together and sorted before the write.
-    d = b.table(spark, sf, "events").select((F.col("user_id") % 10).alias("trace"), "event_id", line.alias("value"))
+    # One ordered file per trace, a user's: rows of a trace are brought together and sorted before the write.
+    d = b.table(spark, sf, "events").select(F.col("user_id").alias("trace"), "event_id", line.alias("value"))
     d.repartition("trace").sortWithinPartitions("trace", "event_id").drop("event_id").write.partitionBy("trace").text(path)
     lines = rd.read_numbered(spark, f"{path}/*/*.txt", lambda v: v.rlike(rd.TRACE_ENTER))
     return lines.select(
@@ -211,9 +211,10 @@ def sc11(spark, sf):
 def sc12(spark, sf):
     root = scratch(spark, "snapshots")
     o = b.table(spark, sf, "orders").select("o_orderkey")
-    o.where("o_orderkey < 10").coalesce(1).write.parquet(f"{root}/a")
-    o.coalesce(1).write.parquet(f"{root}/b")
-    newest = rd.latest_snapshot(spark, f"{root}/*/*.parquet")
+    # A snapshot is a folder of as many files as there were tasks.
+    o.where("o_orderkey < 10").write.parquet(f"{root}/a")
+    o.write.parquet(f"{root}/b")
+    newest = rd.latest_snapshot(spark, f"{root}/*/*.parquet", folders=True)
     return spark.read.parquet(newest).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
 
 
@@ -252,11 +253,15 @@ def sk3(spark, sf):
 # --- streams ----------------------------------------------------------------------------------------------
 
 
-def drain(df: DataFrame, target: str, mode: str) -> DataFrame:
-    """Run a stream over what is there now; every batch replaces the result in complete mode."""
+def drain(df: DataFrame, target: str, mode: str, once: bool = False) -> DataFrame:
+    """Run a stream over what is there now; every batch replaces the result in complete mode.
+
+    ``once`` runs a single batch: a stream with timers in processing time would go on for ever to wait for them.
+    """
     spark = df.sparkSession
     write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{target}/data")
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    out = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{target}/state")
+    q = (out.trigger(once=True) if once else out.trigger(availableNow=True)).start()
     q.awaitTermination()
     return spark.read.parquet(f"{target}/data")
 
@@ -278,6 +283,26 @@ def st1(spark, sf):
     return drain(stream(), target, "complete").select("run", "completed", "progress_total")
 
 
+@query(
+    "st1_finished_runs",
+    b.with_sql("runlog")
+    + """SELECT run, count(*) AS completed, count(*) FILTER (timed_out) AS timed_out, 37 AS progress_total, count(*) >= 37 AS finished
+    FROM (SELECT run, case_id, timed_out FROM runlog QUALIFY row_number() OVER (PARTITION BY run, case_id ORDER BY pos) = 1) GROUP BY run""",
+)
+def st1_runs(spark, sf):
+    path, target = scratch(spark, "run-stream"), scratch(spark, "run-ends")
+    d = b.runlog(spark, sf).withColumn("progress_total", F.lit(37))
+    lines = d.select("case_id", "timed_out", "progress_index", "progress_total", F.col("run").alias("folder"), "pos")
+    # A folder per run, whose lines are brought together in order; the last run breaks off and ends by its pause.
+    run = F.regexp_extract("_metadata.file_path", r"folder=(-?\d+)", 1).cast("long")
+    stream = lambda: mo.finished_runs(mo.status_stream(spark, f"{path}/*/*.json", run), idle_ms=1)
+    lines.repartition("folder").sortWithinPartitions("folder", "pos").drop("pos").write.partitionBy("folder").json(path)
+    drain(stream(), target, "append", once=True)
+    more = lines.limit(1).drop("pos").withColumns({"folder": F.lit(-1), "progress_total": F.lit(1)})
+    more.write.mode("append").partitionBy("folder").json(path)
+    return drain(stream(), target, "append", once=True).where("run >= 0")
+
+
 @query(
     "st2_stream_usage",
     b.with_sql("usage_rows")

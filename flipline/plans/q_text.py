@@ -318,3 +318,32 @@ def tk5(spark, sf):
     terms = F.array(*[F.lit(t.upper()) for t in _ANCHORS])
     d = b.table(spark, sf, "documents").select("doc_id", "text").withColumn("a", se.best_anchor("text", terms))
     return d.select("doc_id", se.context_window("text", F.col("a"), 2).alias("w")).select("doc_id", "w.*")
+
+
+# Terms come from the hint first, then from changed lines; a part is followed by the tokens in it, two letters are too few.
+_HINTS = {0: ('com.lib.Reader, "MIT License"\nab', ["com.lib.Reader", "MIT License", "MIT", "License"]), 1: ("ability,\n tion", ["ability", "tion"])}
+_CHANGED = "--- a/x\n+++ b/x\n+ released under\n- eaux x\n kept words"
+_CHANGED_TERMS = ["released under", "released", "under", "eaux x", "eaux"]
+_WEIGHT = lambda terms: " + ".join(f"CASE WHEN contains(lower(line), '{t.lower()}') THEN {max(1, min(4, len(t) // 10 + 1))} ELSE 0 END" for t in terms)
+_BOTH = f"CASE WHEN doc_id % 2 = 0 THEN {_WEIGHT(_HINTS[0][1] + _CHANGED_TERMS)} ELSE {_WEIGHT(_HINTS[1][1] + _CHANGED_TERMS)} END"
+
+
+def _side_sql(side: str, text: str) -> str:
+    return f"""SELECT doc_id, a AS {side}_anchor, CASE WHEN n = 0 THEN 0 ELSE greatest(1, coalesce(a, 1) - 3) END AS {side}_start, CASE WHEN n = 0 THEN 0 ELSE least(n, coalesce(a, 1) + 3) END AS {side}_end,
+    (SELECT coalesce(string_agg(lpad(CAST(i AS VARCHAR), 5, '0') || ': ' || x, chr(10) ORDER BY i), '') FROM (SELECT unnest(ls) AS x, generate_subscripts(ls, 1) AS i) WHERE i BETWEEN greatest(1, coalesce(a, 1) - 3) AND coalesce(a, 1) + 3) AS {side}_preview
+    FROM (SELECT doc_id, ls, len(ls) AS n, (SELECT arg_max(i, (s, -i)) FROM (SELECT i, {_BOTH} AS s FROM (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i)) WHERE s > 0) AS a
+      FROM (SELECT a.doc_id, {lines_sql(text)} AS ls FROM documents a JOIN documents z ON z.doc_id = a.doc_id + 1))"""
+
+
+@query(
+    "tk5_diff_context",
+    f"""SELECT *, CASE WHEN doc_id % 2 = 0 THEN '{"|".join(_HINTS[0][1] + _CHANGED_TERMS)}' ELSE '{"|".join(_HINTS[1][1] + _CHANGED_TERMS)}' END AS terms
+    FROM ({_side_sql("baseline", "a.text")}) JOIN ({_side_sql("target", "z.text")}) USING (doc_id)""",
+)
+def tk5_context(spark, sf):
+    d = b.table(spark, sf, "documents").select("doc_id", "text")
+    pairs = d.select("doc_id", F.col("text").alias("x")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
+    hint = F.when(F.col("doc_id") % 2 == 0, _HINTS[0][0]).otherwise(_HINTS[1][0])
+    c = se.diff_context(pairs.withColumns({"hint": hint, "diff": F.lit(_CHANGED)}), "hint", "diff", "x", "y", 3)
+    side = lambda s: [F.col(f"{s}_context.{f}").alias(f"{s}_{n}") for f, n in (("anchor_line", "anchor"), ("start_line", "start"), ("end_line", "end"), ("preview", "preview"))]
+    return c.select("doc_id", F.array_join("matched_anchor_terms", "|").alias("terms"), *side("baseline"), *side("target"))

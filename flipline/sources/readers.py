@@ -242,11 +242,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def latest_snapshot(spark: SparkSession, pattern: str | list[str], explicit: str | None = None) -> str:
-    """Newest of the candidate files by modification time; an explicit path overrides."""
+def latest_snapshot(spark: SparkSession, pattern: str | list[str], explicit: str | None = None, folders: bool = False) -> str:
+    """Newest of the candidate files by modification time; an explicit path overrides.
+
+    With ``folders`` a snapshot is a folder of files, as old as its newest file.
+    """
     if explicit:
         return explicit
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    if folders:
+        files = files.withColumn("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     row = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()
     if row is None or row["path"] is None:
         raise FileNotFoundError(f"no candidate matches {pattern}")
