@@ -356,6 +356,36 @@ def jn21(spark, sf):
     return d.select("case_id", "part", "item", "path", "evidence_kind", "is_concrete", F.coalesce("paired_bytecode_path", F.lit("")).alias("paired"))
 
 
+_DUMP = "list_transform(generate_series(1, {n}), lambda i: 'int val' || (({k} + i) % 5) || ';')"
+_AROUND = "list_transform(generate_series(greatest(1, {a} - 8), least(len({l}), {a} + 8)), lambda i: lpad(CAST(i AS VARCHAR), 5, '0') || ': ' || {l}[i])"
+
+
+@query(
+    "jn21_raw_context",
+    f"""WITH d AS (SELECT o_orderkey AS k, 'val' || (o_orderkey % 3) AS v, CASE WHEN o_orderkey % 7 > 0 THEN {_DUMP.format(n=30, k='o_orderkey')} END AS b, {_DUMP.format(n='10 + o_orderkey % 25', k='2 * o_orderkey')} AS t FROM orders),
+    a AS (SELECT *, list_position(b, 'int ' || v || ';') AS ba, list_position(t, 'int ' || v || ';') AS ta FROM d),
+    c AS (SELECT *, ['{ev.RAW_CONTEXT_MARK}', 'matched_anchor_terms: + int ' || v || ';, int, ' || v] || CASE WHEN b IS NULL THEN [] ELSE ['baseline_context (anchor line ' || ba || '):'] || {_AROUND.format(a='ba', l='b')} END
+      || ['target_context (anchor line ' || ta || '):'] || {_AROUND.format(a='ta', l='t')} AS ls FROM a)
+    SELECT 'case-' || k AS case_id, item, CASE WHEN item = 2 THEN 'note' WHEN k % 11 = 0 THEN 'why' ELSE 'why' || chr(10) || '{jg.RAW_NOTE}' END AS details, CASE WHEN item = 2 THEN '+ gone' ELSE '+ int ' || v || ';' || CASE WHEN k % 11 = 0 THEN '' ELSE
+      chr(10) || chr(10) || array_to_string(ls[1:36], chr(10)) || CASE WHEN len(ls) > 36 THEN chr(10) || '...(truncated)' ELSE '' END END END AS diff_excerpt FROM c, (SELECT unnest([1, 2]) AS item)""",
+)
+def jn21_raw(spark, sf):
+    k = F.col("k")
+    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).withColumn("case_id", j("case-", k))
+    none = F.lit(None).cast("string")
+    cases = o.select("case_id", F.lit(None).cast("array<string>").alias("trace_invalid_reasons"), F.lit(False).alias("trace_has_difference"), F.lit(False).alias("trace_has_effective_difference"), none.alias("failure_excerpt_file"), none.alias("dependency_tree_diff"))
+    own = F.struct(F.lit(1).alias("hunk_pos"), j("diffs/p/C", k % 5, ".diff").alias("path"), F.lit("why").alias("details"), j("+ int val", k % 3, ";").alias("inline"))
+    other = F.struct(F.lit(2).alias("hunk_pos"), F.lit("diffs/p/Other.diff").alias("path"), F.lit("note").alias("details"), F.lit("+ gone").alias("inline"))
+    # Of three hunks two are within the budget.
+    hunks = o.select("case_id", F.inline(F.array(own, other, F.struct(F.lit(3).alias("hunk_pos"), *[other[c].alias(c) for c in ("path", "details", "inline")]))))
+    dump = lambda n, s: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n) if isinstance(n, int) else n), lambda i: j("int val", (s + i) % 5, ";")), "\n")
+    raw = o.where("k % 11 > 0").select("case_id", j("raw/p/C", k % 5).alias("stem"), F.when(k % 7 > 0, dump(30, k)).alias("baseline"), dump((10 + k % 25).cast("int"), 2 * k).alias("target"))
+    files = o.select("case_id", F.lit("none").alias("path"), F.lit("").alias("text"))
+    d = jg.evidence_for_judgment(cases, hunks, files, raw, max_hunks=2, max_items=None)
+    return d.select("case_id", "item", "details", "diff_excerpt")
+
+
 # --- rule and primary judgment ----------------------------------------------------------------------------
 
 _ITEMS = """SELECT k, i, (k + i) % 5 AS m, CASE WHEN (k + i) % 5 = 0 THEN 'trace-diff-summary.txt' WHEN (k + i) % 3 = 0 THEN 'version-diff/diffs/p/C' || i || '$1.diff' ELSE 'version-diff/diffs/p/C' || i || '.diff' END AS path,
