@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flipline.operators import verdicts as vd
@@ -62,6 +62,40 @@ def sc2(spark, sf):
     return c.select("cve", "pair_index", "appears", F.col("not appears").alias("not_appears"), "seek_patch", F.col("REPO").alias("repo"))
 
 
+def _objects(df: DataFrame, path: str) -> str:
+    """Write rows (bucket, pos, key, value) as files of one JSON object each, a bucket per file, over many lines."""
+    in_file = Window.partitionBy("bucket").orderBy("pos")
+    head = F.when(F.row_number().over(in_file) == 1, "{").otherwise("")
+    tail = F.when(F.lead("pos").over(in_file).isNull(), "}").otherwise(",")
+    line = F.concat(head, F.lit('"'), "key", F.lit('" : '), "value", tail)
+    rows = df.select("bucket", "pos", line.alias("value")).repartition("bucket").sortWithinPartitions("bucket", "pos")
+    rows.drop("pos").write.partitionBy("bucket").text(path)
+    return f"{path}/*/*.txt"
+
+
+@query(
+    "sc2_catalog_objects",
+    """SELECT 'CVE-' || o_orderkey AS cve, i - 1 AS pair_index, '1.' || (o_orderkey % 9) AS appears, 'a, "{b' || i AS not_appears, 'repo' || (o_orderkey % 7) AS repo, o_orderpriority || ' }],' AS description
+    FROM orders, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= 1 + o_orderkey % 3""",
+)
+def sc2_objects(spark, sf):
+    k = F.col("o_orderkey")
+    pair = lambda i: F.struct(F.concat(F.lit("1."), k % 9).alias("appears"), F.lit(f'a, "{{b{i}').alias("not appears"))
+    entry = F.struct(F.concat(F.lit("repo"), k % 7).alias("REPO"), F.concat("o_orderpriority", F.lit(" }],")).alias("description"), F.slice(F.array(pair(1), pair(2), pair(3)), F.lit(1), (k % 3).cast("int") + 1).alias("version_pair"))
+    rows = b.table(spark, sf, "orders").select(F.expr("o_orderkey div 5000").alias("bucket"), k.alias("pos"), F.concat(F.lit("CVE-"), k).alias("key"), F.to_json(entry).alias("value"))
+    c = rd.read_catalog(spark, _objects(rows, scratch(spark, "catalog-objects")))
+    return c.select("cve", "pair_index", "appears", F.col("not appears").alias("not_appears"), F.col("REPO").alias("repo"), "description")
+
+
+@query("sc2_catalog_issues", "SELECT 'CVE-' || c_custkey AS cve, c_mktsegment AS repo, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS description FROM customer")
+def sc2_issues(spark, sf):
+    k = F.col("c_custkey")
+    entry = F.struct(F.col("c_mktsegment").alias("REPO"), F.when(k % 3 > 0, F.col("c_name")).alias("description"), F.array().cast("array<string>").alias("version_pair"))
+    rows = b.table(spark, sf, "customer").select(F.expr("c_custkey div 1000").alias("bucket"), k.alias("pos"), F.concat(F.lit("CVE-"), k).alias("key"), F.to_json(entry).alias("value"))
+    c = rd.read_catalog_issues(spark, _objects(rows, scratch(spark, "catalog-issues")))
+    return c.select("cve", F.col("REPO").alias("repo"), "description")
+
+
 @query(
     "sc3_read_repo_metadata",
     """SELECT 'CVE-' || c_custkey AS cve, CASE WHEN c_custkey % 3 = 0 THEN 'own' || (c_custkey % 5) ELSE 'unknown' END AS owner, 'unknown' AS repo_name, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS description, c_mktsegment AS cwes

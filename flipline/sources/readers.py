@@ -85,13 +85,65 @@ def read_results(
     return out.dropna(subset=["CVE_ID", "Version"])
 
 
+def _entries_of_objects(spark: SparkSession, path: str) -> DataFrame:
+    """The top-level entries of JSON objects, one object per file, each as a JSON object of its own.
+
+    Files are read in splits and cut at every comma. Whether a piece begins inside a string, and how deep, follows from
+    all that was before it: each split is worked out for both cases, the small table of splits settles which one holds, and
+    a comma that leaves depth one outside a string parts two entries. No task holds more than a split or an entry.
+    """
+    raw = spark.read.text(path, lineSep=",").select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda c, marks: F.length(c) - F.length(F.translate(c, marks, ""))
+    outside = lambda c: F.regexp_replace(c, '"[^"]*("|$)', "")
+    depth = lambda c: count(c, "{[") - count(c, "}]")
+    d = raw.withColumn("plain", plain).select(
+        "path", "start", "id", "value", count(F.col("plain"), '"').alias("quotes"),
+        depth(outside(F.col("plain"))).alias("out"), depth(outside(F.concat(F.lit('"'), "plain"))).alias("in"),
+    )
+    here = Window.partitionBy("path", "start").orderBy("id")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    # Depth after a piece, counted from the start of its split, if that is outside (0) or inside (1) a string.
+    d = d.withColumns(
+        {"deep0": F.sum(F.when(F.col("odd"), F.col("in")).otherwise(F.col("out"))).over(here), "deep1": F.sum(F.when(F.col("odd"), F.col("out")).otherwise(F.col("in"))).over(here)}
+    )
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    splits = d.groupBy("path", "start").agg(F.sum("quotes").alias("q"), F.sum(F.when(F.col("odd"), F.col("in")).otherwise(F.col("out"))).alias("t0"), F.sum(F.when(F.col("odd"), F.col("out")).otherwise(F.col("in"))).alias("t1"))
+    splits = splits.withColumn("inside", so_far("q") % 2 == 1)
+    splits = splits.select("path", "start", "inside", so_far(F.when(F.col("inside"), F.col("t1")).otherwise(F.col("t0"))).alias("base"))
+    d = d.join(splits, ["path", "start"]).select(
+        "path", "start", "id", "value",
+        (F.col("base") + F.when(F.col("inside"), F.col("deep1")).otherwise(F.col("deep0"))).alias("deep"),
+        ((F.col("inside").cast("int") + F.col("odd").cast("int") + F.col("quotes")) % 2 == 0).alias("free"),
+    )
+    # An entry is named after the piece before it, which ends in a parting comma; the first of a file has none.
+    parts = F.when(F.col("free") & (F.col("deep") == 1), F.struct("start", "id"))
+    d = d.withColumn("parts", parts)
+    d = d.withColumn("own", F.last("parts", True).over(before))
+    carried = d.groupBy("path", "start").agg(F.max("parts").alias("last")).select("path", "start", F.last("last", True).over(earlier).alias("carried"))
+    d = d.join(carried, ["path", "start"]).withColumn("entry", F.coalesce("own", "carried"))
+    whole = d.groupBy("path", "entry").agg(
+        F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("pieces"), F.bool_or(F.col("free") & (F.col("deep") <= 0)).alias("ends")
+    )
+    text = F.array_join(F.transform("pieces", lambda x: x["value"]), ",")
+    text = F.when(F.col("entry").isNull(), F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    text = F.when(F.col("ends"), F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
+    return whole.select(F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
+
+
 def _keyed(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    """Rows (key, value JSON) of JSON objects.
+    """Rows (key, value JSON) of JSON objects: one object per file, however large, or with ``by_line`` one per line.
 
-    A file holds one object, or with ``by_line`` one object per line, which is the layout for large catalogs since
-    lines of one file are read by many tasks.
+    Entries that are no JSON are skipped.
     """
-    raw = spark.read.text(path, wholetext=not by_line)
+    raw = spark.read.text(path) if by_line else _entries_of_objects(spark, path)
     return raw.select(F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("key", "value"))
 
 

@@ -1,6 +1,7 @@
 """Scans, sinks and streams on small files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,32 @@ def test_whole_json_documents(spark, tmp_path):
     assert [tuple(r)[:2] for r in rd.read_release_history(spark, str(hist)).collect()] == [("g:a", "1")]
 
 
+NASTY = ["plain", "a, b", 'say "x", {y}', "back\\\\slash\\\\", "}],[{", "[,]", "\\u00e9, \\n", "", "tab\\t, end\\\""]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("split", ["397", "1m"])
+def test_objects_are_cut_at_their_entries(spark, tmp_path, indent, split):
+    rng = random.Random(3)
+    value = lambda: rng.choice([1, None, True, rng.choice(NASTY), [rng.choice(NASTY), {"k,": rng.choice(NASTY)}], {}, []])
+    objects = [{f"{rng.choice(NASTY)}{i}": value() for i in range(rng.choice([0, 1, 2, 150]))} for _ in range(8)]
+    for i, o in enumerate(objects):
+        (tmp_path / f"{i}.json").write_text((" \n" if i % 2 else "") + json.dumps(o, indent=indent, ensure_ascii=i % 3 > 0) + "\n" * (i % 2))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, split)
+    try:
+        got = [(r.key, r.value) for r in rd._keyed(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    text = lambda v: v if isinstance(v, str) else None if v is None else json.loads(json.dumps(v))
+    back = lambda v: v if v is None else json.loads(v) if v[:1] in "[{1t" and v not in NASTY else v
+    want = [(k, text(v)) for o in objects for k, v in o.items()]
+    key = lambda x: (x[0], json.dumps(x[1]))
+    assert sorted(((k, back(v)) for k, v in got), key=key) == sorted(want, key=key)
+
+
 def test_trace_lines_keep_file_order_across_splits(spark, tmp_path):
     lines = [f"{i} ENTER [main] depth={i % 4} com.x.C{i}#m" if i % 5 else f"{i} META [main] k{i % 2}=v{i}=z" for i in range(400)]
     (tmp_path / "t.log").write_text("\n".join(lines) + "\n")
