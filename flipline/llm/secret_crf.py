@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds what the patterns miss.
 
-A text is cut into tokens. Only a token that could hold a secret (long enough, of characters of keys, with a digit or mixed in an
-unusual way) may be tagged begin or inside; all others are outside. So the decoding of a text splits into stretches around such
+A text is cut into tokens. A token of at least 8 characters of keys, among them a digit, a sign inside, a capital after another
+letter or 8 capitals in a row, may be tagged begin or inside; plain words and shorter tokens are outside. So the decoding of a text splits into stretches around such
 tokens, outside of which every tag is known, and each stretch is decoded by Viterbi. Features of a token are its own shape, the
 words and shapes beside it, and traits of the whole text ("file").
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,10 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}|[^\W_]+|[^\w\s]", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}", re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}", re.ASCII)
+SIGNS = "+/_.=-"
+LEAST = 8
+CAPITALS = re.compile(r"[a-z].*[A-Z]|[A-Z]{8}", re.ASCII)
 RUNS = [(re.compile(p), c) for p, c in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "0"))]
 OUTSIDE, BEGIN, INSIDE = range(3)
 
@@ -53,11 +57,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _parts(text: str) -> list[list[tuple[int, int]]]:
+    """Per kind where the secrets of base matches lie: the value of an assignment, else the whole match."""
+    assign = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    access = [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return [assign, access, [m.span() for m in HEX.finditer(text)]]
+
+
 def secret_parts(text: str) -> list[tuple[int, int]]:
-    """Where the secrets of base matches lie: the value of an assignment, else the whole match."""
-    parts = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    parts += [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    return parts + [m.span() for m in HEX.finditer(text)]
+    """Where the secrets of base matches lie, kind by kind."""
+    return [span for spans in _parts(text) for span in spans]
+
+
+class Overlaps:
+    """Lists of spans that do not overlap within a list; finds those that meet a span by bisection."""
+
+    def __init__(self, *lists: list[tuple[int, int]]) -> None:
+        self.lists = [(sorted(spans), [e for _, e in sorted(spans)]) for spans in lists]
+
+    def first(self, a: int, b: int) -> tuple[int, int] | None:
+        """The first span that meets (a, b), in the order of the lists."""
+        for spans, ends in self.lists:
+            i = bisect_right(ends, a)
+            if i < len(spans) and spans[i][0] < b:
+                return spans[i]
+        return None
 
 
 def printed(spans: list[tuple[str, int, int]]) -> str:
@@ -66,12 +90,11 @@ def printed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def may_be_secret(token: str) -> bool:
-    """At least 12 key characters, among them letters and 3 digits, or digits and signs; not a number or a plain word."""
-    if len(token) < 12 or not CANDIDATE.fullmatch(token):
+    """At least 8 key characters without the signs at both ends, and no plain word, capitalised or not."""
+    if len(token) < LEAST or not CANDIDATE.fullmatch(token):
         return False
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    return digits >= 3 and letters >= 3 and not re.fullmatch(r"[0-9][0-9.,:/-]*", token)
+    core = token.strip(SIGNS)
+    return len(core) >= LEAST and (not core.isalpha() or CAPITALS.search(core) is not None)
 
 
 def shape(token: str) -> str:
@@ -104,16 +127,18 @@ def stretches(text: str) -> list[tuple[list[tuple[int, int]], list[bool]]]:
     """
     marked = [m.span() for m in CANDIDATE.finditer(text) if may_be_secret(m.group())]
     out: list[tuple[list[tuple[int, int]], list[bool]]] = []
-    until = -1
-    for a, b in marked:
+    until, at = -1, 0
+    while at < len(marked):
+        a, b = marked[at]
+        at += 1
         if a < until:
             continue
         low, high = max(0, a - 80, until), b + 80
-        for c, d in marked:
-            if a < c <= high:
-                high = d + 80
+        while at < len(marked) and marked[at][0] <= high:
+            high = marked[at][1] + 80
+            at += 1
         found = [m.span() for m in TOKEN.finditer(text, low, min(len(text), high))]
-        able = [e - s >= 12 and may_be_secret(text[s:e]) for s, e in found]
+        able = [e - s >= LEAST and may_be_secret(text[s:e]) for s, e in found]
         near = np.convolve(able, np.ones(2 * REACH + 1, int))[REACH : REACH + len(able)] > 0
         out.append(([t for t, n in zip(found, near, strict=True) if n], [x for x, n in zip(able, near, strict=True) if n]))
         until = high
@@ -235,11 +260,11 @@ def train(sequences: list[tuple[list[list[int]], list[bool], list[int]]], rounds
 
 def tagged(text: str, hide: bool = False) -> list[tuple[list[list[int]], list[bool], list[int]]]:
     """The stretches of a text with tags from the patterns."""
-    secret, traits, out = secret_parts(text), file_features(text), []
+    secret, traits, out = Overlaps(*_parts(text)), file_features(text), []
     for tokens, able in stretches(text):
         tags, last = [], None
         for (a, b), ok in zip(tokens, able, strict=True):
-            part = next((p for p in secret if a < p[1] and p[0] < b), None) if ok else None
+            part = secret.first(a, b) if ok else None
             tags.append(OUTSIDE if part is None else INSIDE if part == last else BEGIN)
             last = part
         out.append((features(text, tokens, traits, hide), able, tags))
@@ -250,7 +275,7 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
     """Train on at most ``texts`` texts of ``docs`` (doc_id, text), half of them with an assignment or key in them."""
     words = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
     known = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    marked = known.select("doc_id", F.col("text").rlike(words).alias("hit"), F.col("text").rlike("[A-Za-z0-9+/_.=-]{12,}").alias("able"))
+    marked = known.select("doc_id", F.col("text").rlike(words).alias("hit"), F.col("text").rlike("[A-Za-z+/_.=-]*[0-9][A-Za-z0-9+/_.=-]{7}|[A-Za-z0-9+/_.=-]{7}[0-9]|[A-Z]{8}").alias("able"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marked.where(c).select("doc_id").orderBy(*order).limit(texts // 2) for c in ("hit", "able and not hit")]
     few = F.broadcast(some[0].union(some[1]).distinct())  # at most ``texts`` ids
@@ -275,6 +300,7 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
 def field_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that the field adds: runs of begin and inside, likely enough, that do not meet a base span."""
     traits, out = None, []
+    taken = Overlaps(*[[(a, b) for k, a, b in base if k == kind] for kind in KINDS[:3]])
     for tokens, able in stretches(text):
         traits = traits or file_features(text)
         scores = model.scores(features(text, tokens, traits), able)
@@ -289,7 +315,7 @@ def field_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> li
                 while j < len(tags) and tags[j] == INSIDE:
                     j += 1
                 a, b = tokens[i][0], tokens[j - 1][1]
-                if sure[i:j].mean() >= CONFIDENCE and not any(a < e and s < b for _, s, e in base):
+                if sure[i:j].mean() >= CONFIDENCE and taken.first(a, b) is None:
                     out.append(("crf", a, b))
             i = j
     return out
