@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from functools import lru_cache
 
 import ahocorasick
@@ -105,7 +107,12 @@ class Model:
                 excepted.append((start, end))
             else:
                 found.append((start, end, weight))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in excepted)] if excepted else found
+        if not excepted:
+            return found
+        excepted.sort()
+        starts, furthest = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        inside = lambda a, b: (i := bisect_right(starts, a)) and furthest[i - 1] >= b
+        return [m for m in found if not inside(m[0], m[1])]
 
     def features(self, automaton, text: str | None) -> tuple[float, float]:
         """Matched weight, damped, and matched weight per 100 characters, damped."""
