@@ -296,7 +296,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                     yield frame.astype({"doc_id": "Int64"})
 
-    shards = manifest(spark, folder).select("shard", "start").repartition("shard")
+    held = manifest(spark, folder).select("shard", "start")
+    shards = held.repartition(max(1, held.count()))  # a task for each shard
     return shards.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
