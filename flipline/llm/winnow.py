@@ -88,14 +88,14 @@ def _next_span(spans: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document (doc_id, text) with the text of the next one in descending doc_id, the first one's after the last.
 
-    A null text is empty. Rows without id are left out here, since they have no place in the order. Rows that repeat an id follow
+    A null text is empty. Rows without id come after all others, in order of a hash of their text. Rows that repeat an id follow
     each other in order of their text. Texts move once, to the documents of their span of SPAN ids; only the first text of
     each span also goes to the span before.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    rows = rows.withColumn("span", F.floor(F.col("doc_id") / SPAN))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Below the spans of all ids.
+    nameless = F.shiftrightunsigned(F.xxhash64("text"), 4) - F.lit(1 << 62)
+    rows = rows.withColumn("span", F.when(F.col("doc_id").isNull(), nameless).otherwise(F.floor(F.col("doc_id") / SPAN)))
     order = Window.partitionBy("span").orderBy(F.desc("doc_id"), "text")
     dealt = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
     spans = rows.select("span").distinct()
