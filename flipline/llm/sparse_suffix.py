@@ -85,23 +85,27 @@ def anchors(words: list[bytes], passage: int, gap: int, gram: int) -> tuple[np.n
     return at, heads[at], runs[at]
 
 
-def _tell(rows: DataFrame, key: str, holds: Column, name: str, total: int) -> DataFrame:
-    """The ``total`` rows with what ``holds``, an aggregate, says of all rows with their key, in a column ``name``.
+def _counted(rows: DataFrame, key: str, holds: Column, name: str) -> DataFrame:
+    """(key, n, name): how many rows a key has, and what ``holds``, an aggregate, says of them."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), holds.alias(name))
 
-    Keys are counted before they are shuffled. Frequent keys, of which there are fewer than HOT_KEYS, are broadcast to their
-    rows; only rows of other keys move.
+
+def _tell(rows: DataFrame, counts: DataFrame, key: str, name: str, total: int) -> DataFrame:
+    """The ``total`` rows with what ``counts`` says of their key in a column ``name``.
+
+    Frequent keys, of which there are fewer than HOT_KEYS, are broadcast to their rows, whatever is said of them; only rows of
+    other keys move.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), holds.alias(name)).where(name)
     hot = F.col("n") * F.lit(HOT_KEYS) > F.lit(total)
-    frequent = F.broadcast(counts.where(hot).select(key))
-    few = counts.where(~hot).select(key, name)
-    rest = rows.join(frequent, key, "left_anti").join(few, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return rows.join(frequent, key, "left_semi").withColumn(name, F.lit(True)).unionByName(rest)
+    frequent = F.broadcast(counts.where(hot).select(key, name))
+    few = counts.where(~hot & F.col(name)).select(key, name)
+    rest = rows.join(frequent.select(key), key, "left_anti").join(few, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows.join(frequent, key).unionByName(rest)
 
 
 def _shared(rows: DataFrame, key: str, total: int) -> DataFrame:
     """The rows with whether their key occurs at least twice, in a column ``shared``."""
-    return _tell(rows, key, F.count("*") > 1, "shared", total)
+    return _tell(rows, _counted(rows, key, F.count("*") > 1, "shared"), key, "shared", total)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gap: int = GAP, gram: int = GRAM) -> DataFrame:
@@ -138,7 +142,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gap: int = GAP, g
     covered = F.lag("sure").over(order) & (F.col("pos") - F.lag("pos").over(order) <= passage)
     placed = stored(right.select("row_key", "pos", "head", "sure", (~F.coalesce(F.col("sure") & covered, F.lit(False))).alias("open")))
     # What one text needs to have tested must be listed for all texts with the same suffix.
-    left = _tell(placed, "head", F.bool_or("open"), "wide", placed.count())
+    left = _tell(placed, _counted(placed, "head", F.bool_or("open"), "wide"), "head", "wide", placed.count())
     listed = left.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("pos", "sure", "wide"))).alias("at"))  # of one text
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +154,12 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gap: int = GAP, g
     schema = "doc_id long, row_key long, pos int, run long, sure boolean, start int, end int"
     runs = stored(found.select("doc_id", "row_key", "text", "at").mapInArrow(list_runs, schema))
     open_runs = runs.where(~F.col("sure")).select("row_key", "pos", "run")
-    known = runs.where("sure").select("run").distinct()
-    twice = _shared(open_runs, "run", open_runs.count()).where("shared").select("row_key", "pos")
-    again = open_runs.join(known, "run", "left_semi").select("row_key", "pos")
-    good = runs.where("sure").unionByName(
-        runs.where(~F.col("sure")).join(twice.union(again).distinct(), ["row_key", "pos"], "left_semi")
-    )
+    # An open run is repeated if another open one or a known one is the same: settled run by run, then told to its rows.
+    known = runs.where("sure").select("run").distinct().withColumn("known", F.lit(True))
+    counts = _counted(open_runs, "run", F.count("*") > 1, "again").join(known, "run", "left")
+    counts = counts.select("run", "n", (F.col("again") | F.coalesce("known", F.lit(False))).alias("again"))
+    again = _tell(open_runs, counts, "run", "again", open_runs.count()).where("again").select("row_key", "pos").distinct()
+    good = runs.where("sure").unionByName(runs.where(~F.col("sure")).join(again, ["row_key", "pos"], "left_semi"))
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > passage, F.lit(True)).cast("int")
     spans = good.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
     return spans.groupBy("row_key", "span").agg(
