@@ -66,6 +66,11 @@ def jn10_classes(spark, sf):
     return df_.class_changes(_members(spark, sf))
 
 
+@query("jn10_breaking_changes", b.with_sql("members") + f"SELECT * FROM ({_MCHANGE}) WHERE change_type LIKE 'removed%'")
+def jn10_breaking(spark, sf):
+    return df_.breaking_changes(df_.diff_members(_members(spark, sf)))
+
+
 @query(
     "jn10_member_stats",
     b.with_sql("members")

@@ -572,3 +572,23 @@ def jn19(spark, sf):
         F.concat(F.lit("case-"), "l_suppkey").alias("case_id"), ar.package_of_import(F.concat(name, F.lit(".Type"))).alias("package")
     )
     return ar.minimal_prefixes(d)
+
+
+@query(
+    "jn19_packages_of_artifact",
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN 'jodd.http' WHEN p_partkey % 7 = 0 THEN 'org.foo' || (p_partkey % 5)
+    ELSE 'org.g' || (p_partkey % 5) || '.my.x' || (p_partkey % 3) END AS packages FROM part""",
+)
+def jn19_packages(spark, sf):
+    k = F.col("p_partkey")
+    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    gav = F.when(k % 13 == 0, "no-colon").when(k % 11 == 0, " org.jodd:jodd-http").when(k % 7 == 0, j("org.foo", k % 5, ":foo-", k % 5)).otherwise(j("org.g", k % 5, ":my-lib_x", k % 3, ".core"))
+    return b.table(spark, sf, "part").select(k.alias("k"), F.array_join(ar.packages_of_artifact(gav), ",").alias("packages"))
+
+
+@query("so2_description_candidates", "SELECT 'CVE-' || c_custkey AS cve, 'org.x:lib' || (c_custkey % 9) AS gav FROM customer WHERE c_custkey % 3 = 0")
+def so2_described(spark, sf):
+    k = F.col("c_custkey")
+    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    said = F.when(k % 3 == 0, j("A flaw in Package org.x:lib", k % 9, ", found late")).when(k % 3 == 1, "in package nothing here")
+    return ar.description_candidates(b.table(spark, sf, "customer").select(j("CVE-", k).alias("cve"), said.alias("description")))
