@@ -22,7 +22,7 @@ from flipline.operators.scans import first_of, nearest, over
 UNPLACED = "excel-unresolved"
 HOTFIX_DAYS = 1.0
 FORK_WINDOW_DAYS = 1.0
-NO_GAP = 10**9
+DAY_MICROS = 86400.0 * 1e6
 
 
 def release_history(df: DataFrame, artifact: str = "artifact", version: str = "version", date: str = "release_date") -> DataFrame:
@@ -34,7 +34,7 @@ def release_history(df: DataFrame, artifact: str = "artifact", version: str = "v
 
 def days(c: Column) -> Column:
     """Seconds of a timestamp as fractional days."""
-    return F.unix_micros(c) / F.lit(86400.0 * 1e6)
+    return F.unix_micros(c) / F.lit(DAY_MICROS)
 
 
 def resolve_version(tested: DataFrame, history: DataFrame) -> DataFrame:
@@ -62,27 +62,35 @@ def resolve_version(tested: DataFrame, history: DataFrame) -> DataFrame:
 def hotfix_candidates(history: DataFrame, window_days: float = HOTFIX_DAYS) -> DataFrame:
     """Latest earlier release of the same core, at most ``window_days`` older and lower in version order.
 
-    The join is on (artifact, core): as many rows as a core has suffixes.
+    The releases of a core pass in time order over a pile of those that may still be the latest lower one of a later
+    release: a release first takes away all that are higher than itself. What lies on top then is its candidate, so each
+    is laid down and taken away once. Spark ranks, deals by core once, and sorts; tasks stream their rows and hold one pile.
     """
-    e = history.where(F.col("core") != "").select("artifact", "core", "version", "release_date", "order_key")
-    c = e.select(
+    e = history.where(F.col("core") != "").select(
         "artifact",
         "core",
-        F.col("version").alias("anchor_version"),
-        F.col("release_date").alias("anchor_date"),
-        F.col("order_key").alias("anchor_key"),
-    )
-    near = (
-        (F.col("anchor_date") <= F.col("release_date"))
-        & (days(F.col("release_date")) - days(F.col("anchor_date")) <= window_days)
-        & (F.col("anchor_key") < F.col("order_key"))
-    )
-    pairs = e.join(c, ["artifact", "core"]).where(near)
-    best = F.max(F.struct("anchor_date", "anchor_key", "anchor_version"))
-    return pairs.groupBy("artifact", "version").agg(best.alias("b")).select(
-        "artifact", "version", F.col("b.anchor_version").alias("anchor_version"), F.col("b.anchor_date").alias("anchor_date")
+        "version",
+        F.unix_micros("release_date").alias("at"),
+        F.row_number().over(Window.partitionBy("artifact", "core").orderBy("order_key")).alias("rank"),
     )
 
+    def pile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for artifact, core, version, at, rank in batch.itertuples(index=False, name=None):
+                if group != (artifact, core):
+                    group, held = (artifact, core), []
+                while held and held[-1][0] > rank:
+                    held.pop()
+                if held and at / DAY_MICROS - held[-1][1] / DAY_MICROS <= window_days:
+                    out.append((artifact, version, held[-1][2], held[-1][1]))
+                held.append((rank, at, version))
+            yield pd.DataFrame(out, columns=["artifact", "version", "anchor_version", "at"])
+
+    found = e.sortWithinPartitions("artifact", "core", "at", "rank").mapInPandas(pile, "artifact string, version string, anchor_version string, at long")
+    return found.withColumn("anchor_date", F.timestamp_micros("at")).drop("at")
+
 
 # --- branches in release order ----------------------------------------------------------------------------
 

@@ -109,6 +109,22 @@ def test_fold_does_not_slow_down_with_the_history():
     assert time.perf_counter() - start < 30
 
 
+def test_hotfix_candidates_against_all_pairs(spark):
+    rnd = random.Random(5)
+    start = datetime(2020, 1, 1)
+    rows = [(f"a{rnd.randrange(3)}", f"1.{rnd.randrange(3)}" + rnd.choice(["", "-rc", "-fix", "-b"]) + str(rnd.randrange(40)), start + timedelta(hours=6 * rnd.randrange(60))) for _ in range(500)]
+    h = ln.release_history(spark.createDataFrame(rows, "artifact string, version string, release_date timestamp"))
+    facts = [(r["artifact"], r["core"], r["version"], r["release_date"], i) for i, r in enumerate(h.orderBy("order_key").collect()) if r["core"]]
+    for window in (0.0, 1.0, 4.5):
+        want = {}
+        for a, core, v, d, k in facts:
+            near = [(d2, k2, v2) for a2, c2, v2, d2, k2 in facts if (a2, c2) == (a, core) and d2 <= d and k2 < k and (d - d2) <= timedelta(days=window)]
+            if near:
+                want[a, v] = max(near)[2], max(near)[0]
+        got = {(r["artifact"], r["version"]): (r["anchor_version"], r["anchor_date"]) for r in ln.hotfix_candidates(h, window).collect()}
+        assert got == want and want
+
+
 def test_hotfix_anchor_and_tree(spark):
     d = datetime(2021, 1, 1)
     rows = [("g:a", "1.0", d), ("g:a", "1.1", d + timedelta(days=9)), ("g:a", "1.1-fix", d + timedelta(days=9, hours=5)), ("g:a", "2.0", d + timedelta(days=30)), ("g:a", "1.2", d + timedelta(days=40))]
