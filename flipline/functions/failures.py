@@ -155,14 +155,27 @@ def classify_log(c: Column | str) -> Column:
     return out.otherwise("unknown")
 
 
+def is_error_mark(line: Column) -> Column:
+    return line.contains("COMPILATION ERROR") | line.startswith("[ERROR]") | line.contains("BUILD FAILURE")
+
+
+def classify_lines(line: Column, pos: Column) -> tuple[list[Column], Column]:
+    """:func:`classify_log` over the lines of a log as rows: aggregates of a log, and the class that follows from them."""
+    text = F.coalesce(line, F.lit(""))
+    status = F.nullif(F.regexp_extract(text, STATUS_LINE, 1), F.lit(""))
+    sums = [F.min(F.when(status.isNotNull(), F.struct(pos.alias("pos"), status.alias("status")))).alias("__status"), F.bool_or(clean_text(text) != "").alias("__any")]
+    sums += [F.bool_or(text.rlike(pattern)).alias(f"__{label}") for label, pattern in LOG_FALLBACKS]
+    out = F.when(F.col("__status").isNotNull(), clean_text("__status.status")).when(~F.col("__any"), "empty_log")
+    for label, _ in LOG_FALLBACKS:
+        out = out.when(F.col(f"__{label}"), label)
+    return sums, out.otherwise("unknown")
+
+
 def error_excerpt(c: Column | str, max_lines: int = 80) -> Column:
     """Lines from just before the first error marker; the tail of the log when there is none."""
 
-    def is_mark(x: Column) -> Column:
-        return x.contains("COMPILATION ERROR") | x.startswith("[ERROR]") | x.contains("BUILD FAILURE")
-
     def cut(rows: Column) -> Column:
-        first = F.array_position(F.transform(rows, is_mark), True).cast("int")
+        first = F.array_position(F.transform(rows, is_error_mark), True).cast("int")
         tail = F.greatest(F.size(rows) - max_lines + 1, F.lit(1))
         start = F.when(first > 0, F.greatest(first - 3, F.lit(1))).otherwise(tail)
         return join_lines(F.slice(rows, start, F.lit(max_lines)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flipline.functions.failures import classify_lines, is_error_mark
 from flipline.functions.text import blank_to_null, clean_text, lines, strip
 from flipline.operators.diffs import archive_entries
+from flipline.operators.scans import nearest
 
 # Header rules of the result table (rule, keyword) and the line formats of a trace.
 RESULT_COLUMNS = {
@@ -228,6 +230,36 @@ def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def read_log_reports(spark: SparkSession, pattern: str, max_lines: int = 80) -> DataFrame:
+    """(path, case_id, file_name, n_lines, kind, excerpt) of log files of any size, as ``classify_log`` and ``error_excerpt`` have them.
+
+    Logs are read by line in splits, so none is ever one value: lines say what they know of their log, one aggregate per log
+    decides, and only the ``max_lines`` lines of its excerpt come together. Files without a line are not listed.
+    """
+    rows = read_numbered(spark, pattern, lambda v: F.lit(True)).withColumn("line", F.make_valid_utf8("line"))
+    # A pattern may go on behind the end of a line, over blank ones, so a line is read with the next that has text.
+    said = F.when(clean_text("line") != "", F.col("line"))
+    rows = nearest(rows, "path", "pos", after={"__next": said})
+    sums, kind = classify_lines(F.concat_ws("\n", "line", "__next"), F.col("pos"))
+    rows = rows.select("path", "pos", "line", "__next")
+    mark = F.min(F.when(is_error_mark(F.col("line")), F.col("pos"))).alias("__mark")
+    facts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), mark, *sums)
+    start = F.greatest(F.coalesce(F.col("__mark") - 3, F.col("n_lines") - max_lines), F.lit(0))
+    facts = facts.select("path", "n_lines", kind.alias("kind"), start.alias("__start"))
+    # Where the excerpt begins is one number per log, and joined to the lines it drops all others.
+    shown = rows.join(facts.select("path", "__start"), "path").where(F.col("pos").between(F.col("__start"), F.col("__start") + max_lines - 1))
+    texts = shown.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("__l"))
+    file = F.regexp_extract("path", r"([^/]+)$", 1)
+    return facts.join(texts, "path").select(
+        "path",
+        F.regexp_replace(file, r"(?<=.)\.[^.]*$", "").alias("case_id"),
+        file.alias("file_name"),
+        "n_lines",
+        "kind",
+        F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("excerpt"),
+    )
+
+
 def read_tagged(spark: SparkSession, pattern: str, kind) -> DataFrame:
     """Lines of large text files with their kind and their rank among the lines of that kind in the file, from 0.
 

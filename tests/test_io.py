@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flipline.functions import failures as fl
 from flipline.operators import cases as cs
 from flipline.operators import judge as jg
 from flipline.sources import readers as rd
@@ -73,6 +74,26 @@ def test_trace_lines_keep_file_order_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_log_reports_equal_those_of_whole_logs(spark, tmp_path):
+    rng = random.Random(4)
+    bits = ["plain line", "", "  ", "[ERROR] broke", "x COMPILATION ERROR : y", "BUILD FAILURE", "Status:", "Status: trace_diff ", "Status:no_diff", "Result:", "Result: /x", "it timed", "out of time", "timedout", "Exploit demo not found"]
+    logs = [[rng.choice(bits[:3] + rng.sample(bits, 3)) for _ in range(rng.choice([1, 3, 40, 300]))] for _ in range(25)] + [["", ""], ["only"]]
+    for i, log in enumerate(logs):
+        (tmp_path / f"case-{i}.x.log").write_text("\n".join(log) + "\n" * (i % 2))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "997")
+    try:
+        got = {r.case_id: (r.kind, r.excerpt) for r in rd.read_log_reports(spark, str(tmp_path), 7).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    whole = spark.createDataFrame([(f"case-{i}.x", "\n".join(log) + "\n" * (i % 2)) for i, log in enumerate(logs)], "id string, log string")
+    want = {r.id: (r.kind, r.excerpt) for r in whole.select("id", fl.classify_log("log").alias("kind"), fl.error_excerpt("log", 7).alias("excerpt")).collect()}
+    empty = {f"case-{i}.x" for i, log in enumerate(logs) if not "\n".join(log) + "\n" * (i % 2)}
+    assert got == {k: v for k, v in want.items() if k not in empty}
+
+
 def test_overlay_write_switches_versions(spark, tmp_path):
     root = str(tmp_path / "table")
     with pytest.raises(FileNotFoundError):
