@@ -17,6 +17,8 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flipline.llm.common import cut
 from flipline.llm.pieces import slices
 
 #: Texts from which the field is trained at most, chosen by the hash of their id, half of them with a pattern's match.
 TRAIN_TEXTS = 2000
+#: Different stretches of these that are learnt at most.
+SEQUENCES = 1200
 FEATURES = 1 << 12
 ROUNDS = 120
 #: Tokens on either side of one that could hold a secret.
@@ -46,6 +51,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}", re.ASCII)
 SIGNS = "+/_.=-"
 LEAST = 8
 CAPITALS = re.compile(r"[a-z].*[A-Z]|[A-Z]{8}", re.ASCII)
+HEX_DIGITS = re.compile("[0-9a-fA-F]+")
+#: Tokens and features of which a task remembers what they say.
+MEMO = 100_000
 RUNS = [(re.compile(p), c) for p, c in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "0"))]
 OUTSIDE, BEGIN, INSIDE = range(3)
 
@@ -89,6 +97,7 @@ def printed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
+@lru_cache(maxsize=MEMO)
 def may_be_secret(token: str) -> bool:
     """At least 8 key characters without the signs at both ends, and no plain word, capitalised or not."""
     if len(token) < LEAST or not CANDIDATE.fullmatch(token):
@@ -97,6 +106,7 @@ def may_be_secret(token: str) -> bool:
     return len(core) >= LEAST and (not core.isalpha() or CAPITALS.search(core) is not None)
 
 
+@lru_cache(maxsize=MEMO)
 def shape(token: str) -> str:
     """Runs of upper, lower and digits as one letter each, with the length class."""
     out = token[:64]
@@ -116,6 +126,7 @@ def file_features(text: str) -> list[str]:
     ]
 
 
+@lru_cache(maxsize=MEMO)
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FEATURES
 
@@ -145,22 +156,33 @@ def stretches(text: str) -> list[tuple[list[tuple[int, int]], list[bool]]]:
     return [s for s in out if any(s[1])]
 
 
+@lru_cache(maxsize=MEMO)
+def _own(word: str) -> tuple[int, ...]:
+    """Buckets of what a token says of itself."""
+    own = [f"shape={shape(word)}", f"kinds={len(set(word[:64])) // 4}", f"ends={word[-1].isalnum()}", "bias"]
+    own += [f"hex={int(bool(HEX_DIGITS.fullmatch(word)))}", f"upper={int(word.isupper())}"]
+    return tuple(_bucket(f) for f in own)
+
+
+@lru_cache(maxsize=MEMO)
+def _beside(word: str, k: int) -> tuple[int, int]:
+    """Buckets of what a token says of the one ``k`` before it: its shape and its word."""
+    return _bucket(f"shape{k}={shape(word)}"), _bucket(f"word{k}={word[:24].lower()}")
+
+
 def features(text: str, tokens: list[tuple[int, int]], traits: list[str], hide: bool = False) -> list[list[int]]:
     """Buckets of the features of each token of a stretch. ``hide`` leaves the neighbouring words out."""
     words = [text[a:b] for a, b in tokens]
-    shapes = [shape(w) for w in words]
+    whole = [_bucket(t) for t in traits]
     out = []
     for i, w in enumerate(words):
-        own = [f"shape={shapes[i]}", f"kinds={len(set(w[:64])) // 4}", f"ends={w[-1].isalnum()}", "bias", *traits]
-        own += [f"hex={int(bool(re.fullmatch('[0-9a-fA-F]+', w)))}", f"upper={int(w.isupper())}"]
+        own = [*_own(w), *whole]
         for k in (-3, -2, -1, 1, 2):
             if 0 <= i + k < len(words):
-                own.append(f"shape{k}={shapes[i + k]}")
-                if not hide:
-                    own.append(f"word{k}={words[i + k][:24].lower()}")
+                own += _beside(words[i + k], k)[: 1 if hide else 2]
             else:
-                own.append(f"none{k}")
-        out.append([_bucket(f) for f in own])
+                own.append(_bucket(f"none{k}"))
+        out.append(own)
     return out
 
 
@@ -172,7 +194,8 @@ class Model:
     turn: np.ndarray
 
     def scores(self, rows: list[list[int]], able: list[bool]) -> np.ndarray:
-        out = np.array([self.emit[r].sum(axis=0) for r in rows])
+        starts = np.cumsum([0, *map(len, rows)])[:-1]
+        out = np.add.reduceat(self.emit[np.fromiter(chain.from_iterable(rows), np.int64)], starts, axis=0)
         out[~np.array(able), 1:] = -1e6
         return out
 
@@ -212,11 +235,13 @@ def train(sequences: list[tuple[list[list[int]], list[bool], list[int]]], rounds
         return model
     n, longest = len(sequences), max(len(s[2]) for s in sequences)
     width = max(len(r) for s in sequences for r in s[0])
-    rows = np.full((n, longest, width), FEATURES)
     mask, able, tags = np.zeros((n, longest), bool), np.zeros((n, longest), bool), np.zeros((n, longest), int)
+    rows = np.full((sum(len(s[2]) for s in sequences), width), FEATURES)  # one per token, in the order of ``mask``
+    at = 0
     for i, (feats, ok, tag) in enumerate(sequences):
-        for t, r in enumerate(feats):
-            rows[i, t, : len(r)] = r
+        for r in feats:
+            rows[at, : len(r)] = r
+            at += 1
         mask[i, : len(tag)], able[i, : len(tag)], tags[i, : len(tag)] = True, ok, tag
     before = np.concatenate([np.zeros((n, 1), int), tags[:, :-1]], axis=1)
     gold_turn = np.zeros((3, 3))
@@ -225,7 +250,8 @@ def train(sequences: list[tuple[list[list[int]], list[bool], list[int]]], rounds
     emit = np.zeros((FEATURES + 1, 3))
     fixed = model.turn < -1e5
     for step in range(1, rounds + 1):
-        scores = emit[rows].sum(axis=2)
+        scores = np.zeros((n, longest, 3))
+        scores[mask] = sum(emit[rows[:, k]] for k in range(width))
         scores[~able, 1:] = -1e6
         ahead, behind = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         ahead[:, 0] = scores[:, 0] + model.turn[OUTSIDE]
@@ -239,9 +265,9 @@ def train(sequences: list[tuple[list[list[int]], list[bool], list[int]]], rounds
         chance = np.exp(ahead + behind - whole[:, None, None])
         wrong = chance.copy()
         np.put_along_axis(wrong, tags[:, :, None], np.take_along_axis(wrong, tags[:, :, None], 2) - 1, 2)
-        wrong[~mask] = 0
         slope = np.zeros_like(emit)
-        np.add.at(slope, rows.ravel(), np.repeat(wrong.reshape(-1, 3), width, axis=0))
+        for k, part in enumerate(wrong[mask].T):
+            slope[:, k] = np.bincount(rows.ravel(), np.repeat(part, width), FEATURES + 1)
         pair = np.exp(ahead[:, :-1, :, None] + model.turn + (scores + behind)[:, 1:, None, :] - whole[:, None, None, None])
         turn_slope = pair[mask[:, 1:]].sum(axis=0) - gold_turn
         turn_slope[OUTSIDE] += chance[:, 0].sum(axis=0)
@@ -271,8 +297,11 @@ def tagged(text: str, hide: bool = False) -> list[tuple[list[list[int]], list[bo
     return out
 
 
-def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """Train on at most ``texts`` texts of ``docs`` (doc_id, text), half of them with an assignment or key in them."""
+def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, sequences: int = SEQUENCES) -> Model:
+    """Train on at most ``texts`` texts of ``docs`` (doc_id, text), half of them with an assignment or key in them.
+
+    Of their stretches at most ``sequences`` different ones are learnt, half of them with a secret, the most frequent first.
+    """
     words = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
     known = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     marked = known.select("doc_id", F.col("text").rlike(words).alias("hit"), F.col("text").rlike("[A-Za-z+/_.=-]*[0-9][A-Za-z0-9+/_.=-]{7}|[A-Za-z0-9+/_.=-]{7}[0-9]|[A-Z]{8}").alias("able"))
@@ -293,8 +322,11 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
 
     schema = "feats array<array<int>>, able array<boolean>, tags array<int>"
     seen = known.join(few, "doc_id").mapInPandas(list_sequences, schema)
-    counted = seen.groupBy("feats", "able", "tags").count().orderBy(F.desc("count"), "tags", "feats").limit(2 * texts)
-    return train([(r.feats, r.able, r.tags) for r in counted.collect()])
+    counted = cut(seen.groupBy("feats", "able", "tags").count())
+    secret = F.exists("tags", lambda t: t != OUTSIDE)
+    first = [F.desc("count"), F.xxhash64("tags", "feats"), "tags", "feats"]
+    few = [counted.where(c).orderBy(*first).limit(sequences // 2) for c in (secret, ~secret)]
+    return train([(r.feats, r.able, r.tags) for part in few for r in part.collect()])
 
 
 def field_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
