@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flipline.operators import verdicts as vd
 from flipline.plans import bindings as b
+from flipline.plans.q_text import phrase_sql
 from flipline.plans.registry import query
 from flipline.session import checkpoint_root
 from flipline.sources import readers as rd
@@ -185,19 +186,17 @@ def sc8(spark, sf):
     return out.select(F.regexp_extract("text", r"#(\d+)", 1).cast("bigint").alias("k"), "text")
 
 
-_LOG, _LOG_SQL = b.phrases("k", b.LOG_PHRASES)
-
-
 @query(
     "sc8_log_reports",
     f"""SELECT 'log-' || k AS case_id, len(ls) AS n_lines, CASE WHEN contains(log, 'Status: trace_diff') THEN 'trace_diff' WHEN log = '' THEN 'empty_log' WHEN contains(log, 'Exploit demo not found') THEN 'exploit_demo_not_found'
       WHEN contains(log, 'timed out') THEN 'timeout_hint' WHEN contains(log, 'Result: ') THEN 'result_path_only' ELSE 'unknown' END AS kind,
       array_to_string(CASE WHEN p > 0 THEN ls[greatest(p - 3, 1):greatest(p - 3, 1) + 3] ELSE ls[greatest(len(ls) - 3, 1):] END, chr(10)) AS excerpt FROM (
     SELECT *, coalesce(list_position(list_transform(ls, lambda x: contains(x, 'COMPILATION ERROR') OR starts_with(x, '[ERROR]') OR contains(x, 'BUILD FAILURE')), true), 0) AS p
-    FROM (SELECT k, log, string_split(log, chr(10)) AS ls FROM (SELECT k, {_LOG_SQL} AS log FROM (SELECT s_suppkey AS k FROM supplier))))""",
+    FROM (SELECT k, log, string_split(log, chr(10)) AS ls FROM (SELECT k, {phrase_sql('k', b.LOG_PHRASES)} AS log FROM (SELECT s_suppkey AS k FROM supplier))))""",
 )
 def sc8_reports(spark, sf):
-    d = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).select(F.concat(F.lit("log-"), "k").alias("f"), _LOG.alias("v"))
+    text, _ = b.phrases("k", b.LOG_PHRASES)
+    d = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).select(F.concat(F.lit("log-"), "k").alias("f"), text.alias("v"))
     path = _documents_by_folder(d, scratch(spark, "log-reports"), "f", "v")
     # The folder names the log here, since Spark names the files.
     named = rd.read_log_reports(spark, f"{path}/*/*.txt", 4)
