@@ -160,7 +160,7 @@ def sc6(spark, sf):
 
 def _documents_by_folder(df: DataFrame, path: str, folder: str, body: str) -> str:
     """Write one text file per folder name."""
-    df.select(F.col(folder).alias("folder"), F.col(body).alias("value")).write.partitionBy("folder").text(path)
+    wr.write_folders(df, path, folder, body)
     return path
 
 
@@ -174,7 +174,7 @@ def sc7(spark, sf):
     doc = F.to_json(F.struct(F.when(k % 5 > 0, "trace_diff").otherwise(" ").alias("status"), F.when(k % 2 == 0, "missing_class").alias("failure_subtype"), k.alias("pair_index")))
     d = b.table(spark, sf, "supplier").select(k.alias("f"), F.when(k % 4 == 0, F.concat(F.lit("{broken "), doc)).otherwise(doc).alias("v"))
     path = _documents_by_folder(d, scratch(spark, "case-results"), "f", "v")
-    r = rd.read_case_results(spark, f"{path}/*/*.txt")
+    r = rd.read_case_results(spark, path, nested=True)
     return r.select(F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint").alias("k"), "status", "failure_subtype", "is_valid")
 
 
@@ -182,7 +182,7 @@ def sc7(spark, sf):
 def sc8(spark, sf):
     d = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("f"), F.concat(F.lit("line 1\n"), "s_name").alias("v"))
     path = _documents_by_folder(d, scratch(spark, "logs"), "f", "v")
-    out = rd.read_logs(spark, f"{path}/*/*.txt")
+    out = rd.read_logs(spark, path, nested=True)
     return out.select(F.regexp_extract("text", r"#(\d+)", 1).cast("bigint").alias("k"), "text")
 
 
@@ -199,7 +199,7 @@ def sc8_reports(spark, sf):
     d = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).select(F.concat(F.lit("log-"), "k").alias("f"), text.alias("v"))
     path = _documents_by_folder(d, scratch(spark, "log-reports"), "f", "v")
     # The folder names the log here, since Spark names the files.
-    named = rd.read_log_reports(spark, f"{path}/*/*.txt", 4)
+    named = rd.read_log_reports(spark, path, 4, nested=True)
     return named.select(F.regexp_extract("path", r"folder=(log-\d+)", 1).alias("case_id"), "n_lines", "kind", "excerpt")
 
 
@@ -211,12 +211,12 @@ def sc9_files(spark, sf):
     e = F.col("event_id")
     line = F.concat(e, F.when(e % 3 < 2, " ENTER [main] depth=1 com.lib.").otherwise(" META [main] k="), "event_type", F.lit("#"), e)
     path = scratch(spark, "traces")
-    # One ordered file per trace, a user's: rows of a trace are brought together and sorted before the write.
+    # One ordered file per trace, a user's.
     d = b.table(spark, sf, "events").select(F.col("user_id").alias("trace"), "event_id", line.alias("value"))
-    d.repartition("trace").sortWithinPartitions("trace", "event_id").drop("event_id").write.partitionBy("trace").text(path)
-    lines = rd.read_numbered(spark, f"{path}/*/*.txt", lambda v: v.rlike(rd.TRACE_ENTER))
+    wr.write_folders(d, path, "trace", "value", order="event_id", rows=100_000)
+    lines = rd.read_numbered(spark, path, lambda v: v.rlike(rd.TRACE_ENTER), nested=True)
     return lines.select(
-        F.regexp_extract("path", r"trace=(\d+)", 1).cast("bigint").alias("trace"), "pos", F.regexp_extract("line", rd.TRACE_ENTER, 1).alias("symbol")
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("trace"), "pos", F.regexp_extract("line", rd.TRACE_ENTER, 1).alias("symbol")
     )
 
 

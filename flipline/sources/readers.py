@@ -54,6 +54,12 @@ USAGE_LOG = (
 )
 
 
+def _texts(spark: SparkSession, pattern: str, nested: bool, **options) -> DataFrame:
+    """Text files of a pattern, or with ``nested`` all below one folder, whose folders are listed by tasks."""
+    reader = spark.read.option("recursiveFileLookup", True) if nested else spark.read
+    return reader.text(pattern, **options)
+
+
 def resolve_header(columns: list[str], rule: str, keyword: str) -> str | None:
     """First column whose lower-cased name equals, contains or starts with the keyword."""
     test = {
@@ -207,9 +213,9 @@ def read_analysis(spark: SparkSession, path: str, by_line: bool = False) -> Data
 SCORED_FILES = "MAP<STRING, MAP<STRING, STRUCT<score:DOUBLE, msg_score:DOUBLE>>>"
 
 
-def read_case_results(spark: SparkSession, pattern: str) -> DataFrame:
+def read_case_results(spark: SparkSession, pattern: str, nested: bool = False) -> DataFrame:
     """One row per result document, keyed by its case folder; ``is_valid`` is false for broken JSON."""
-    raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("result_path"))
+    raw = _texts(spark, pattern, nested, wholetext=True).select("value", F.col("_metadata.file_path").alias("result_path"))
     doc = raw.select(
         F.regexp_extract("result_path", r"([^/]+)/[^/]+$", 1).alias("case_id"),
         "result_path",
@@ -222,21 +228,21 @@ def read_case_results(spark: SparkSession, pattern: str) -> DataFrame:
     return doc.select("case_id", "result_path", "is_valid", word("status", "unknown"), word("failure_subtype", "none"), *keep)
 
 
-def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
+def read_logs(spark: SparkSession, pattern: str, nested: bool = False) -> DataFrame:
     """Whole logs keyed by file stem; bytes that are no text are replaced."""
-    raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
+    raw = _texts(spark, pattern, nested, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
     return raw.select(
         F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "").alias("case_id"), "file_name", F.make_valid_utf8("value").alias("text")
     )
 
 
-def read_log_reports(spark: SparkSession, pattern: str, max_lines: int = 80) -> DataFrame:
+def read_log_reports(spark: SparkSession, pattern: str, max_lines: int = 80, nested: bool = False) -> DataFrame:
     """(path, case_id, file_name, n_lines, kind, excerpt) of log files of any size, as ``classify_log`` and ``error_excerpt`` have them.
 
     Logs are read by line in splits, so none is ever one value: lines say what they know of their log, one aggregate per log
     decides, and only the ``max_lines`` lines of its excerpt come together. Files without a line are not listed.
     """
-    rows = read_numbered(spark, pattern, lambda v: F.lit(True)).withColumn("line", F.make_valid_utf8("line"))
+    rows = read_numbered(spark, pattern, lambda v: F.lit(True), nested).withColumn("line", F.make_valid_utf8("line"))
     # A pattern may go on behind the end of a line, over blank ones, so a line is read with the next that has text.
     said = F.when(clean_text("line") != "", F.col("line"))
     rows = nearest(rows, "path", "pos", after={"__next": said})
@@ -260,14 +266,14 @@ def read_log_reports(spark: SparkSession, pattern: str, max_lines: int = 80) ->
     )
 
 
-def read_tagged(spark: SparkSession, pattern: str, kind) -> DataFrame:
+def read_tagged(spark: SparkSession, pattern: str, kind, nested: bool = False) -> DataFrame:
     """Lines of large text files with their kind and their rank among the lines of that kind in the file, from 0.
 
     ``kind(value)`` names the kind of a line, null for lines to skip. Files are read in splits. The split offset and
     the reading order inside a split order all lines of a file, so lines are ranked per split and shifted by the
     counts of earlier splits; no task holds a whole file.
     """
-    raw = spark.read.text(pattern).select(
+    raw = _texts(spark, pattern, nested).select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -281,9 +287,9 @@ def read_tagged(spark: SparkSession, pattern: str, kind) -> DataFrame:
     return here.join(base, part).select("path", "kind", (F.col("__n") + F.col("__b")).alias("pos"), F.col("value").alias("line"))
 
 
-def read_numbered(spark: SparkSession, pattern: str, keep) -> DataFrame:
+def read_numbered(spark: SparkSession, pattern: str, keep, nested: bool = False) -> DataFrame:
     """Lines of large text files with their rank among the kept lines of the file, from 0."""
-    return read_tagged(spark, pattern, lambda v: F.when(keep(v), "line")).drop("kind")
+    return read_tagged(spark, pattern, lambda v: F.when(keep(v), "line"), nested).drop("kind")
 
 
 def read_trace_lines(spark: SparkSession, pattern: str) -> DataFrame:

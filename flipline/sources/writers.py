@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,3 +88,39 @@ def overlay_write(df: DataFrame, root: str) -> str:
         if not fs.exists(path_of(f"{path}/{name}")):
             return path
         staged = f"{path}/{name}"
+
+
+def write_folders(df: DataFrame, path: str, folder: str, value: str, order: str | None = None, rows: int = 2000) -> None:
+    """Write text files, one per value of ``folder``: ``path/folder=value/part-0.txt`` with its lines, by ``order`` if named.
+
+    Spark deals the folders over a task for each ``rows`` rows, whatever their bytes, and sorts them; a task streams its
+    rows into one open file after another. A file system that pyarrow does not know is written by Spark's text writer.
+    """
+    names = [F.col(folder).cast("string").alias("folder"), F.col(value).alias("value"), *([F.col(order).alias("order")] if order else [])]
+    tasks = max(1, math.ceil(df.count() / rows))
+    d = df.select(*names).repartition(tasks, "folder").sortWithinPartitions("folder", *(["order"] if order else [])).select("folder", "value")
+    uri = re.sub("^file:/+", "/", path)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (OSError, ValueError):
+        d.write.partitionBy("folder").text(path)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = fs.FileSystem.from_uri(uri)
+        now, out, files = None, None, 0
+        for batch in batches:
+            for name, line in zip(batch["folder"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                name = "__HIVE_DEFAULT_PARTITION__" if name in (None, "") else quote(name, safe=" -_.~,;@+()&!$")
+                if name != now:
+                    if out:
+                        out.close()
+                    target.create_dir(f"{root}/folder={name}")
+                    now, out, files = name, target.open_output_stream(f"{root}/folder={name}/part-0.txt"), files + 1
+                out.write(f"{line or ''}\n".encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    # A task that runs again writes the same files again.
+    d.mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()

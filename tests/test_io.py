@@ -149,3 +149,19 @@ def test_evidence_expansion(spark):
     assert "Related bytecode diff context (auto-expanded from version-diff/diffs/p/A.diff):\n+ 1: return" in r[0]["diff_excerpt"]
     assert "Aligned raw context preview:" in r[0]["diff_excerpt"] and "target_context (anchor line 2):\n00001: class A\n00002: int x;" in r[0]["diff_excerpt"]
     assert r[0]["details"].endswith("aligned raw baseline/target context.")
+
+
+def test_write_folders_round_trip(spark, tmp_path):
+    from flipline.sources import readers, writers
+
+    rows = [(k, i, f"line {i}" if i % 3 else None) for k in (None, *range(40)) for i in range(3, -1, -1)]
+    path = str(tmp_path / "out")
+    writers.write_folders(spark.createDataFrame(rows, "k long, i int, v string"), path, "k", "v", order="i", rows=10)
+    assert len(list((tmp_path / "out").glob("folder=*/*.txt"))) == 41
+    for at, nested in ((path, True), (f"{path}/*/*.txt", False)):
+        found = {(r.file_name, r.text) for r in readers.read_logs(spark, at, nested).collect()}
+        assert found == {("part-0.txt", "\nline 1\nline 2\n\n")}
+        assert readers.read_logs(spark, at, nested).count() == 41
+        lines = readers.read_numbered(spark, at, lambda v: v != "", nested).collect()
+        assert len(lines) == 82 and {(r.pos, r.line) for r in lines} == {(0, "line 1"), (1, "line 2")}
+    assert {r.case_id for r in readers.read_case_results(spark, path, True).collect()} == {"folder=__HIVE_DEFAULT_PARTITION__", *(f"folder={k}" for k in range(40))}
