@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flipline.functions.labels import outcome_compiled, outcome_failure, outcome_success
 from flipline.functions.text import clean_text
 from flipline.functions.versions import normalize_version, with_version_parts
-from flipline.operators.scans import first_of, nearest, over
+from flipline.operators.scans import first_of, nearest, over, tasks_for
 
 # Branch labels and windows.
 UNPLACED = "excel-unresolved"
@@ -29,6 +29,7 @@ def release_history(df: DataFrame, artifact: str = "artifact", version: str = "v
     """First release of every (artifact, version) with all parsed version parts."""
     rows = df.select(F.col(artifact).alias("artifact"), clean_text(version).alias("version"), F.col(date).cast("timestamp").alias("release_date"))
     rows = rows.where((F.col("version") != "") & F.col("release_date").isNotNull())
+    rows = rows.repartition(tasks_for(df), "artifact", "version")
     return with_version_parts(rows.groupBy("artifact", "version").agg(F.min("release_date").alias("release_date")))
 
 
@@ -298,13 +299,15 @@ class _History:
         return out
 
 
-def lineage(history: DataFrame, fork_days: float = FORK_WINDOW_DAYS) -> DataFrame:
+def lineage(history: DataFrame, fork_days: float = FORK_WINDOW_DAYS, tasks: int | None = None) -> DataFrame:
     """Branch, position and fork anchor of every release.
 
     Each step depends on the branches made by the steps before it, so the versions of an artifact are folded in time
     order. Spark parses, ranks, partitions and sorts; tasks then stream their sorted rows through the fold and hold
-    one artifact's distinct versions at a time.
+    one artifact's distinct versions at a time. With ``tasks`` artifacts are dealt over so many (``scans.tasks_for``).
     """
+    if tasks:
+        history = history.repartition(tasks, "artifact")
     ranked = history.select(
         "artifact",
         "version",
@@ -502,7 +505,7 @@ def branch_summary(cells: DataFrame) -> DataFrame:
 # --- tested versions on the grid --------------------------------------------------------------------------
 
 
-def _resolved(once: DataFrame, cells: DataFrame, history: DataFrame | None) -> DataFrame:
+def _resolved(once: DataFrame, cells: DataFrame, history: DataFrame | None, tasks: int) -> DataFrame:
     """Tested versions with the release they stand for, as :func:`resolve_version`, and its cell (``__r`` and so on).
 
     Both sides have a version of an artifact once, so they are dealt by artifact and meet in windows, not in joins.
@@ -512,7 +515,7 @@ def _resolved(once: DataFrame, cells: DataFrame, history: DataFrame | None) -> D
     if history is not None:
         spots = history.select("artifact", "version", "release_date").join(spots.drop("release_date"), ["artifact", "version"], "left")
     release = F.struct(F.col("version").alias("release_version"), "release_date", "cell").alias("release")
-    both = once.unionByName(spots.select("artifact", "version", release), allowMissingColumns=True).repartition("artifact")
+    both = once.unionByName(spots.select("artifact", "version", release), allowMissingColumns=True).repartition(tasks, "artifact")
     both = both.withColumn("__norm", normalize_version("version"))
     by = lambda key: Window.partitionBy("artifact", key)
     both = both.withColumns(
@@ -539,13 +542,15 @@ def place_untested(
     side, table position), so no cell is ever shifted. Versions resolved only by their normal form serve as
     anchors but own no cell. Rows that cannot be placed keep a null ``matrix_row``. ``history`` is needed only if it
     has releases that have no cell. Each version of an artifact counts once, so windows run over artifacts; with
-    ``block_rows`` the look around a row runs over blocks of table positions instead.
+    ``block_rows`` the look around a row runs over blocks of table positions instead. Rows are dealt over tasks by their number.
     """
-    once = first_of(tested.withColumn("version", clean_text("version")), ["artifact", "version"], pos)
+    tasks = tasks_for(tested)
+    dealt = tested.withColumn("version", clean_text("version")).repartition(tasks, "artifact", "version")
+    once = first_of(dealt, ["artifact", "version"], pos)
     for c in ("branch_type", "core"):
         if c not in cells.columns:
             cells = cells.withColumn(c, F.lit(None).cast("string"))
-    rows = _resolved(once, cells, history)
+    rows = _resolved(once, cells, history, tasks)
     here = F.when(
         F.col("__r").isNotNull(),
         F.struct(

@@ -9,13 +9,26 @@ within a key and roughly dense; any spacing is right, very sparse ones only make
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_000_000
+#: Rows of a task that sorts them by several windows.
+TASK_ROWS = 100_000
 _BLK = "__blk"
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks over which to deal tables of about the size of ``df``, so that none gets many more than ``rows`` rows.
+
+    Told to ``repartition`` with keys, it is kept: partitions are not merged by their bytes, which say little of the memory
+    that sorted rows take. There are as many tasks as shuffle partitions at least.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+
+
 def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flipline.functions import versions as vs
 from flipline.operators import artifacts as ar
 from flipline.operators import lineage as ln
+from flipline.operators.scans import tasks_for
 from flipline.plans import bindings as b
 from flipline.plans.registry import query
 
@@ -262,13 +263,13 @@ def an8_tree(spark, sf):
     return t.withColumns({"versions": versions, "fork_anchor_release_date": F.to_date("fork_anchor_release_date").cast("string")})
 
 
-def _lines_of(history):
+def _lines_of(history, tasks):
     """Branches of a plain kind: one per line, ordered by release; a stand-in grid that SQL can state."""
     from pyspark.sql import Window
 
     order = F.struct("release_date", "semver", "version")
     line = Window.partitionBy("artifact", "line_key")
-    d = history.repartition("artifact").withColumns({"__o": order, "__head": F.min(order).over(line)})
+    d = history.repartition(tasks, "artifact").withColumns({"__o": order, "__head": F.min(order).over(line)})
     d = d.withColumn("matrix_row", F.dense_rank().over(Window.partitionBy("artifact").orderBy("__head")) - 1)
     before = Window.partitionBy("artifact").orderBy("matrix_row").rangeBetween(-1, -1)
     return d.select(
@@ -295,9 +296,13 @@ _PLACED = f"""SELECT *, CASE WHEN ok THEN dense_rank() OVER (PARTITION BY artifa
     coalesce(release_date, lb.d, fa.d) AS release_date, coalesce(r, lb.r, fa.r) IS NOT NULL AND resolution <> 'normalized' AS ok FROM ({_NEAR}))"""
 
 
+def _tasks(spark, sf):
+    return tasks_for(b.release_rows(spark, sf))
+
+
 def _placed(spark, sf):
     h = b.releases(spark, sf)
-    return ln.place_untested(b.tested(spark, sf), _lines_of(h))
+    return ln.place_untested(b.tested(spark, sf), _lines_of(h, _tasks(spark, sf)))
 
 
 @query("an9_place_untested", b.with_sql(*TESTED) + f"SELECT artifact, version, row_pos, matrix_row, matrix_col, branch_kind, core, resolution FROM ({_PLACED})")
@@ -316,7 +321,7 @@ _LISTED = "artifact NOT LIKE '%7'"
 )
 def an9_unresolved(spark, sf):
     h = b.releases(spark, sf).where(_LISTED)
-    return ln.still_unresolved(ln.place_untested(b.tested(spark, sf), _lines_of(h)))
+    return ln.still_unresolved(ln.place_untested(b.tested(spark, sf), _lines_of(h, _tasks(spark, sf))))
 
 
 _CELL = "struct_pack(version, outcome, cause, core, branch_kind, matrix_row, matrix_col)"
@@ -355,7 +360,7 @@ def an5(spark, sf):
 )
 def an5_lineage(spark, sf):
     h = b.releases(spark, sf)
-    return ln.boundary_pairs(ln.place_untested(b.tested(spark, sf), ln.lineage(h, 30.0))).select(*_PAIR_COLS)
+    return ln.boundary_pairs(ln.place_untested(b.tested(spark, sf), ln.lineage(h, 30.0, _tasks(spark, sf)))).select(*_PAIR_COLS)
 
 
 _AN6 = f"""SELECT a.artifact, a.c AS l, z.c AS r, 'row' AS comparison_axis, 'row[' || a.c.matrix_row || ']' AS release_lineage FROM (SELECT artifact, {_CELL} AS c FROM cells) a

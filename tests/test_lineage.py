@@ -152,3 +152,13 @@ def test_place_untested_and_pairs(spark):
     assert [r["version"] for r in ln.still_unresolved(placed).collect()] == ["lost"]
     pairs = [(r["left_version"], r["right_version"], r["seek_patch"], r["cause"]) for r in ln.boundary_pairs(placed).orderBy("left_col").collect()]
     assert pairs == [("pre", "1.0.0.0", False, ""), ("1.0.0.0", "mid", True, "c2"), ("mid", "mid2", None, None), ("mid2", "1.0.3.0", True, "")]
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from flipline.operators import lineage, scans
+
+    rows = spark.range(1_000_000).select((F.col("id") % 1000).cast("string").alias("artifact"), F.concat(F.lit("1."), "id").alias("version"), F.lit("2020-01-01").alias("release_date"))
+    assert scans.tasks_for(rows) == max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert lineage.release_history(rows).rdd.getNumPartitions() == scans.tasks_for(rows)
