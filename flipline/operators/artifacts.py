@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipline.functions.text import alnum_token, blank_to_null, clean_text
+from flipline.functions.text import alnum_token, blank_to_null, clean_text, let
 from flipline.functions.versions import gav_artifact, gav_from_cause, gav_from_text, library_key, normalize_version
 from flipline.operators.scans import in_lists, top_per_key
 
@@ -444,15 +444,17 @@ def minimal_prefixes(packages: DataFrame, key: str = "case_id", package: str = "
 
 def package_of_import(c: Column) -> Column:
     """Package of an imported name: class and member parts start with a capital."""
-    parts = F.split(F.regexp_replace(clean_text(c), r"\.\*$", ""), r"\.")
-    n = F.size(parts)
     upper = lambda x: F.coalesce(x, F.lit("")).rlike(r"^\p{Lu}")
-    kept = (
-        F.when((n >= 2) & upper(F.get(parts, n - 1)), F.slice(parts, F.lit(1), n - 1))
-        .when((n >= 3) & upper(F.get(parts, n - 2)), F.slice(parts, F.lit(1), n - 2))
-        .otherwise(parts)
-    )
-    return F.array_join(kept, ".")
+
+    def kept(parts: Column) -> Column:
+        n = F.size(parts)
+        return (
+            F.when((n >= 2) & upper(F.get(parts, n - 1)), F.slice(parts, F.lit(1), n - 1))
+            .when((n >= 3) & upper(F.get(parts, n - 2)), F.slice(parts, F.lit(1), n - 2))
+            .otherwise(parts)
+        )
+
+    return F.array_join(let(F.split(F.regexp_replace(clean_text(c), r"\.\*$", ""), r"\."), kept), ".")
 
 
 def packages_of_artifact(gav: Column) -> Column:
