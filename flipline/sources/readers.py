@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,55 +100,158 @@ def read_results(
     return out.dropna(subset=["CVE_ID", "Version"])
 
 
+#: Bytes that tell where the entries of a JSON object part: quotes, brackets that open, brackets that close, backslashes.
+_MARKS = np.zeros(256, np.uint8)
+for _kind, _bytes in enumerate((b'"', b"{[", b"}]", b"\\"), 1):
+    _MARKS[list(_bytes)] = _kind
+
+
+def _walked(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of binary pieces in order, up to the end of each: quotes, and depth by brackets behind an even and an odd number of quotes."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    ends = offsets[1:] - offsets[0]
+    kinds = _MARKS[np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    at = np.flatnonzero(kinds)
+    kind = kinds[at]
+    slashes = at[kind == 4]
+    if len(slashes):
+        # A backslash escapes what follows it in its piece, unless it is escaped itself.
+        piece = np.searchsorted(ends, slashes, "right")
+        place = np.arange(len(slashes))
+        begins = np.concatenate([[True], (np.diff(slashes) > 1) | (np.diff(piece) > 0)])
+        active = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        escaped = slashes[active] + 1
+        escaped = escaped[escaped < ends[piece[active]]]
+        kinds[escaped] = 0
+        kind = kinds[at]
+        at, kind = at[(kind > 0) & (kind < 4)], kind[(kind > 0) & (kind < 4)]
+    quotes = np.cumsum(kind == 1)
+    change = (kind == 2).astype(np.int64) - (kind == 3)
+    until = np.searchsorted(at, ends, "left")
+    so_far = lambda x: np.concatenate([[0], x])[until]
+    return so_far(quotes), so_far(np.cumsum(np.where(quotes % 2 == 0, change, 0))), so_far(np.cumsum(np.where(quotes % 2 == 1, change, 0)))
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch]]:
+    """Batches cut so that each holds rows of one split of a file, which its columns other than the value name."""
+    for batch in batches:
+        cuts = {0, batch.num_rows}
+        for name in batch.schema.names:
+            if name != "value":
+                other = pc.not_equal(batch[name][1:], batch[name][:-1]).to_numpy(zero_copy_only=False)
+                cuts.update((np.flatnonzero(other) + 1).tolist())
+        for a, b in pairwise(sorted(cuts)):
+            yield {c: batch[c][a].as_py() for c in batch.schema.names if c != "value"}, batch["value"].slice(a, b - a)
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each split its quotes, its depth if it begins outside (0) or inside (1) a string, and how many pieces end at which depth outside one."""
+    counts = pa.map_(pa.int64(), pa.int64())
+
+    def told() -> pa.RecordBatch:
+        ends = [pa.array([list(c.items())], counts) for c in ended]
+        sums = {"start": now["start"], "quotes": quotes, "depth0": depth[0], "depth1": depth[1]}
+        columns = {"path": pa.array([now["path"]])} | {c: pa.array([int(v)], pa.int64()) for c, v in sums.items()}
+        return pa.RecordBatch.from_pydict(columns | {"ends0": ends[0], "ends1": ends[1]})
+
+    now = None
+    for key, pieces in _by_split(batches):
+        if key != now:
+            if now:
+                yield told()
+            now, quotes, depth, ended = key, 0, [0, 0], (Counter(), Counter())
+        q, *deep = _walked(pieces)
+        for case in (0, 1):
+            own = depth[case] + deep[(quotes + case) % 2]
+            values, sizes = np.unique(own[(quotes + q) % 2 == case], return_counts=True)
+            ended[case].update(dict(zip(values.tolist(), sizes.tolist(), strict=True)))
+            depth[case] = int(own[-1])
+        quotes += int(q[-1])
+    if now:
+        yield told()
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a split has of each entry: the entry's number in its file, the pieces joined by commas, and whether the object ends there."""
+
+    def out(numbers: np.ndarray, texts: pa.Array, ends: np.ndarray) -> pa.RecordBatch:
+        columns = {"number": pa.array(numbers, pa.int64()), "text": texts, "ends": pa.array(ends, pa.bool_())}
+        if "path" in now:
+            columns |= {"path": pa.array([now["path"]] * len(texts)), "start": pa.array([now["start"]] * len(texts), pa.int64())}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield out(np.array([number]), pa.array([b"".join(held)[:-1]], pa.binary()), np.array([over]))
+
+    now, held = None, []
+    for key, pieces in _by_split(batches):
+        if key != now:
+            yield from rest()
+            inside, depth, number = (key.get(c, 0) for c in ("inside", "base", "first"))
+            now, held, over = key, [], False
+        q, *deep = _walked(pieces)
+        own = depth + deep[inside]
+        free = (inside + q) % 2 == 0
+        parts = free & (own == 1)
+        closed = np.concatenate([[0], np.cumsum(free & (own <= 0))])
+        depth, inside = int(own[-1]), int(inside + q[-1]) % 2
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends = offsets[1:] - offsets[0]
+        # The commas that part entries are left out, all others are put back.
+        joined = np.insert(data, ends[~parts], ord(",")).tobytes()
+        at = np.flatnonzero(parts)
+        if len(at):
+            borders = ends[at] + at - np.arange(len(at))
+            before = b"".join(held)
+            whole = before + joined[: borders[-1]]
+            index = np.concatenate([[0], borders + len(before)]).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(index.tobytes()), pa.py_buffer(whole)])
+            finished = np.diff(np.concatenate([[0], closed[at + 1]])) > 0
+            finished[0] |= over
+            yield out(number + np.arange(len(at)), texts, finished)
+            number, held, over = number + len(at), [], False
+            joined, closed = joined[borders[-1] :], closed[at[-1] + 1 :]
+        if joined:
+            held.append(joined)
+            over = over or bool(closed[-1] > closed[0])
+    yield from rest()
+
+
 def _entries_of_objects(spark: SparkSession, path: str) -> DataFrame:
     """The top-level entries of JSON objects, one object per file, each as a JSON object of its own.
 
-    Files are read in splits and cut at every comma. Whether a piece begins inside a string, and how deep, follows from
-    all that was before it: each split is worked out for both cases, the small table of splits settles which one holds, and
-    a comma that leaves depth one outside a string parts two entries. No task holds more than a split or an entry.
+    Files are read in splits and cut at every comma, and a task walks the pieces of a split in order. A comma that leaves
+    depth one outside a string parts two entries. A file of one split needs no more. Of others, whether a split begins
+    inside a string, how deep, and after how many entries follows from all splits before it: each is summed up for both
+    cases, and the table of splits, one row for as many bytes as a split has, settles which one holds. Only what splits have
+    of their entries is shuffled. No task holds more than a batch of pieces and an entry.
     """
     raw = spark.read.text(path, lineSep=",").select(
-        "value",
+        F.col("value").cast("binary").alias("value"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"),
-    )
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    count = lambda c, marks: F.length(c) - F.length(F.translate(c, marks, ""))
-    outside = lambda c: F.regexp_replace(c, '"[^"]*("|$)', "")
-    depth = lambda c: count(c, "{[") - count(c, "}]")
-    d = raw.withColumn("plain", plain).select(
-        "path", "start", "id", "value", count(F.col("plain"), '"').alias("quotes"),
-        depth(outside(F.col("plain"))).alias("out"), depth(outside(F.concat(F.lit('"'), "plain"))).alias("in"),
-    )
-    here = Window.partitionBy("path", "start").orderBy("id")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
-    # Depth after a piece, counted from the start of its split, if that is outside (0) or inside (1) a string.
-    d = d.withColumns(
-        {"deep0": F.sum(F.when(F.col("odd"), F.col("in")).otherwise(F.col("out"))).over(here), "deep1": F.sum(F.when(F.col("odd"), F.col("out")).otherwise(F.col("in"))).over(here)}
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("cut"),
     )
+    names = "number long, text binary, ends boolean"
+    # Few columns, as Arrow takes more time than all else. Files that follow each other in a task are told apart by a hash.
+    alone = raw.where(~F.col("cut")).select(F.xxhash64("path").alias("file"), "value").mapInArrow(_fragments, names)
+    cut = raw.where("cut").select("path", "start", "value")
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    splits = d.groupBy("path", "start").agg(F.sum("quotes").alias("q"), F.sum(F.when(F.col("odd"), F.col("in")).otherwise(F.col("out"))).alias("t0"), F.sum(F.when(F.col("odd"), F.col("out")).otherwise(F.col("in"))).alias("t1"))
-    splits = splits.withColumn("inside", so_far("q") % 2 == 1)
-    splits = splits.select("path", "start", "inside", so_far(F.when(F.col("inside"), F.col("t1")).otherwise(F.col("t0"))).alias("base"))
-    d = d.join(splits, ["path", "start"]).select(
-        "path", "start", "id", "value",
-        (F.col("base") + F.when(F.col("inside"), F.col("deep1")).otherwise(F.col("deep0"))).alias("deep"),
-        ((F.col("inside").cast("int") + F.col("odd").cast("int") + F.col("quotes")) % 2 == 0).alias("free"),
-    )
-    # An entry is named after the piece before it, which ends in a parting comma; the first of a file has none.
-    parts = F.when(F.col("free") & (F.col("deep") == 1), F.struct("start", "id"))
-    d = d.withColumn("parts", parts)
-    d = d.withColumn("own", F.last("parts", True).over(before))
-    carried = d.groupBy("path", "start").agg(F.max("parts").alias("last")).select("path", "start", F.last("last", True).over(earlier).alias("carried"))
-    d = d.join(carried, ["path", "start"]).withColumn("entry", F.coalesce("own", "carried"))
-    whole = d.groupBy("path", "entry").agg(
-        F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("pieces"), F.bool_or(F.col("free") & (F.col("deep") <= 0)).alias("ends")
-    )
-    text = F.array_join(F.transform("pieces", lambda x: x["value"]), ",")
-    text = F.when(F.col("entry").isNull(), F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    either = lambda c: F.when(F.col("inside") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    counts = "quotes long, depth0 long, depth1 long, ends0 map<long,long>, ends1 map<long,long>"
+    splits = cut.mapInArrow(_split_sums, f"path string, start long, {counts}")
+    splits = splits.withColumn("inside", (so_far("quotes") % 2).cast("int")).withColumn("base", so_far(either("depth")))
+    splits = splits.withColumn("entries", F.coalesce(F.try_element_at(either("ends"), 1 - F.col("base")), F.lit(0)))
+    splits = splits.select("path", "start", "inside", "base", so_far("entries").alias("first"))
+    # The pieces stay in order beside a broadcast table.
+    found = cut.join(F.broadcast(splits), ["path", "start"]).mapInArrow(_fragments, f"{names}, path string, start long")
+    found = found.groupBy("path", "number").agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("parts"), F.bool_or("ends").alias("ends"))
+    joined = F.array_join(F.transform("parts", lambda x: x["text"].cast("string")), ",")
+    whole = alone.select("number", F.col("text").cast("string"), "ends").union(found.select("number", joined, "ends")).toDF("number", "text", "ends")
+    text = F.when(F.col("number") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
     text = F.when(F.col("ends"), F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
     return whole.select(F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
 

@@ -32,6 +32,16 @@ def test_whole_json_documents(spark, tmp_path):
     assert [tuple(r)[:2] for r in rd.read_release_history(spark, str(hist)).collect()] == [("g:a", "1")]
 
 
+def test_pieces_of_json_objects_are_not_shuffled(spark, tmp_path):
+    """A task walks the pieces of its split; only entries of files of many splits meet again."""
+    (tmp_path / "a.json").write_text(json.dumps({f"k{i}": {"v": [i, 'a, "{', "\\\\"]} for i in range(50)}, indent=1))
+    df = rd._entries_of_objects(spark, str(tmp_path))
+    found = [json.loads(r["value"]) for r in df.collect()]
+    assert sorted(k for f in found for k in f) == sorted(f"k{i}" for i in range(50)) and all(len(f) == 1 for f in found)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "monotonically_increasing_id" not in plan
+
+
 NASTY = ["plain", "a, b", 'say "x", {y}', "back\\\\slash\\\\", "}],[{", "[,]", "\\u00e9, \\n", "", "tab\\t, end\\\""]
 
 
