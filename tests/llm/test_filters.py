@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -206,3 +207,19 @@ def test_pipeline(spark):
         extra = stage(spark, extra, SF)
         assert extra.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert extra.where("doc_id is null").count() == 1
+
+
+def test_texts_of_the_pipeline_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda: [r.n for r in spark.range(3000).coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in bs), "n long").collect()]
+    docs = spark.createDataFrame([(1, "a word")], "doc_id long, text string")
+    try:
+        spark.conf.set(name, 10_000)
+        corpus_pipeline.encode_tokens(spark, docs, SF)
+        assert max(sizes()) <= corpus_pipeline.BATCH_ROWS and sum(sizes()) == 3000
+        spark.conf.set(name, 100)
+        corpus_pipeline.encode_tokens(spark, docs, SF)
+        assert max(sizes()) == 100
+    finally:
+        spark.conf.set(name, before)
