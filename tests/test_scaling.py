@@ -53,6 +53,22 @@ def test_evidence_is_dealt_by_cases_and_no_supplement_is_made_without_a_file(spa
     assert plan.count("Generate ") == 1
 
 
+def test_evidence_is_not_broadcast_where_few_rows_are_spread_to_many(spark):
+    # Spark takes the spread rows for as few as those they are made of, and the driver would hold them all.
+    few = spark.range(3).select(F.concat(F.lit("c"), "id").alias("case_id"), F.lit("dependency-tree.diff").alias("named"))
+    words = lambda *names: [F.lit("text").alias(n) for n in names]
+    invalid, yes = F.lit(None).cast("array<string>").alias("trace_invalid_reasons"), [F.lit(True).alias(f"trace_has_{d}difference") for d in ("", "effective_")]
+    cases = few.select("case_id", invalid, *yes, F.col("named").alias("failure_excerpt_file"), F.col("named").alias("dependency_tree_diff"))
+    hunks = few.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("hunk_pos"), F.lit("diffs/p/C.diff").alias("path"), *words("details", "inline"))
+    paths = [F.lit(p) for p in ("version-diff/diffs/p/C.diff", "dependency-tree.diff", "version-diff/pom.diff")]
+    files = few.select("case_id", F.explode(F.array(*paths)).alias("path"), *words("text"))
+    raw = few.select("case_id", F.lit("raw/p/C").alias("stem"), *words("baseline", "target"))
+    found = jg.evidence_for_judgment(cases, hunks, files, raw)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 5
+    assert [tuple(r) for r in found.groupBy("path").count().orderBy("path").collect()] == [("version-diff/diffs/p/C.diff", 6)]
+
+
 def test_anchor_and_context_give_the_same_lines(spark):
     rows = [("int a;\nint b;\nlongName.call here\nint b;\n", ["int b;", "longName", "absent"]), ("x\r\ny\x85z", ["yyy"]), (None, ["abc"]), ("abc", None)]
     d = spark.createDataFrame(rows, "text string, terms array<string>")
